@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, mixing, sharding, telephony
+from . import byte_bpe, mixing, sharding, simhash, substring_dedup, telephony
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.telephony_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digest(_table(spark, sf_dir, "documents"))
+
+
+def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digest(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +38,7 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_telephony_media, op5_byte_bpe, op8_mix_sources, op9_rendezvous_shards)}
+    return {f.__name__: f for f in (op1_telephony_media, op2_substring_dedup, op3_simhash_neardup, op5_byte_bpe, op8_mix_sources, op9_rendezvous_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
