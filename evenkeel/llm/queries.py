@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, mixing, sharding, simhash, substring_dedup, telephony
+from . import byte_bpe, html_text, language_id, mixing, sharding, simhash, substring_dedup, telephony
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,10 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_telephony_media, op2_substring_dedup, op3_simhash_neardup, op5_byte_bpe, op8_mix_sources, op9_rendezvous_shards)}
+    return {f.__name__: f for f in (
+        op1_telephony_media, op2_substring_dedup, op3_simhash_neardup, op4_ppm_language, op5_byte_bpe,
+        op7_html_main_text, op8_mix_sources, op9_rendezvous_shards,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
