@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_text, language_id, mixing, sharding, simhash, substring_dedup, telephony
+from . import byte_bpe, embedding_links, html_text, language_id, mixing, sharding, simhash, substring_dedup, telephony
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_telephony_media, op2_substring_dedup, op3_simhash_neardup, op4_ppm_language, op5_byte_bpe,
-        op7_html_main_text, op8_mix_sources, op9_rendezvous_shards,
+        op6_subspace_pigeonhole, op7_html_main_text, op8_mix_sources, op9_rendezvous_shards,
     )}
 
 
