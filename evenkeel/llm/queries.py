@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_links, html_text, language_id, mixing, sharding, simhash, substring_dedup, telephony
+from . import byte_bpe, embedding_links, html_text, language_id, mixing, pseudo_likelihood, sharding, simhash, substring_dedup, telephony
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +49,14 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_telephony_media, op2_substring_dedup, op3_simhash_neardup, op4_ppm_language, op5_byte_bpe,
-        op6_subspace_pigeonhole, op7_html_main_text, op8_mix_sources, op9_rendezvous_shards,
+        op6_subspace_pigeonhole, op7_html_main_text, op8_mix_sources, op9_rendezvous_shards, op10_pseudo_likelihood,
     )}
 
 
