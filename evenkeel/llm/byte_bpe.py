@@ -32,6 +32,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bytescan
 
@@ -178,6 +179,23 @@ def decode(df: DataFrame, ranks_path: str | None = None, pattern: str | None = N
     return df.select("id", "ids").mapInArrow(run, "id long, data binary")
 
 
+def round_trip(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
+    """The carried columns, n_tokens, ids, and the text decoded from the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec()
+        for batch in batches:
+            for part in bytescan.slices(batch, "text", 1 << 20):
+                ids = [own.encode(x or "") for x in part.column("text").to_pylist()]
+                back = pa.array([own.decode(x) for x in ids], pa.binary()).cast(pa.string())
+                columns = [part.column("row"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), back]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "n_tokens", "ids", "decoded"])
+
+    rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), docs[text_col].cast("string").alias("text"))
+    inner = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"row struct<{inner}>, n_tokens long, ids array<int>, decoded string").select("row.*", "n_tokens", "ids", "decoded")
+
+
 def bpe_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of the decoded bytes.
 

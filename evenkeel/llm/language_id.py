@@ -208,12 +208,21 @@ def _predict(model):
     return run
 
 
-def identify(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score); learns from the rows that are not held out."""
+def identify(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score); learns from the rows that are not held out.
+
+    With ``carry``, these columns of ``docs`` (unchanged, the text among them) and
+    ``lang_pred`` and ``score``.
+    """
     spark = docs.sparkSession
     key = docs["doc_id"].cast("string")
     pick = F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("pick")
     model = train(docs.where(~held_out(docs["doc_id"])).select(docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), pick), max_docs)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"].cast("string").alias("text"))
+    text = docs["text"].cast("string").alias("text")
+    if carry is not None:
+        rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), text)
+        inner = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
+        return rows.mapInArrow(_predict(shared), f"row struct<{inner}>, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text)
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -151,24 +151,22 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     base = stored(sized(docs))
     goals = stored(targets(base))
-    spans = pieces(base, goals).groupBy("source", "bucket", "rn", "epoch").agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word"))
-    # Rows with the same id get the same numbers as in sized(), by the same order.
-    size = word_count(docs["text"].cast("string"))
-    own = docs.withColumns({"__h": F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), "__size": size})
-    own = own.withColumn("__bucket", F.substring("__h", 1, BUCKET_DIGITS))
-    # The text is not shuffled for the numbering: only rows whose id repeats need it, and ties are equal in size.
-    names = base.select("doc_id", "source", "bucket", "rn", "size", "h")
-    spans = spans.join(names.withColumnsRenamed({"source": "s2", "bucket": "b2", "rn": "r2"}), F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")) & (F.col("rn") == F.col("r2")))
-    twin = Window.partitionBy("s2", "h", "size", "epoch").orderBy("rn")
-    spans = spans.withColumn("twin", F.row_number().over(twin)).select(F.col("s2").alias("__s"), F.col("h").alias("__k"), F.col("size").alias("__n"), "twin", "from_word", "to_word")
-    # Twins (same source, id and size) share their spans: each row of the twins takes one.
-    own = own.withColumn("__twin", F.row_number().over(Window.partitionBy("source", "__h", "__size").orderBy("text")))
-    out = own.join(spans, own["source"].eqNullSafe(spans["__s"]) & (own["__h"] == spans["__k"]) & (own["__size"] == spans["__n"]) & (own["__twin"] == spans["twin"]))
+    spans = pieces(base, goals).groupBy("source", "bucket", "rn", "epoch").agg(F.min("from_word").alias("__from"), F.max("to_word").alias("__to"))
+    spans = spans.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("rn").alias("r"), "epoch", "__from", "__to")
+    spans = base.join(spans, base["source"].eqNullSafe(F.col("s")) & (base["bucket"] == F.col("b")) & (base["rn"] == F.col("r")))
+    one = Window.partitionBy("source", "h", "size", "epoch").orderBy("rn")
+    spans = spans.select(F.col("source").alias("__s"), F.col("h").alias("__k"), F.col("size").alias("__n"), F.row_number().over(one).alias("__t"), "__from", "__to")
+    own = docs.withColumns({"__h": F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), "__size": word_count(docs["text"].cast("string"))})
+    # Rows of one id, source and size are told apart by a number; texts are moved for it only if there are any.
+    twins = base.groupBy("source", "h", "size").count().where("count > 1").limit(1).count() > 0
+    number = F.row_number().over(Window.partitionBy("source", "__h", "__size").orderBy("text")) if twins else F.lit(1)
+    own = own.withColumn("__number", number)
+    out = own.join(spans, own["source"].eqNullSafe(spans["__s"]) & (own["__h"] == spans["__k"]) & (own["__size"] == spans["__n"]) & (own["__number"] == spans["__t"]))
     flat = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    cut = F.concat_ws(" ", F.slice(F.split(flat, " "), (F.col("from_word") + 1).cast("int"), (F.col("to_word") - F.col("from_word")).cast("int")))
-    out = out.withColumn("text", F.when(F.col("to_word") - F.col("from_word") == F.col("__size"), F.col("text")).otherwise(cut))
+    words = F.slice(F.split(flat, " "), (F.col("__from") + 1).cast("int"), (F.col("__to") - F.col("__from")).cast("int"))
+    out = out.withColumn("text", F.when(F.col("__to") - F.col("__from") == F.col("__size"), F.col("text")).otherwise(F.array_join(words, " ")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
