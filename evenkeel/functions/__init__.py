@@ -1 +1 @@
-
+"""Column functions: deterministic uniforms, fingerprints, formats and policies."""

@@ -1 +1 @@
-
+"""Operators: DataFrames in, a DataFrame out."""
