@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import profiling, transforms
+from . import evaluation, profiling, transforms
 from .registry import ORACLES, QUERIES
 
 _FLAGSHIP = "prof_columns"
-_ = profiling, transforms
+_ = evaluation, profiling, transforms
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
