@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, profiling, transforms
+from . import evaluation, profiling, proposals, transforms
 from .registry import ORACLES, QUERIES
 
-_FLAGSHIP = "prof_columns"
-_ = evaluation, profiling, transforms
+_FLAGSHIP = "flagship"
+_ = evaluation, profiling, proposals, transforms
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
