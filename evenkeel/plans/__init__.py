@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, profiling, proposals, transforms
+from . import evaluation, learning, profiling, proposals, streams, transforms
 from .registry import ORACLES, QUERIES
 
 _FLAGSHIP = "flagship"
-_ = evaluation, profiling, proposals, transforms
+_ = evaluation, learning, profiling, proposals, streams, transforms
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
