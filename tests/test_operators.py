@@ -144,7 +144,7 @@ def test_split_is_a_partition(spark):
 
 def test_strata_with_ties(spark):
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate([1, 1, 1, 1, 2, 3, 4, 5, 6, 7])], "id long, x double")
-    assert [r.stratum for r in propose.strata(df, "x").orderBy("id").collect()] == [0, 0, 0, 0, 1, 2, 2, 3, 4, 4]
+    assert [r.stratum for r in propose.strata(df, "x").orderBy("id").collect()] == [0, 0, 0, 0, 2, 2, 3, 3, 4, 4]
 
 
 def test_parsers(spark):
