@@ -136,7 +136,7 @@ def fn_fingerprint(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", C.fingerprint(cols).alias("fp"), C.sorted_fingerprint(cols).alias("sha"))
 
 
-@query("fn_guessed_range", "SELECT * FROM (VALUES ('c_acctbal', 0.0, 1.0), ('p_retailprice', 0.0, 100000.0), ('l_discount', 0.0, 1.0), ('Age_years', 18.0, 100.0)) t(name, low, high)")
+@query("fn_guessed_range", "SELECT name, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM (VALUES ('c_acctbal', 0.0, 1.0), ('p_retailprice', 0.0, 100000.0), ('l_discount', 0.0, 1.0), ('Age_years', 18.0, 100.0)) t(name, low, high)")
 def fn_guessed_range(spark, sf):
     t = spark.createDataFrame([("c_acctbal",), ("p_retailprice",), ("l_discount",), ("Age_years",)], "name string")
     low, high = C.guessed_range(F.col("name"))
