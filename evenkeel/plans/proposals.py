@@ -295,3 +295,26 @@ def mem_prune(spark, sf):
 def mem_match_distribution(spark, sf):
     c, t = _ic(spark, sf)
     return propose.match_distribution(c.where("kind = 4").select(F.col("row_id").alias("id"), *N), t, N)
+
+
+@query("mem_tail", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 100")
+def mem_tail(spark, sf):
+    from ..operators import memory
+
+    return memory.tail(V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey")
+
+
+_LAYERS = f"""{V.VECTORS}, t AS (SELECT id, y, v[1] AS a, v[2] AS b FROM vectors), q AS (SELECT id, a, b FROM t WHERE y = 1 UNION ALL SELECT id + 1000000, a, b FROM t WHERE y = 0 AND id % 7 = 0), mm AS (SELECT id, a, b FROM t WHERE y = 0),
+r AS (SELECT min(a) al, max(a) ah, min(b) bl, max(b) bh FROM t), h AS (SELECT q.*, EXISTS (SELECT 1 FROM mm WHERE printf('%.6f', mm.a) = printf('%.6f', q.a) AND printf('%.6f', mm.b) = printf('%.6f', q.b)) AS hit FROM q),
+s AS (SELECT id, hit, (a - al) / (ah - al) AS x, (b - bl) / (bh - bl) AS z FROM h, r), n AS (SELECT id, (a - al) / (ah - al) AS x, (b - bl) / (bh - bl) AS z, row_number() OVER (ORDER BY id DESC) AS p FROM mm, r),
+d AS (SELECT s.id, any_value(hit) AS hit, max((s.x * n.x + s.z * n.z) / (sqrt(s.x * s.x + s.z * s.z) * sqrt(n.x * n.x + n.z * n.z))) AS c, min((abs(s.x - n.x) + abs(s.z - n.z)) / 2) FILTER (p <= 100) AS g FROM s, n GROUP BY s.id)"""
+
+
+@query("mem_layers", f"WITH {_LAYERS} SELECT id, CASE WHEN hit THEN 'hash' WHEN c >= 0.9999999 THEN 'cosine' WHEN g < 0.01 THEN 'gower' ELSE 'new' END AS verdict FROM d")
+def mem_layers(spark, sf):
+    from ..operators import memory
+
+    t = V.vectors(spark, sf).select("id", "y", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+    known = t.where("y = 0").drop("y")
+    own = t.where("y = 1").drop("y").unionByName(known.where("id % 7 = 0").withColumn("id", F.col("id") + 1000000))
+    return memory.layers(own, known, ["a", "b"], cosine=0.9999999, gower=0.01, window=100)
