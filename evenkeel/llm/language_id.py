@@ -211,8 +211,8 @@ def _predict(model):
 def identify(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); learns from the rows that are not held out.
 
-    With ``carry``, these columns of ``docs`` (unchanged, the text among them) and
-    ``lang_pred`` and ``score``.
+    With ``carry``: ``row``, a struct of these columns of ``docs`` unchanged (whatever
+    their names), ``lang_pred`` and ``score``.
     """
     spark = docs.sparkSession
     key = docs["doc_id"].cast("string")
@@ -223,6 +223,6 @@ def identify(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, carry: list[str] |
     if carry is not None:
         rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), text)
         inner = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
-        return rows.mapInArrow(_predict(shared), f"row struct<{inner}>, lang_pred string, score double").select("row.*", "lang_pred", "score")
+        return rows.mapInArrow(_predict(shared), f"row struct<{inner}>, lang_pred string, score double")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text)
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")

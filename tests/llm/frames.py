@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, end int, rank string, key string"
 
@@ -40,5 +42,10 @@ def rows():
     return table
 
 
+#: Names that operators use themselves, present in the input with other meanings.
+CLASHING = "row score lang_pred kept n_words n_removed id doc fp rep bucket kind size taken target slot shard source_size h rn node component label v ids n_tokens window n media".split()
+
+
 def documents(spark, table=None):
-    return spark.createDataFrame(rows() if table is None else table, SCHEMA)
+    df = spark.createDataFrame(rows() if table is None else table, SCHEMA)
+    return df.withColumns({c: F.lit("clash") for c in CLASHING})
