@@ -25,7 +25,7 @@ from evenkeel.llm.runtime import NULL_ID, shared_dir
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects ``und``; the predicted language fills a missing one."""
     found = language_id.identify(docs, carry=docs.columns).where(F.col("lang_pred") != language_id.UNDETERMINED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return found.select(*[(F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,9 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the texts that lost words; drops those that lost all of them."""
-    cut = substring_dedup.dedup_substrings(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept", "n_words", "n_removed")
-    out = docs.join(cut, docs["doc_id"].eqNullSafe(cut["cut_id"]), "left").where("n_removed IS NULL OR n_removed < n_words")
-    out = out.withColumn("text", F.coalesce("kept", "text"))
+    cut = substring_dedup.dedup_substrings(docs).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), (F.col("n_removed") < F.col("n_words")).alias("__some"))
+    out = docs.join(cut, docs["doc_id"].eqNullSafe(cut["__id"]), "left").where(F.coalesce("__some", F.lit(True)))
+    out = out.withColumn("text", F.coalesce("__kept", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
