@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
 from . import pairwise
-from .transform import drop_moments, moments, with_moments
+from .transform import drop_moments, moments, numbered, with_moments
 
 STRATA = (0.10, 0.15, 0.50, 0.15, 0.10)
 
@@ -76,7 +76,7 @@ def boundary(minority: DataFrame, majority: DataFrame, n: int, k: int = 5, seed:
 def smote(minority: DataFrame, n: int, k: int = 5, seed: str = "smote") -> DataFrame:
     """(id, sample, neighbour, v): points between a minority row and one of its k nearest, n in all.
 
-    Every row of (id, v) gives n // rows samples, the first n % rows one more; k is clamped
+    Every row of (id, v) gives n // rows samples, n % rows of them one more; k is clamped
     to what there is.  Everything is drawn by a hash of the id and the sample's number.
     """
     total = minority.count()
@@ -84,8 +84,8 @@ def smote(minority: DataFrame, n: int, k: int = 5, seed: str = "smote") -> DataF
         return minority.select("id", F.lit(0).alias("sample"), F.col("id").alias("neighbour"), "v").limit(0)
     k = min(k, total - 1)
     near = pairwise.neighbours(minority, minority, k, exclude_self=True)
-    place = F.row_number().over(Window.orderBy("id")) if n % total else F.lit(total + 1)
-    base = minority.withColumn("__place", place).withColumn("sample", F.explode(F.expr(f"filter(sequence(1, {n // total + 1}), i -> i <= {n // total} or __place <= {n % total})")))
+    own = numbered(minority, "id", seed, "__place") if n % total else minority.withColumn("__place", F.lit(total + 1))
+    base = own.withColumn("sample", F.explode(F.expr(f"filter(sequence(1, {n // total + 1}), i -> i <= {n // total} or __place <= {n % total})")))
     key = F.concat_ws("#", F.col("id").cast("string"), F.col("sample").cast("string"))
     base = base.withColumn("place", (F.floor(uniform(key, seed + " neighbour") * k) + 1).cast("int")).withColumn("u", uniform(key, seed + " step"))
     picked = base.join(near.select("id", "neighbour", "place"), ["id", "place"]).join(minority.select(F.col("id").alias("neighbour"), F.col("v").alias("w")), "neighbour")

@@ -139,6 +139,15 @@ def quantile_profile(df: DataFrame, columns: Sequence[str], at: Sequence[float]
     return row.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
+def numbered(df: DataFrame, key: str, seed: str, name: str, digits: int = 2) -> DataFrame:
+    """Rows numbered from 1 in the order of a hash of the key, in two levels: counts per hash prefix, then inside each."""
+    own = df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))).withColumn("__b", F.substring("__h", 1, digits))
+    counts = own.groupBy("__b").agg(F.count("*").alias("__n"))  # 16 ** digits rows at most
+    before = counts.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
+    return own.withColumn("__r", inside).join(before, "__b").withColumn(name, F.col("__before") + F.col("__r")).drop("__h", "__b", "__r", "__before")
+
+
 def stratified_split(df: DataFrame, key: str, label: str = "y", seed: int = 42, parts: Mapping[str, float] | None = None, digits: int = 2) -> DataFrame:
     """``split`` for each row: shares of each class, in the order of a hash of the key.
 
@@ -177,15 +186,14 @@ def embed(df: DataFrame, numeric: Sequence[str], text: Sequence[str], stats: Dat
 def vary(anchors: DataFrame, n: int, key: str, numeric: Sequence[str], text: Mapping[str, Sequence[str]] | None = None, factors: Sequence[float] = (1.12, 0.88, 1.10)) -> DataFrame:
     """Rows proposed from anchors: each copies an anchor and changes one number, sometimes two, by a factor.
 
-    Every anchor gets max(1, n // anchors) rows and the first n % anchors one more.  A
-    category is kept with 80 percent and otherwise switched.  Deterministic by key.
+    Every anchor gets max(1, n // anchors) rows and n % anchors of them, by a hash of the
+    key, one more.  A category is kept with 80 percent and otherwise switched.  Deterministic by key.
     """
     total = anchors.count()
     if total == 0:
         return anchors.withColumn("sample", F.lit(0))
     share, rest = max(1, n // total), n % total if n >= total else 0
-    place = F.row_number().over(Window.orderBy(key)) if rest else F.lit(1)
-    own = anchors.withColumn("__place", place) if rest else anchors.withColumn("__place", F.lit(total + 1))
+    own = numbered(anchors, key, "one more", "__place") if rest else anchors.withColumn("__place", F.lit(total + 1))
     out = own.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(share) + (F.col("__place") <= rest).cast("int"))))
     seed = F.concat_ws("#", F.col(key).cast("string"), F.col("sample").cast("string"))
     first = F.floor(uniform(seed, "first") * len(numeric)).cast("int")

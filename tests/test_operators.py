@@ -142,6 +142,13 @@ def test_split_is_a_partition(spark):
     assert {tuple(r) for r in transform.stratified_split(df.repartition(7), "id").collect()} == {tuple(r) for r in a.collect()}
 
 
+def test_samples_add_up(spark):
+    df = spark.createDataFrame([(i, [float(i), float(i * i)], float(i)) for i in range(7)], "id long, v array<double>, x double")
+    assert propose.smote(df.select("id", "v"), 17).count() == 17 and propose.smote(df.select("id", "v"), 3).count() == 3
+    assert transform.vary(df, 17, "id", ["x"]).count() == 17
+    assert sorted(r.k for r in transform.numbered(df, "id", "s", "k").collect()) == list(range(1, 8))
+
+
 def test_strata_with_ties(spark):
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate([1, 1, 1, 1, 2, 3, 4, 5, 6, 7])], "id long, x double")
     assert [r.stratum for r in propose.strata(df, "x").orderBy("id").collect()] == [0, 0, 0, 0, 2, 2, 3, 3, 4, 4]
