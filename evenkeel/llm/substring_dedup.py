@@ -14,11 +14,13 @@ thereby at most 2 * 2**MAX_CELLS_LOG2 bits (64 MB) at any input size.  Beyond th
 bound it lets more windows through, which costs shuffle but changes no result.
 
 Pass 2.  Only windows estimated repeated are grouped, by 96 bits of hash.  Each task
-first settles its own repeats: of equal windows in a slice all but the first are
-removed at once and leave as runs, so a window that is in a third of all documents
-sends one row per slice.  A rank within each group tells the earliest start; other
-rows mark their 20 words.  Marks and texts meet by id in one shuffle, sorted so that
-a document's marks stream in before its text.
+first settles its own repeats: of equal windows it holds, all but the first are removed
+at once and leave as runs, so a window that is in a third of all documents is sent once
+by each task.  What is left travels packed, one row for each hash bucket; a bucket is
+sorted by hash, id and start, and all but the earliest start of a hash become marks.
+Marks travel packed too, one row for each bucket of documents, and meet the texts in
+one shuffle, sorted so that a bucket's marks stream in before its texts.  The numbers
+of buckets follow the input's size, so a bucket stays a few megabytes.
 
 Defined results: a null or empty text has no words and nothing removed; rows with the
 same id are the same document for "earlier", so equal rows do not remove each other's
@@ -33,7 +35,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
@@ -46,6 +48,9 @@ MIN_CELLS_LOG2 = 16
 SLICE_LOG2 = 16
 #: Windows that a task holds before it settles them or sends its part of the sketch.
 HELD = 1 << 20
+#: About how many windows a hash bucket covers, and bytes of text a bucket of documents.
+BUCKET_WINDOWS = 1 << 17
+BUCKET_BYTES = 4 << 20
 _ROWS = 2
 
 
@@ -74,9 +79,23 @@ def _sketch(width: int, log2: int):
             which = cells >> np.uint32(SLICE_LOG2)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1, [len(cells)]])
             low = cells.astype(np.uint16)
-            parts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 2).astype(np.int32)), pa.py_buffer(low)])
+            # Gaps in bytes, 255 standing for "255 further", or offsets in two bytes: whichever is shorter.
+            gap = low.astype(np.int64)
+            gap[1:] -= low[:-1]
+            gap[cuts[:-1]] = low[cuts[:-1]]
+            ends = np.cumsum(gap // 255 + 1)
+            coded = len(ends) > 0 and ends[-1] < 2 * len(low)
+            if coded:
+                body = np.full(int(ends[-1]), 255, np.uint8)
+                body[ends - 1] = gap % 255
+                offsets = np.concatenate([[0], ends])[cuts]
+            else:
+                body, offsets = low, cuts * 2
             n = len(cuts) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row, np.int32)), pa.array(which[cuts[:-1]].astype(np.int32)), parts], ["row", "slice", "cells"])
+            parts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(body)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, row, np.int32)), pa.array(which[cuts[:-1]].astype(np.int32)), pa.array(np.full(n, coded)), parts], ["row", "slice", "coded", "cells"]
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -98,9 +117,13 @@ def _sketch(width: int, log2: int):
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for row, which, cells in zip(batch.column("row").to_pylist(), batch.column("slice").to_pylist(), batch.column("cells")):
+        for row, which, coded, cells in zip(*(batch.column(c).to_pylist() for c in ("row", "slice", "coded")), batch.column("cells")):
             own = counts.setdefault((row, which), np.zeros(1 << SLICE_LOG2, np.uint8))
-            found = np.frombuffer(cells.as_buffer(), np.uint16)
+            if coded:
+                gap = np.frombuffer(cells.as_buffer(), np.uint8)
+                found = np.cumsum(gap, dtype=np.int64)[gap != 255]
+            else:
+                found = np.frombuffer(cells.as_buffer(), np.uint16)
             again = found[1:][found[1:] == found[:-1]]
             own[found] = np.minimum(own[found] + 1, 2)
             own[again] = 2
@@ -113,7 +136,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch(docs: DataFrame, width: int, log2: int) -> np.ndarray:
     """The merged sketch: (2, 2**log2 / 8) bytes, a bit for each cell counted twice or more."""
-    parts = docs.select("text").mapInArrow(_sketch(width, log2), "row int, slice int, cells binary")
+    parts = docs.select("text").mapInArrow(_sketch(width, log2), "row int, slice int, coded boolean, cells binary")
     merged = parts.repartition("row", "slice").mapInArrow(_merge, "row int, slice int, bits binary")
     out = np.zeros((_ROWS, (1 << log2) // 8), np.uint8)
     size = (1 << SLICE_LOG2) // 8
@@ -123,7 +146,57 @@ def sketch(docs: DataFrame, width: int, log2: int) -> np.ndarray:
     return out
 
 
-def _repeated(width: int, log2: int, merged):
+def pack(doc: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Ids in rising order (as gaps) and columns of natural numbers, each in as few bytes as it needs."""
+    gaps = np.diff(doc, prepend=doc[:1]).astype(np.uint64)
+    arrays = []
+    for x in (gaps, *columns):
+        arrays.append(x.astype(np.min_scalar_type(int(x.max()))))
+    head = np.array([len(doc), len(arrays), *(x.itemsize for x in arrays)], "<u4").tobytes() + np.array([doc[0]], "<i8").tobytes()
+    return head + b"".join(x.tobytes() for x in arrays)
+
+
+def unpack(data: pa.Buffer) -> list[np.ndarray]:
+    """[ids, *columns] of :func:`pack`."""
+    n, k = np.frombuffer(data, "<u4", 2).tolist()
+    sizes = np.frombuffer(data, "<u4", k, 8).tolist()
+    at = 8 + 4 * k
+    first = int(np.frombuffer(data, "<i8", 1, at)[0])
+    at += 8
+    out = []
+    for size in sizes:
+        out.append(np.frombuffer(data, f"<u{size}", n, at))
+        at += size * n
+    out[0] = np.cumsum(out[0], dtype=np.uint64).view(np.int64) + first
+    return out
+
+
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (bytescan.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(key, packed rows) for each key; rows in order of id and position."""
+    order = np.lexsort((pos, doc, key))
+    key, doc, pos = key[order], doc[order], pos[order]
+    columns = tuple(c[order] for c in columns)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b > a:
+            yield int(key[a]), pack(doc[a:b], pos[a:b], *(c[a:b] for c in columns))
+
+
+def _batches(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        bucket, kind, data = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
+
+
+#: What a packed row holds: windows to group, or runs of words already settled.
+_GROUP, _RUNS = 0, 1
+
+
+def _repeated(width: int, log2: int, bucket_log2: int, merged):
     def settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         doc, pos, h1, h2 = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((pos, doc, h2, h1))
@@ -132,10 +205,8 @@ def _repeated(width: int, log2: int, merged):
         lead[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         at = np.maximum.accumulate(np.where(lead, np.arange(len(doc)), 0))
         later = (doc != doc[at]) | (pos != pos[at])
-        packed = (h2[lead].astype(np.uint64) << np.uint64(32)) | pos[lead].astype(np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h1[lead].view(np.int64)), pa.array(packed.view(np.int64)), pa.array(doc[lead]), pa.array(np.zeros(int(lead.sum()), np.int32))], ["h1", "h2pos", "doc", "end"]
-        )
+        top = (h1[lead] >> np.uint64(64 - bucket_log2)).astype(np.int64)
+        rows = [(k, _GROUP, data) for k, data in _by(top, doc[lead], pos[lead], h1[lead], h2[lead])]
         if later.any():
             d, p = doc[later], pos[later]
             order = np.lexsort((p, d))
@@ -144,10 +215,9 @@ def _repeated(width: int, log2: int, merged):
             new[1:] = (d[1:] != d[:-1]) | (p[1:] > p[:-1] + width)
             heads = np.flatnonzero(new)
             tails = np.concatenate([heads[1:] - 1, [len(d) - 1]])
-            spread = bytescan.mix(d[heads].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + p[heads].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(spread.view(np.int64)), pa.array(p[heads]), pa.array(d[heads]), pa.array((p[tails] + width).astype(np.int32))], ["h1", "h2pos", "doc", "end"]
-            )
+            d, p, size = d[heads], p[heads], p[tails] + width - p[heads]
+            rows += [(k, _RUNS, data) for k, data in _by(_bucket(d, 1 << bucket_log2), d, p, size)]
+        yield from _batches(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = merged.value
@@ -171,56 +241,96 @@ def _repeated(width: int, log2: int, merged):
     return run
 
 
+def _mark(width: int, doc_buckets: int):
+    """Buckets of windows, rows of one bucket in sequence, to marks for buckets of documents."""
+
+    def settle(held: list[list[np.ndarray]], runs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        found = [tuple(x) for x in runs]
+        if held:
+            doc, pos, h1, h2 = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((pos, doc, h2, h1))
+            doc, pos, h1, h2 = doc[order], pos[order].astype(np.int64), h1[order], h2[order]
+            lead = np.ones(len(doc), bool)
+            lead[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            at = np.maximum.accumulate(np.where(lead, np.arange(len(doc)), 0))
+            later = (doc != doc[at]) | (pos != pos[at])
+            found.append((doc[later], pos[later], np.full(int(later.sum()), width)))
+        doc, pos, size = (np.concatenate(x) for x in zip(*found))
+        yield from _batches([(k, 0, data) for k, data in _by(_bucket(doc, doc_buckets), doc, pos.astype(np.int64), size)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, runs = None, [], []
+        for batch in batches:
+            for bucket, kind, data in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")):
+                if bucket != current:
+                    if held or runs:
+                        yield from settle(held, runs)
+                    current, held, runs = bucket, [], []
+                (held if kind == _GROUP else runs).append([x.copy() for x in unpack(data.as_buffer())])
+        if held or runs:
+            yield from settle(held, runs)
+
+    return run
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and marks of each document, marks first, to kept texts."""
-    current, marks = None, []
+    """Marks and texts of each bucket of documents, marks first, to kept texts."""
+    current, packed, marks = None, [], None
     for whole in batches:
         for batch in bytescan.slices(whole, "text"):
-            docs = batch.column("doc").to_numpy(zero_copy_only=False)
-            begin, end = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("begin", "end"))
-            at = np.flatnonzero(end < 0)  # the texts' rows
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(docs)) + 1, [len(docs)]])
+            texts = bytescan.as_binary(batch.column("text"))
             rows = []
-            texts = iter(bytescan.as_binary(batch.column("text").take(pa.array(at))).to_pylist())
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if docs[a] != current:
-                    current, marks = docs[a], []
-                k = a + int(np.searchsorted(end[a:b] < 0, True))  # marks stand before the texts
-                if k > a:
-                    marks.append((begin[a:k].astype(np.int64), end[a:k].astype(np.int64)))
-                for _ in range(b - k):
-                    words = next(texts).split()
-                    removed = 0
-                    if marks:
-                        change = np.zeros(len(words) + 1, np.int64)
-                        for s, e in marks:
-                            np.add.at(change, s, 1)
-                            np.add.at(change, e, -1)
-                        keep = np.cumsum(change[:-1]) == 0
-                        removed = len(words) - int(keep.sum())
-                        rows.append((int(current), len(words), removed, b" ".join(compress(words, keep.tolist()))))
-                    else:
-                        rows.append((int(current), len(words), 0, b" ".join(words)))
+            for bucket, kind, doc, data, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "doc")), batch.column("data"), texts):
+                if bucket != current:
+                    current, packed, marks = bucket, [], None
+                if kind == 0:
+                    packed.append([x.copy() for x in unpack(data.as_buffer())])
+                    continue
+                if marks is None:
+                    marks = [np.concatenate(x) for x in zip(*packed)] if packed else [np.zeros(0, np.int64)] * 3
+                    order = np.argsort(marks[0], kind="stable")
+                    marks = [x[order].astype(np.int64) for x in marks]
+                    packed = []
+                words = text.as_py().split()
+                a, b = np.searchsorted(marks[0], [doc, doc + 1]) if doc < (1 << 63) - 1 else (np.searchsorted(marks[0], doc), len(marks[0]))
+                if a == b:
+                    rows.append((doc, len(words), 0, b" ".join(words)))
+                    continue
+                begin = marks[1][a:b]
+                change = np.bincount(begin, minlength=len(words) + 1) - np.bincount(begin + marks[2][a:b], minlength=len(words) + 1)
+                keep = np.cumsum(change[:-1]) == 0
+                rows.append((doc, len(words), len(words) - int(keep.sum()), b" ".join(compress(words, keep.tolist()))))
             if rows:
                 d, n, r, t = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(t, pa.binary()).cast(pa.string())], ["doc", "n_words", "n_removed", "kept"])
 
 
+def _with_bucket(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(_bucket(ids, buckets).astype(np.int32)), batch.column("text")], ["doc", "bucket", "text"])
+
+    return run
+
+
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each document's words after removal, joined by one space."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    # About six bytes a word; only the sketch's width depends on this estimate.
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    log2 = min(MAX_CELLS_LOG2, max(MIN_CELLS_LOG2, int(size // 3).bit_length()))
+    # About six bytes a word; only the widths of the sketch and the buckets depend on this estimate.
+    size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    log2 = min(MAX_CELLS_LOG2, max(MIN_CELLS_LOG2, (size // 3).bit_length()))
+    bucket_log2 = max(6, (size // 6 // BUCKET_WINDOWS).bit_length())
+    doc_buckets = max(64, size // BUCKET_BYTES)
     merged = spark.sparkContext.broadcast(sketch(rows, width, log2))
-    found = rows.mapInArrow(_repeated(width, log2, merged), "h1 long, h2pos long, doc long, end int")
-    same = Window.partitionBy("h1", F.shiftright("h2pos", 32), F.col("end") > 0).orderBy("doc", "h2pos")
-    begin = (F.col("h2pos").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int")
-    marks = found.withColumn("rank", F.rank().over(same)).where("end > 0 OR rank > 1")
-    marks = marks.select("doc", F.lit(None).cast("string").alias("text"), begin.alias("begin"), F.when(F.col("end") > 0, F.col("end")).otherwise(begin + width).alias("end"))
-    texts = rows.select("doc", "text", F.lit(0).alias("begin"), F.lit(-1).alias("end"))
-    both = marks.unionByName(texts).repartition("doc").sortWithinPartitions(F.col("doc"), F.col("end") < 0)
+    found = rows.mapInArrow(_repeated(width, log2, bucket_log2, merged), "bucket int, kind int, data binary")
+    found = found.repartition("bucket").sortWithinPartitions("bucket")
+    marks = found.mapInArrow(_mark(width, doc_buckets), "bucket int, kind int, data binary")
+    texts = rows.mapInArrow(_with_bucket(doc_buckets), "doc long, bucket int, text string")
+    marks = marks.select("bucket", "kind", F.lit(None).cast("long").alias("doc"), "data", F.lit(None).cast("string").alias("text"))
+    texts = texts.select("bucket", F.lit(1).alias("kind"), "doc", F.lit(None).cast("binary").alias("data"), "text")
+    both = marks.unionByName(texts).repartition("bucket").sortWithinPartitions("bucket", "kind")
     kept = both.mapInArrow(_apply, "doc long, n_words long, n_removed long, kept string")
     return kept.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
 
