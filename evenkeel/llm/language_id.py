@@ -41,6 +41,8 @@ MAX_TRAIN_DOCS = 4000
 #: Contexts of the longest order that are kept, and how often each must have occurred.
 MAX_CONTEXTS = 20_000
 MIN_COUNT = 4
+#: Languages that can be learnt; the tables grow with their number.
+MAX_LANGUAGES = 256
 UNDETERMINED = "und"
 
 _LETTER = regex.compile(r"\p{L}").search
@@ -176,9 +178,14 @@ class Model:
 def train(rows: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model | None:
     """A model from (text, lang, pick), ``pick`` being a uniform hash in 0..2**20 - 1; None without labelled text."""
     labelled = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("docs"))
-    rates = sizes.select(F.col("lang").alias("l"), (F.lit(float(max_docs)) / F.col("docs") * (1 << 20)).alias("below"))
-    sample = labelled.join(rates, F.col("lang") == F.col("l")).where("pick < below").select("text", "lang")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("docs")).limit(MAX_LANGUAGES + 1).collect()
+    if not sizes:
+        return None
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    # A row per language, MAX_LANGUAGES at most: sampling needs no shuffle of texts by language.
+    rates = rows.sparkSession.createDataFrame([(r.lang, max_docs / r.docs * (1 << 20)) for r in sizes], "l string, below double")
+    sample = labelled.join(F.broadcast(rates), F.col("lang") == F.col("l")).where("pick < below").select("text", "lang")
     grams = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Bounded by the alphabet, the sample and this limit, whatever the input.
     counts = [tuple(r) for r in grams.where(F.col("n") > 1).orderBy(F.desc("n"), "lang", "gram").limit(60 * MAX_CONTEXTS).collect()]
