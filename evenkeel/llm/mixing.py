@@ -155,7 +155,8 @@ def mix(docs: DataFrame) -> DataFrame:
     spans = spans.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("rn").alias("r"), "epoch", "__from", "__to")
     spans = base.join(spans, base["source"].eqNullSafe(F.col("s")) & (base["bucket"] == F.col("b")) & (base["rn"] == F.col("r")))
     one = Window.partitionBy("source", "h", "size", "epoch").orderBy("rn")
-    spans = spans.select(F.col("source").alias("__s"), F.col("h").alias("__k"), F.col("size").alias("__n"), F.row_number().over(one).alias("__t"), "__from", "__to")
+    # Written, so that the join with the texts is a plan of its own and the schedule's stages end before it.
+    spans = stored(spans.select(F.col("source").alias("__s"), F.col("h").alias("__k"), F.col("size").alias("__n"), F.row_number().over(one).alias("__t"), "__from", "__to"))
     own = docs.withColumns({"__h": F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))), "__size": word_count(docs["text"].cast("string"))})
     # Rows of one id, source and size are told apart by a number; texts are moved for it only if there are any.
     twins = base.groupBy("source", "h", "size").count().where("count > 1").limit(1).count() > 0
