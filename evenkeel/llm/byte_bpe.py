@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
+from .runtime import small_batches
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 256
@@ -191,6 +192,7 @@ def round_trip(docs: DataFrame, carry: list[str], text_col: str = "text") -> Dat
                 columns = [part.column("row"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), back]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "n_tokens", "ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), docs[text_col].cast("string").alias("text"))
     inner = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
     return rows.mapInArrow(run, f"row struct<{inner}>, n_tokens long, ids array<int>, decoded string").select("row.*", "n_tokens", "ids", "decoded")

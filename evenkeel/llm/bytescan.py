@@ -18,9 +18,9 @@ SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Bytes of text hashed at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Bytes of text that an operator takes from an Arrow batch at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _MASK = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
+from .runtime import small_batches
 
 ORDER = 3
 #: Expected number of training documents of a language.
@@ -78,7 +79,7 @@ def _grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in bytescan.slices(batch, "text"):
+        for part in bytescan.slices(batch, "text", 1 << 20):
             names = part.column("lang").dictionary_encode()
             codes = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             doc, key = _grams(*bytescan.raw(part.column("text")))
@@ -99,13 +100,11 @@ class Model:
         self.languages, self.alphabet, self.state, self.cost = languages, alphabet, state, cost
 
     @staticmethod
-    def train(counts: list[tuple[str, int, int]]) -> "Model":
-        """From (language, gram of ORDER + 1 symbols, count)."""
-        languages = sorted({x[0] for x in counts})
-        number = {x: i for i, x in enumerate(languages)}
-        lang = np.array([number[x[0]] for x in counts], np.int64)
-        gram = np.array([x[1] for x in counts], np.int64)
-        n = np.array([x[2] for x in counts], np.float64)
+    def train(names: list[str], which: np.ndarray, gram: np.ndarray, n: np.ndarray) -> "Model":
+        """From counted grams of ORDER + 1 symbols; ``which`` numbers their languages in ``names``."""
+        languages = sorted(names)
+        place = np.array([languages.index(x) for x in names], np.int64)
+        lang, gram, n = place[which], gram.astype(np.int64), n.astype(np.float64)
         symbols = [(gram >> (8 * k)) & 255 for k in range(ORDER + 1)]
         seen = np.unique(np.concatenate(symbols))
         alphabet = np.zeros(256, np.int64)  # symbol 0 stands for all that was never seen
@@ -187,14 +186,18 @@ def train(rows: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model | None:
     rates = rows.sparkSession.createDataFrame([(r.lang, max_docs / r.docs * (1 << 20)) for r in sizes], "l string, below double")
     sample = labelled.join(F.broadcast(rates), F.col("lang") == F.col("l")).where("pick < below").select("text", "lang")
     grams = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # Bounded by the alphabet, the sample and this limit, whatever the input.
-    counts = [tuple(r) for r in grams.where(F.col("n") > 1).orderBy(F.desc("n"), "lang", "gram").limit(60 * MAX_CONTEXTS).collect()]
-    if not counts:
-        counts = [tuple(r) for r in grams.limit(60 * MAX_CONTEXTS).collect()]
-    return Model.train(counts) if counts else None
+    # Bounded by the alphabet, the sample and this limit, whatever the input; as Arrow columns, not as objects.
+    most = 60 * MAX_CONTEXTS
+    counts = grams.where(F.col("n") > 1).orderBy(F.desc("n"), "lang", "gram").limit(most).toArrow()
+    if not counts.num_rows:
+        counts = grams.orderBy("lang", "gram").limit(most).toArrow()
+    if not counts.num_rows:
+        return None
+    lang = counts.column("lang").combine_chunks().dictionary_encode()
+    return Model.train(lang.dictionary.to_pylist(), lang.indices.to_numpy(), counts.column("gram").to_numpy(), counts.column("n").to_numpy())
 
 
-def _predict(model):
+def _predict(model, keep_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
@@ -209,8 +212,8 @@ def _predict(model):
                     excess = np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)
                     scores = np.where(letters, 1 / np.exp2(-excess).sum(axis=1), 0.0)
                     names = [own.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters)]
-                kept = [part.column(c) for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores)], [*(c for c in part.schema.names if c != "text"), "lang_pred", "score"])
+                kept = [c for c in part.schema.names if keep_text or c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
     return run
 
@@ -219,9 +222,10 @@ def identify(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, carry: list[str] |
     """(doc_id, held_out, lang_pred, score); learns from the rows that are not held out.
 
     With ``carry``: ``row``, a struct of these columns of ``docs`` unchanged (whatever
-    their names), ``lang_pred`` and ``score``.
+    their names), ``text``, ``lang_pred`` and ``score``.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     key = docs["doc_id"].cast("string")
     pick = F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("pick")
     model = train(docs.where(~held_out(docs["doc_id"])).select(docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), pick), max_docs)
@@ -230,6 +234,6 @@ def identify(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, carry: list[str] |
     if carry is not None:
         rows = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), text)
         inner = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
-        return rows.mapInArrow(_predict(shared), f"row struct<{inner}>, lang_pred string, score double")
+        return rows.mapInArrow(_predict(shared, keep_text=True), f"row struct<{inner}>, text string, lang_pred string, score double")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text)
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 NULL_ID = -(1 << 63)
 
 
+#: Rows of text that Spark hands to a Python worker at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what an Arrow batch of texts takes on both sides; a larger setting of the session is lowered."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .runtime import NULL_ID, connected_components, stored
+from .runtime import NULL_ID, connected_components, small_batches, stored
 
 SHINGLE = 4
 SEED = 42
@@ -209,6 +209,7 @@ def link_edges(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), docs[text_col].cast("string").alias("text"))
     prints = stored(rows.mapInArrow(_fingerprint, "doc long, fp long"))
     distinct = prints.groupBy("fp").agg(F.min("doc").alias("rep"))
