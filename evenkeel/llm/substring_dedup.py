@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .runtime import NULL_ID
+from .runtime import NULL_ID, small_batches
 
 WIDTH = 20
 #: Largest number of cells in a row of the sketch, as a power of two.
@@ -47,7 +47,7 @@ MAX_CELLS_LOG2 = 28
 MIN_CELLS_LOG2 = 16
 SLICE_LOG2 = 16
 #: Windows that a task holds before it settles them or sends its part of the sketch.
-HELD = 1 << 20
+HELD = 1 << 19
 #: About how many windows a hash bucket covers, and bytes of text a bucket of documents.
 BUCKET_WINDOWS = 1 << 17
 BUCKET_BYTES = 4 << 20
@@ -67,13 +67,13 @@ def _windows(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray,
 
 def _cells(h1: np.ndarray, h2: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
     shift = np.uint64(64 - log2)
-    return (h1 >> shift).astype(np.int64), (h2 >> shift).astype(np.int64)
+    return (h1 >> shift).astype(np.uint32), (h2 >> shift).astype(np.uint32)
 
 
 def _sketch(width: int, log2: int):
     def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for row in range(_ROWS):
-            cells = np.sort(np.concatenate([x[row] for x in held]).astype(np.uint32))
+            cells = np.sort(np.concatenate([x[row] for x in held]))
             if len(cells) > 2:  # counters stop at 2
                 cells = cells[np.concatenate([[True, True], cells[2:] != cells[:-2]])]
             which = cells >> np.uint32(SLICE_LOG2)
@@ -105,7 +105,7 @@ def _sketch(width: int, log2: int):
                 if len(h1):
                     held.append(_cells(h1, h2, log2))
                     n += len(h1)
-                if n > 4 * HELD:
+                if n > 6 * HELD:
                     yield from send(held)
                     held, n = [], 0
         if held:
@@ -273,51 +273,74 @@ def _mark(width: int, doc_buckets: int):
     return run
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks and texts of each bucket of documents, marks first, to kept texts."""
-    current, packed, marks = None, [], None
-    for whole in batches:
-        for batch in bytescan.slices(whole, "text"):
-            texts = bytescan.as_binary(batch.column("text"))
-            rows = []
-            for bucket, kind, doc, data, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "doc")), batch.column("data"), texts):
-                if bucket != current:
-                    current, packed, marks = bucket, [], None
-                if kind == 0:
-                    packed.append([x.copy() for x in unpack(data.as_buffer())])
-                    continue
-                if marks is None:
-                    marks = [np.concatenate(x) for x in zip(*packed)] if packed else [np.zeros(0, np.int64)] * 3
-                    order = np.argsort(marks[0], kind="stable")
-                    marks = [x[order].astype(np.int64) for x in marks]
-                    packed = []
-                words = text.as_py().split()
-                a, b = np.searchsorted(marks[0], [doc, doc + 1]) if doc < (1 << 63) - 1 else (np.searchsorted(marks[0], doc), len(marks[0]))
-                if a == b:
-                    rows.append((doc, len(words), 0, b" ".join(words)))
-                    continue
-                begin = marks[1][a:b]
-                change = np.bincount(begin, minlength=len(words) + 1) - np.bincount(begin + marks[2][a:b], minlength=len(words) + 1)
-                keep = np.cumsum(change[:-1]) == 0
-                rows.append((doc, len(words), len(words) - int(keep.sum()), b" ".join(compress(words, keep.tolist()))))
-            if rows:
-                d, n, r, t = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(t, pa.binary()).cast(pa.string())], ["doc", "n_words", "n_removed", "kept"])
+def _apply(carried: bool):
+    """Marks and texts of each bucket of documents, marks first, to kept texts.
+
+    With ``carried`` the rows' other columns come along, and a text that loses nothing
+    stays as it is, white space included.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, packed, marks = None, [], None
+        for whole in batches:
+            for batch in bytescan.slices(whole, "text"):
+                texts = bytescan.as_binary(batch.column("text"))
+                rows, at = [], []
+                for i, (bucket, kind, doc, data, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "doc")), batch.column("data"), texts)):
+                    if bucket != current:
+                        current, packed, marks = bucket, [], None
+                    if kind == 0:
+                        packed.append([x.copy() for x in unpack(data.as_buffer())])
+                        continue
+                    if marks is None:
+                        marks = [np.concatenate(x) for x in zip(*packed)] if packed else [np.zeros(0, np.int64)] * 3
+                        order = np.argsort(marks[0], kind="stable")
+                        marks = [x[order].astype(np.int64) for x in marks]
+                        packed = []
+                    at.append(i)
+                    text = text.as_py()
+                    words = text.split()
+                    a, b = np.searchsorted(marks[0], [doc, doc + 1]) if doc < (1 << 63) - 1 else (np.searchsorted(marks[0], doc), len(marks[0]))
+                    if a == b:
+                        rows.append((doc, len(words), 0, text if carried else b" ".join(words)))
+                        continue
+                    begin = marks[1][a:b]
+                    change = np.bincount(begin, minlength=len(words) + 1) - np.bincount(begin + marks[2][a:b], minlength=len(words) + 1)
+                    keep = np.cumsum(change[:-1]) == 0
+                    rows.append((doc, len(words), len(words) - int(keep.sum()), b" ".join(compress(words, keep.tolist()))))
+                if rows:
+                    d, n, r, t = zip(*rows)
+                    columns = [pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(t, pa.binary()).cast(pa.string())]
+                    names = ["doc", "n_words", "n_removed", "kept"]
+                    if carried:
+                        columns.append(batch.column("row").take(pa.array(at)))
+                        names.append("row")
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
 
 
 def _with_bucket(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(_bucket(ids, buckets).astype(np.int32)), batch.column("text")], ["doc", "bucket", "text"])
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(_bucket(ids, buckets).astype(np.int32))], [*names, "bucket"])
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): each document's words after removal, joined by one space."""
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept): each document's words after removal, joined by one space.
+
+    With ``carry`` also ``row``, a struct of these columns of ``docs``, and ``kept`` is the
+    text itself where nothing is removed.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    small_batches(spark)
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
+    rows = docs.select(key, text)
     # About six bytes a word; only the widths of the sketch and the buckets depend on this estimate.
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     log2 = min(MAX_CELLS_LOG2, max(MIN_CELLS_LOG2, (size // 3).bit_length()))
@@ -327,12 +350,18 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     found = rows.mapInArrow(_repeated(width, log2, bucket_log2, merged), "bucket int, kind int, data binary")
     found = found.repartition("bucket").sortWithinPartitions("bucket")
     marks = found.mapInArrow(_mark(width, doc_buckets), "bucket int, kind int, data binary")
-    texts = rows.mapInArrow(_with_bucket(doc_buckets), "doc long, bucket int, text string")
     marks = marks.select("bucket", "kind", F.lit(None).cast("long").alias("doc"), "data", F.lit(None).cast("string").alias("text"))
-    texts = texts.select("bucket", F.lit(1).alias("kind"), "doc", F.lit(None).cast("binary").alias("data"), "text")
+    if carry is None:
+        inner, texts = "", rows.mapInArrow(_with_bucket(doc_buckets), "doc long, text string, bucket int")
+    else:
+        inner = ", row struct<" + ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry) + ">"
+        own = docs.select(key, text, F.struct(*[docs[c] for c in carry]).alias("row"))
+        texts = own.mapInArrow(_with_bucket(doc_buckets), f"doc long, text string{inner}, bucket int")
+        marks = marks.withColumn("row", F.lit(None).cast(texts.schema["row"].dataType))
+    texts = texts.select("bucket", F.lit(1).alias("kind"), "doc", F.lit(None).cast("binary").alias("data"), "text", *(["row"] if inner else []))
     both = marks.unionByName(texts).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    kept = both.mapInArrow(_apply, "doc long, n_words long, n_removed long, kept string")
-    return kept.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
+    kept = both.mapInArrow(_apply(bool(inner)), "doc long, n_words long, n_removed long, kept string" + inner)
+    return kept.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept", *(["row"] if inner else []))
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
