@@ -24,8 +24,12 @@ from evenkeel.llm.runtime import NULL_ID, shared_dir
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects ``und``; the predicted language fills a missing one."""
-    found = language_id.identify(docs, carry=docs.columns).where(F.col("lang_pred") != language_id.UNDETERMINED)
-    return found.select(*[(F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    rest = [c for c in docs.columns if c != "text"]
+    found = language_id.identify(docs, carry=rest).where(F.col("lang_pred") != language_id.UNDETERMINED)
+    own = {c: F.col(f"row.`{c}`") for c in rest} | {"text": F.col("text")}
+    if "lang" in rest:
+        own["lang"] = F.coalesce("row.lang", "lang_pred")
+    return found.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +43,13 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the texts that lost words; drops those that lost all of them."""
-    cut = substring_dedup.dedup_substrings(docs).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), (F.col("n_removed") < F.col("n_words")).alias("__some"))
-    out = docs.join(cut, docs["doc_id"].eqNullSafe(cut["__id"]), "left").where(F.coalesce("__some", F.lit(True)))
-    out = out.withColumn("text", F.coalesce("__kept", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    marked = docs.withColumn("__null", F.col("text").isNull())
+    out = substring_dedup.dedup_substrings(marked, carry=[*rest, "__null"]).where("n_removed = 0 OR n_removed < n_words")
+    own = {c: F.col(f"row.`{c}`") for c in rest} | {"text": F.when(~F.col("row.__null"), F.col("kept"))}
+    if "n_chars" in rest:
+        own["n_chars"] = F.length(own["text"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
