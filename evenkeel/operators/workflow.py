@@ -18,6 +18,27 @@ from . import dedup, propose, transform, validate
 
 #: A proposer gets (minority, n, iteration, temperature) and returns rows with the columns and a key.
 Proposer = Callable[[DataFrame, int, int, float], DataFrame]
+#: About how many different rows an anchor gives at one temperature.
+VARIANTS = 8
+#: Steps of fidelity by which rows are counted before the last step is ranked.
+STEPS = 4096
+
+
+def heat_at(step: int, steps: int) -> float:
+    """The temperature of a step; without a last step it goes on through [0.7, 1.0] and never comes back to a value."""
+    return temperature(step, steps) if steps else 1.0 - 0.3 * (step * 0.6180339887498949 % 1.0)
+
+
+def best(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The n rows of the highest fidelity, then smallest key: whole steps of fidelity by counts, only the last one ranked."""
+    own = df.withColumn("__step", F.floor(F.round("fidelity", 9) * STEPS))
+    left = n
+    for step, m in sorted(((r[0], r[1]) for r in own.groupBy("__step").count().collect()), reverse=True):  # STEPS + 1 rows at most
+        if m > left:
+            last = own.where(F.col("__step") == step).orderBy(F.desc(F.round("fidelity", 9)), key).limit(left)
+            return own.where(F.col("__step") > step).unionByName(last).drop("__step")
+        left -= m
+    return df
 
 
 @dataclass
@@ -28,9 +49,11 @@ class Oversampler:
     key: str = "row_id"
     label: str = "y"
     target_ratio: float = 1.0
+    #: Rows proposed at once; 0 asks for twice what is missing.
     batch: int = 1000
     anchors: int = 200
-    max_iterations: int = 10
+    #: 0 sets no limit: the loop ends when the classes balance or it stalls.
+    max_iterations: int = 0
     stall_iterations: int = 2
     z_limit: float = 4.5
     proposer: Proposer | None = None
@@ -48,8 +71,12 @@ class Oversampler:
         return self
 
     def _offline(self, minority: DataFrame, n: int, step: int, heat: float) -> DataFrame:
-        """Anchors varied by deterministic factors, wider at higher temperature."""
-        anchors = propose.typical(minority, self.columns, self.anchors, self.key, seed=f"anchors {step}")
+        """Anchors varied by deterministic factors, wider at higher temperature.
+
+        An anchor gives a few different rows only, so where many are wanted each minority row is one.
+        """
+        many = n > VARIANTS * self.anchors
+        anchors = minority if many else propose.typical(minority, self.columns, self.anchors, self.key, seed=f"anchors {step}")
         tagged = anchors.select(F.concat_ws("#", F.lit(str(step)), F.col(self.key).cast("string")).alias("anchor_id"), *self.columns)
         rows = transform.vary(tagged, n, "anchor_id", self.columns, factors=[1 + 0.12 * heat, 1 - 0.12 * heat, 1 + 0.10 * heat])
         return rows.select(F.concat_ws("#", "anchor_id", "sample").alias(self.key), *self.columns)
@@ -63,17 +90,16 @@ class Oversampler:
         kept = self._resume(df)
         have, stalled, step = kept.count(), 0, 0
         self.history.clear()
-        while have < wanted and step < self.max_iterations and stalled < self.stall_iterations:
-            n = min(self.batch, max(wanted - have, 1) * 2)
-            heat = temperature(step, self.max_iterations)
+        while have < wanted and (not self.max_iterations or step < self.max_iterations) and stalled < self.stall_iterations:
+            n = min(self.batch or 2 * (wanted - have), max(wanted - have, 1) * 2)
+            heat = heat_at(step, self.max_iterations)
             proposed = (self.proposer or self._offline)(minority, n, step, heat)
             stats = transform.moments(minority, self.columns)
             proposed = transform.impute(transform.clip(proposed, self.columns, stats), minority, self.columns)
             known = minority.select(*self.columns).unionByName(kept.select(*self.columns))
             new = dedup.keep_new(proposed, known, self.columns, self.key)
             gated = validate.adaptive_gate(validate.z_gate(new, minority, self.columns, self.z_limit), minority, self.columns).where("z_ok AND inside")
-            best = gated.orderBy(F.desc(F.round("fidelity", 9)), self.key).limit(wanted - have)
-            chosen = checkpoint(best.select(self.key, *self.columns, F.lit(1).alias(self.label), F.lit(step).alias("iteration")))
+            chosen = checkpoint(best(checkpoint(gated), wanted - have, self.key).select(self.key, *self.columns, F.lit(1).alias(self.label), F.lit(step).alias("iteration")))
             got = chosen.count()
             self.history.append({"iteration": step, "proposed": n, "selected": got, "temperature": heat})
             if self.output:

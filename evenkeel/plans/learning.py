@@ -49,4 +49,4 @@ def anc_central(spark, sf):
 def wf_oversample(spark, sf):
     """Oversample toxic documents by length and quality until the classes balance, or the loop stalls."""
     t = V.labelled(spark, sf).select("doc_id", "y", "n_chars", F.length("source").cast("double").alias("source_length"))
-    return Oversampler(["n_chars", "source_length"], key="doc_id", batch=400, max_iterations=3).fit_generate(t)
+    return Oversampler(["n_chars", "source_length"], key="doc_id", batch=0).fit_generate(t)
