@@ -70,9 +70,9 @@ def leaves(df: DataFrame, columns: Sequence[str], label: str = "y", trees: int =
 
 def leaf_fairness(placed: DataFrame, group: str) -> DataFrame:
     """(tree, leaf, n, fairness): 1 / (1 + sum over groups of |share overall - share in the leaf|)."""
-    whole = placed.groupBy("tree", F.col(group).alias("g")).agg(F.count("*").alias("t"))
-    whole = whole.withColumn("p", F.col("t") / F.sum("t").over(Window.partitionBy("tree")))  # one row per tree and group
     own = placed.groupBy("tree", "leaf", F.col(group).alias("g")).agg(F.count("*").alias("m"))
+    whole = own.groupBy("tree", "g").agg(F.sum("m").alias("t"))
+    whole = whole.withColumn("p", F.col("t") / F.sum("t").over(Window.partitionBy("tree")))  # one row per tree and group
     sizes = own.groupBy("tree", "leaf").agg(F.sum("m").alias("n"))
     grid = sizes.join(whole, "tree").join(own, ["tree", "leaf", "g"], "left")
     gap = F.sum(F.abs(F.col("p") - F.coalesce(F.col("m"), F.lit(0)) / F.col("n")))

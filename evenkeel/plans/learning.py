@@ -19,8 +19,8 @@ def ml_regions(spark, sf):
 
 @query("ml_leaf_fairness")
 def ml_leaf_fairness(spark, sf):
-    t = V.items(spark, sf).where("y = 1 OR tax > 0.05").withColumn("g", (F.col("discount") > 0.05).cast("int")).select("row_id", "y", "g", *N)
-    return models.leaf_fairness(models.leaves(t, N, trees=5, depth=3), "g")
+    t = V.items(spark, sf).withColumn("g", (F.col("discount") > 0.05).cast("int")).select("row_id", "y", "g", *N)
+    return models.leaf_fairness(models.leaves(t, N, trees=100, depth=5), "g")
 
 
 @query("ml_classifiers")
