@@ -23,8 +23,9 @@ one shuffle, sorted so that a bucket's marks stream in before its texts.  The nu
 of buckets follow the input's size, so a bucket stays a few megabytes.
 
 Defined results: a null or empty text has no words and nothing removed; rows with the
-same id are the same document for "earlier", so equal rows do not remove each other's
-words; null ids come first; fewer than ``width`` words are never removed; an empty
+same id and text are the same document for "earlier", so equal rows do not remove each
+other's words; different texts under one id, or without an id, are documents of their
+own, in the order of a hash of the text, the tag; null ids come first; fewer than ``width`` words are never removed; an empty
 table gives an empty table; other columns are ignored.
 """
 
@@ -52,6 +53,22 @@ HELD = 1 << 19
 BUCKET_WINDOWS = 1 << 17
 BUCKET_BYTES = 4 << 20
 _ROWS = 2
+#: Up to so many ids of several texts are sent to the tasks; beyond, every row travels with its tag.
+MAX_CLASHES = 1 << 16
+
+
+def clashing(rows: DataFrame) -> np.ndarray | None:
+    """The ids of (doc, tag) that stand for several texts, in order; None if they are more than ``MAX_CLASHES``."""
+    several = rows.groupBy("doc").agg(F.min("tag").alias("x"), F.max("tag").alias("y")).where("x != y").select("doc")
+    ids = np.array([r[0] for r in several.limit(MAX_CLASHES + 1).collect()], np.int64)
+    return np.sort(ids) if len(ids) <= MAX_CLASHES else None
+
+
+def _keys(batch: pa.RecordBatch, clashes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and tags; 0 for the tag where the id alone tells the text, which packs to nothing."""
+    ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
+    tags = batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return ids, tags if clashes is None else np.where(np.isin(ids, clashes), tags, np.uint64(0))
 
 
 def _windows(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,12 +164,13 @@ def sketch(docs: DataFrame, width: int, log2: int) -> np.ndarray:
 
 
 def pack(doc: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Ids in rising order (as gaps) and columns of natural numbers, each in as few bytes as it needs."""
+    """Ids in rising order (as gaps) and columns of natural numbers, each in as few bytes as it needs: none if all are 0."""
     gaps = np.diff(doc, prepend=doc[:1]).astype(np.uint64)
     arrays = []
     for x in (gaps, *columns):
-        arrays.append(x.astype(np.min_scalar_type(int(x.max()))))
-    head = np.array([len(doc), len(arrays), *(x.itemsize for x in arrays)], "<u4").tobytes() + np.array([doc[0]], "<i8").tobytes()
+        top = int(x.max())
+        arrays.append(x.astype(np.min_scalar_type(top)) if top else x[:0])
+    head = np.array([len(doc), len(arrays), *(x.itemsize if len(x) else 0 for x in arrays)], "<u4").tobytes() + np.array([doc[0]], "<i8").tobytes()
     return head + b"".join(x.tobytes() for x in arrays)
 
 
@@ -165,14 +183,14 @@ def unpack(data: pa.Buffer) -> list[np.ndarray]:
     at += 8
     out = []
     for size in sizes:
-        out.append(np.frombuffer(data, f"<u{size}", n, at))
+        out.append(np.frombuffer(data, f"<u{size}", n, at) if size else np.zeros(n, np.uint8))
         at += size * n
     out[0] = np.cumsum(out[0], dtype=np.uint64).view(np.int64) + first
     return out
 
 
-def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (bytescan.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def _bucket(ids: np.ndarray, tags: np.ndarray, buckets: int) -> np.ndarray:
+    return (bytescan.mix(ids.view(np.uint64) ^ tags.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _by(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -196,27 +214,27 @@ def _batches(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
 _GROUP, _RUNS = 0, 1
 
 
-def _repeated(width: int, log2: int, bucket_log2: int, merged):
+def _repeated(width: int, log2: int, bucket_log2: int, merged, clashes):
     def settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        doc, pos, h1, h2 = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((pos, doc, h2, h1))
-        doc, pos, h1, h2 = doc[order], pos[order], h1[order], h2[order]
+        doc, tag, pos, h1, h2 = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((pos, tag, doc, h2, h1))
+        doc, tag, pos, h1, h2 = doc[order], tag[order], pos[order], h1[order], h2[order]
         lead = np.ones(len(doc), bool)
         lead[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         at = np.maximum.accumulate(np.where(lead, np.arange(len(doc)), 0))
-        later = (doc != doc[at]) | (pos != pos[at])
+        later = (doc != doc[at]) | (tag != tag[at]) | (pos != pos[at])
         top = (h1[lead] >> np.uint64(64 - bucket_log2)).astype(np.int64)
-        rows = [(k, _GROUP, data) for k, data in _by(top, doc[lead], pos[lead], h1[lead], h2[lead])]
+        rows = [(k, _GROUP, data) for k, data in _by(top, doc[lead], pos[lead], tag[lead], h1[lead], h2[lead])]
         if later.any():
-            d, p = doc[later], pos[later]
-            order = np.lexsort((p, d))
-            d, p = d[order], p[order]
+            d, t, p = doc[later], tag[later], pos[later]
+            order = np.lexsort((p, t, d))
+            d, t, p = d[order], t[order], p[order]
             new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (p[1:] > p[:-1] + width)
+            new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + width)
             heads = np.flatnonzero(new)
             tails = np.concatenate([heads[1:] - 1, [len(d) - 1]])
-            d, p, size = d[heads], p[heads], p[tails] + width - p[heads]
-            rows += [(k, _RUNS, data) for k, data in _by(_bucket(d, 1 << bucket_log2), d, p, size)]
+            d, t, p, size = d[heads], t[heads], p[heads], p[tails] + width - p[heads]
+            rows += [(k, _RUNS, data) for k, data in _by(_bucket(d, t, 1 << bucket_log2), d, p, t, size)]
         yield from _batches(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +247,8 @@ def _repeated(width: int, log2: int, bucket_log2: int, merged):
                 for k, cell in enumerate(_cells(h1, h2, log2)):
                     maybe &= (bits[k][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
                 if maybe.any():
-                    ids = part.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
-                    held.append((ids[row[maybe]], pos[maybe].astype(np.int64), h1[maybe], (h2[maybe] & np.uint64(0xFFFFFFFF))))
+                    ids, tags = _keys(part, clashes.value)
+                    held.append((ids[row[maybe]], tags[row[maybe]], pos[maybe].astype(np.int64), h1[maybe], (h2[maybe] & np.uint64(0xFFFFFFFF))))
                     n += int(maybe.sum())
                 if n > HELD:
                     yield from settle(held)
@@ -247,16 +265,16 @@ def _mark(width: int, doc_buckets: int):
     def settle(held: list[list[np.ndarray]], runs: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         found = [tuple(x) for x in runs]
         if held:
-            doc, pos, h1, h2 = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((pos, doc, h2, h1))
-            doc, pos, h1, h2 = doc[order], pos[order].astype(np.int64), h1[order], h2[order]
+            doc, pos, tag, h1, h2 = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((pos, tag, doc, h2, h1))
+            doc, pos, tag, h1, h2 = doc[order], pos[order].astype(np.int64), tag[order], h1[order], h2[order]
             lead = np.ones(len(doc), bool)
             lead[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             at = np.maximum.accumulate(np.where(lead, np.arange(len(doc)), 0))
-            later = (doc != doc[at]) | (pos != pos[at])
-            found.append((doc[later], pos[later], np.full(int(later.sum()), width)))
-        doc, pos, size = (np.concatenate(x) for x in zip(*found))
-        yield from _batches([(k, 0, data) for k, data in _by(_bucket(doc, doc_buckets), doc, pos.astype(np.int64), size)])
+            later = (doc != doc[at]) | (tag != tag[at]) | (pos != pos[at])
+            found.append((doc[later], pos[later], tag[later], np.full(int(later.sum()), width)))
+        doc, pos, tag, size = (np.concatenate(x) for x in zip(*found))
+        yield from _batches([(k, 0, data) for k, data in _by(_bucket(doc, tag, doc_buckets), doc, pos.astype(np.int64), tag, size)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, runs = None, [], []
@@ -286,26 +304,29 @@ def _apply(carried: bool):
             for batch in bytescan.slices(whole, "text"):
                 texts = bytescan.as_binary(batch.column("text"))
                 rows, at = [], []
-                for i, (bucket, kind, doc, data, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "doc")), batch.column("data"), texts)):
+                for i, (bucket, kind, doc, tag, data, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "doc", "tag")), batch.column("data"), texts)):
                     if bucket != current:
                         current, packed, marks = bucket, [], None
                     if kind == 0:
                         packed.append([x.copy() for x in unpack(data.as_buffer())])
                         continue
                     if marks is None:
-                        marks = [np.concatenate(x) for x in zip(*packed)] if packed else [np.zeros(0, np.int64)] * 3
-                        order = np.argsort(marks[0], kind="stable")
-                        marks = [x[order].astype(np.int64) for x in marks]
+                        marks = [np.concatenate(x) for x in zip(*packed)] if packed else [np.zeros(0, np.int64)] * 4
+                        marks = [x.astype(np.int64) for x in marks]
+                        order = np.lexsort((marks[2], marks[0]))
+                        marks = [x[order] for x in marks]
                         packed = []
                     at.append(i)
                     text = text.as_py()
                     words = text.split()
                     a, b = np.searchsorted(marks[0], [doc, doc + 1]) if doc < (1 << 63) - 1 else (np.searchsorted(marks[0], doc), len(marks[0]))
+                    own = marks[2][a:b]
+                    a, b = a + np.searchsorted(own, tag), a + np.searchsorted(own, tag, "right")
                     if a == b:
                         rows.append((doc, len(words), 0, text if carried else b" ".join(words)))
                         continue
                     begin = marks[1][a:b]
-                    change = np.bincount(begin, minlength=len(words) + 1) - np.bincount(begin + marks[2][a:b], minlength=len(words) + 1)
+                    change = np.bincount(begin, minlength=len(words) + 1) - np.bincount(begin + marks[3][a:b], minlength=len(words) + 1)
                     keep = np.cumsum(change[:-1]) == 0
                     rows.append((doc, len(words), len(words) - int(keep.sum()), b" ".join(compress(words, keep.tolist()))))
                 if rows:
@@ -320,12 +341,13 @@ def _apply(carried: bool):
     return run
 
 
-def _with_bucket(buckets: int):
+def _with_bucket(buckets: int, clashes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, tags = _keys(batch, clashes.value)
             names = batch.schema.names
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(_bucket(ids, buckets).astype(np.int32))], [*names, "bucket"])
+            own = {"tag": pa.array(tags.view(np.int64))}
+            yield pa.RecordBatch.from_arrays([*(own.get(c, batch.column(c)) for c in names), pa.array(_bucket(ids, tags, buckets).astype(np.int32))], [*names, "bucket"])
 
     return run
 
@@ -340,25 +362,27 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     small_batches(spark)
     key = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc")
     text = F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")
-    rows = docs.select(key, text)
+    tag = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("tag")
+    rows = docs.select(key, tag, text)
     # About six bytes a word; only the widths of the sketch and the buckets depend on this estimate.
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
     log2 = min(MAX_CELLS_LOG2, max(MIN_CELLS_LOG2, (size // 3).bit_length()))
     bucket_log2 = max(6, (size // 6 // BUCKET_WINDOWS).bit_length())
     doc_buckets = max(64, size // BUCKET_BYTES)
     merged = spark.sparkContext.broadcast(sketch(rows, width, log2))
-    found = rows.mapInArrow(_repeated(width, log2, bucket_log2, merged), "bucket int, kind int, data binary")
+    clashes = spark.sparkContext.broadcast(clashing(rows))
+    found = rows.mapInArrow(_repeated(width, log2, bucket_log2, merged, clashes), "bucket int, kind int, data binary")
     found = found.repartition("bucket").sortWithinPartitions("bucket")
     marks = found.mapInArrow(_mark(width, doc_buckets), "bucket int, kind int, data binary")
-    marks = marks.select("bucket", "kind", F.lit(None).cast("long").alias("doc"), "data", F.lit(None).cast("string").alias("text"))
+    marks = marks.select("bucket", "kind", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("tag"), "data", F.lit(None).cast("string").alias("text"))
     if carry is None:
-        inner, texts = "", rows.mapInArrow(_with_bucket(doc_buckets), "doc long, text string, bucket int")
+        inner, texts = "", rows.mapInArrow(_with_bucket(doc_buckets, clashes), "doc long, tag long, text string, bucket int")
     else:
         inner = ", row struct<" + ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry) + ">"
-        own = docs.select(key, text, F.struct(*[docs[c] for c in carry]).alias("row"))
-        texts = own.mapInArrow(_with_bucket(doc_buckets), f"doc long, text string{inner}, bucket int")
+        own = docs.select(key, tag, text, F.struct(*[docs[c] for c in carry]).alias("row"))
+        texts = own.mapInArrow(_with_bucket(doc_buckets, clashes), f"doc long, tag long, text string{inner}, bucket int")
         marks = marks.withColumn("row", F.lit(None).cast(texts.schema["row"].dataType))
-    texts = texts.select("bucket", F.lit(1).alias("kind"), "doc", F.lit(None).cast("binary").alias("data"), "text", *(["row"] if inner else []))
+    texts = texts.select("bucket", F.lit(1).alias("kind"), "doc", "tag", F.lit(None).cast("binary").alias("data"), "text", *(["row"] if inner else []))
     both = marks.unionByName(texts).repartition("bucket").sortWithinPartitions("bucket", "kind")
     kept = both.mapInArrow(_apply(bool(inner)), "doc long, n_words long, n_removed long, kept string" + inner)
     return kept.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept", *(["row"] if inner else []))
