@@ -2,6 +2,7 @@
 
 1. ``language_id``: documents whose language cannot be determined go.
 2. ``near_dedup``: of each SimHash component one document stays, the smallest id.
+   Texts under one id, or without an id, are documents of their own.
 3. ``substring_dedup``: words of passages that also start earlier go; a text all of
    whose words went goes too.
 4. ``mix``: documents as often, and as long, as the source mix takes them.
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import byte_bpe, language_id, mixing, simhash, substring_dedup
-from evenkeel.llm.runtime import NULL_ID, shared_dir
+from evenkeel.llm.runtime import shared_dir
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +34,11 @@ def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each component, one row of it if the row is repeated."""
-    classes = simhash.near_duplicates(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id")).distinct()
-    own = docs.withColumn("__id", F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)))
+    """Keeps the smallest id of each component, of texts that share it or have none the smallest hash; one row of it if the row is repeated."""
+    kept = simhash.leaders(docs).select(F.col("doc").alias("__id"), F.col("tag").alias("__tag"))
+    own = docs.withColumns(dict(zip(["__id", "__tag"], simhash.row_keys(docs))))
     # The join leaves the rows partitioned and sorted by this key, so dropping repeats needs no further shuffle.
-    return own.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    return own.join(kept, ["__id", "__tag"], "left_semi").dropDuplicates(["__id", "__tag"]).select(*docs.columns)
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

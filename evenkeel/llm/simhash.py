@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
@@ -140,7 +140,8 @@ def fingerprints(column: pa.Array) -> np.ndarray:
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in bytescan.slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(fingerprints(part.column("text")).view(np.int64))], ["doc", "fp"])
+            rest = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(fingerprints(part.column("text")).view(np.int64))], [*rest, "fp"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,3 +222,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = prints.join(classes, "fp")
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real("component").alias("component_id"))
+
+
+def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """(doc, tag): what tells documents apart where ids are null or repeated, the id and a hash of the text."""
+    return [F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(docs[text_col].cast("string")).alias("tag")]
+
+
+def leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, tag): of each component of linked fingerprints the smallest key of :func:`row_keys`.
+
+    Unlike in :func:`near_duplicates`, an id ties nothing: texts that share one are linked by what they say only.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(*row_keys(docs, id_col, text_col), docs[text_col].cast("string").alias("text"))
+    prints = stored(rows.mapInArrow(_fingerprint, "doc long, tag long, fp long"))
+    distinct = prints.groupBy("fp").agg(F.min(F.struct("doc", "tag")).alias("first"))
+    components = connected_components(link_edges(distinct.select("fp", F.col("fp").alias("rep"))))
+    classes = distinct.join(components, distinct["fp"] == components["node"], "left").select("first", F.coalesce("component", "fp").alias("component"))
+    return classes.groupBy("component").agg(F.min("first").alias("first")).select("first.doc", "first.tag")

@@ -5,6 +5,7 @@ import random
 import pytest
 import xxhash
 
+import corpus_pipeline
 from evenkeel.llm import substring_dedup
 
 from .frames import WORD, documents
@@ -45,3 +46,13 @@ def test_substring_dedup_tells_texts_of_one_id_apart(spark, monkeypatch, most, p
     monkeypatch.setattr(substring_dedup, "MAX_CLASHES", most)
     got = substring_dedup.dedup_substrings(documents(spark, shared()).repartition(parts)).collect()
     assert sorted(map(tuple, got), key=str) == brute(shared())
+
+
+def test_near_dedup_keeps_unrelated_texts_without_an_id(spark):
+    near = words(21, 200)
+    texts = [(None, words(20, 80)), (None, near), (None, words(22, 60)), (None, words(22, 60)), (5, near + " more"), (6, words(23, 70)), (6, words(24, 70)), (7, words(24, 70))]
+    docs = documents(spark, [(d, t, "en", "s1", len(t), i, "r", "k") for i, (d, t) in enumerate(texts)])
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.stage_near_dedup(spark, docs.repartition(3), "").collect()]
+    want = [texts[k] for k in (0, 1, 2, 5, 6)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert corpus_pipeline.stage_substring_dedup(spark, docs.where("doc_id IS NULL"), "").count() == 4
