@@ -9,6 +9,7 @@ temporary arrays are bounded by ``SEGMENT`` bytes (or by the longest single word
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,27 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, at): all words joined by one space, one more space at the end, and where each word starts in it."""
+    sizes = ends - starts
+    at = np.cumsum(sizes + 1) - (sizes + 1)
+    flat = np.full(int(at[-1] + sizes[-1] + 1) if len(at) else 0, 0x20, np.uint8)
+    is_word = np.ones(len(flat), bool)
+    is_word[at + sizes] = False
+    flat[is_word] = data[~SEPARATOR[data]]
+    return flat, at
+
+
+def digests(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 2) 64-bit halves of the 128-bit BLAKE2b digest of each span."""
+    view, out = memoryview(flat), np.empty((len(begin), 2), np.uint64)
+    for i in range(0, len(begin), 1 << 16):
+        spans = zip(begin[i : i + (1 << 16)].tolist(), end[i : i + (1 << 16)].tolist())
+        part = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in spans])
+        out[i : i + (1 << 16)] = np.frombuffer(part, "<u8").reshape(-1, 2)
+    return out
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i in 0..n."""
     have = _tables.get(base)

@@ -16,9 +16,10 @@ links, found by a search that drops what it has reached, never all pairs; a post
 over ``TILE`` entries is dealt out as pairs of chunks, each a group of its own.
 
 Defined results: a null text has no words; all texts without words share fingerprint
-zero and are linked; rows with the same id are linked to whatever any of them is
-linked to; a null id counts as the smallest id and is returned as null; an empty table
-gives an empty table; other columns are ignored.
+zero and are linked; rows are linked by what they say only, so different texts under one
+id, or without an id, are rows of their own; a component is named by its smallest id,
+null only if none of its rows has one; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,12 +114,8 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     if len(starts) == 0:
         return out
     sizes = ends - starts
-    # The words joined by one space: a separator after each word, word bytes in between.
-    at = np.cumsum(sizes + 1) - (sizes + 1)
-    flat = np.full(int(at[-1] + sizes[-1] + 1), 0x20, np.uint8)
-    is_word = np.ones(len(flat), bool)
-    is_word[at + sizes] = False
-    flat[is_word] = _LOWER[data[~bytescan.SEPARATOR[data]]]
+    flat, at = bytescan.joined(data, starts, ends)
+    flat = _LOWER[flat]
     words = np.diff(first)
     row = np.repeat(np.arange(len(words)), words)
     i = np.arange(len(starts))
@@ -197,7 +194,10 @@ def link_edges(distinct: DataFrame) -> DataFrame:
         for p in positions:
             key = key * 256 + at(p)
         keys.append(key)
-    postings = distinct.select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
+    # Few bytes become 35 times as many rows: a stated number of partitions keeps them from being coalesced before that.
+    spark = distinct.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    postings = distinct.repartition(parts, "fp").select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = postings.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
@@ -211,17 +211,14 @@ def link_edges(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of ``docs``."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"))
     prints = stored(rows.mapInArrow(_fingerprint, "doc long, fp long"))
-    distinct = prints.groupBy("fp").agg(F.min("doc").alias("rep"))
-    # Rows with the same id are one document: they tie their fingerprints together.
-    twins = prints.groupBy("doc").agg(F.min("fp").alias("x"), F.max("fp").alias("y"), F.count("*").alias("n")).where("n > 1 AND x != y").select("doc")
-    ties = prints.join(twins, "doc").select("doc", "fp").join(distinct, "fp").select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a != b")
-    components = connected_components(link_edges(distinct).unionByName(ties))
-    classes = distinct.join(components, distinct["rep"] == components["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = prints.join(classes, "fp")
-    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(real("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real("component").alias("component_id"))
+    distinct = prints.groupBy("fp").agg(F.min("doc").alias("first"))
+    components = connected_components(link_edges(distinct.select("fp", F.col("fp").alias("rep"))))
+    classes = distinct.join(components, distinct["fp"] == components["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
+    names = classes.groupBy("class").agg(F.min("first").alias("component"))
+    out = prints.join(classes.join(names, "class").select("fp", "component"), "fp")
+    return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
@@ -230,10 +227,7 @@ def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tag): of each component of linked fingerprints the smallest key of :func:`row_keys`.
-
-    Unlike in :func:`near_duplicates`, an id ties nothing: texts that share one are linked by what they say only.
-    """
+    """(doc, tag): of each component of linked fingerprints the smallest key of :func:`row_keys`."""
     small_batches(docs.sparkSession)
     rows = docs.select(*row_keys(docs, id_col, text_col), docs[text_col].cast("string").alias("text"))
     prints = stored(rows.mapInArrow(_fingerprint, "doc long, tag long, fp long"))

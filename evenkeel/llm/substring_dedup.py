@@ -13,7 +13,8 @@ number of windows, up to ``MAX_CELLS_LOG2``; the merged sketch, which is broadca
 thereby at most 2 * 2**MAX_CELLS_LOG2 bits (64 MB) at any input size.  Beyond that
 bound it lets more windows through, which costs shuffle but changes no result.
 
-Pass 2.  Only windows estimated repeated are grouped, by 96 bits of hash.  Each task
+Pass 2.  Only windows estimated repeated are grouped, by the 128 bits of a BLAKE2b digest
+of their words, joined by one space; the sketch's own hashes decide nothing.  Each task
 first settles its own repeats: of equal windows it holds, all but the first are removed
 at once and leave as runs, so a window that is in a third of all documents is sent once
 by each task.  What is left travels packed, one row for each hash bucket; a bucket is
@@ -71,15 +72,26 @@ def _keys(batch: pa.RecordBatch, clashes: np.ndarray | None) -> tuple[np.ndarray
     return ids, tags if clashes is None else np.where(np.isin(ids, clashes), tags, np.uint64(0))
 
 
-def _windows(part: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, h1, h2) of all windows of the documents of a batch."""
-    data, offs = bytescan.raw(part.column("text"))
-    starts, ends, first = bytescan.word_spans(data, offs)
-    words = bytescan.hash_words(data, starts, ends)
-    h1, h2 = (bytescan.hash_windows(words, width, k) for k in (1, 2))
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(first))[: len(h1)]
-    inside = np.arange(len(h1)) + width <= first[row + 1]
-    return row[inside], (np.arange(len(h1)) - first[row])[inside], h1[inside], h2[inside]
+class Windows:
+    """All windows of the documents of a batch: ``row``, ``start``, and two hashes for the sketch."""
+
+    def __init__(self, part: pa.RecordBatch, width: int):
+        self.data, offs = bytescan.raw(part.column("text"))
+        self.starts, self.ends, first = bytescan.word_spans(self.data, offs)
+        self.width = width
+        words = bytescan.hash_words(self.data, self.starts, self.ends)
+        h1, h2 = (bytescan.hash_windows(words, width, k) for k in (1, 2))
+        row = np.repeat(np.arange(len(offs) - 1), np.diff(first))[: len(h1)]
+        word = np.arange(len(h1))
+        inside = word + width <= first[row + 1]
+        self.row, self.start, self.word, self.h1, self.h2 = row[inside], (word - first[row])[inside], word[inside], h1[inside], h2[inside]
+
+    def digests(self, some: np.ndarray) -> np.ndarray:
+        """(n, 2): 128 bits of a cryptographic digest of the chosen windows' words, joined by one space."""
+        flat, at = bytescan.joined(self.data, self.starts, self.ends)
+        first = self.word[some]
+        last = first + self.width - 1
+        return bytescan.digests(flat, at[first], at[last] + (self.ends - self.starts)[last])
 
 
 def _cells(h1: np.ndarray, h2: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +130,10 @@ def _sketch(width: int, log2: int):
         held, n = [], 0
         for batch in batches:
             for part in bytescan.slices(batch, "text"):
-                _, _, h1, h2 = _windows(part, width)
-                if len(h1):
-                    held.append(_cells(h1, h2, log2))
-                    n += len(h1)
+                found = Windows(part, width)
+                if len(found.row):
+                    held.append(_cells(found.h1, found.h2, log2))
+                    n += len(found.row)
                 if n > 6 * HELD:
                     yield from send(held)
                     held, n = [], 0
@@ -242,14 +254,15 @@ def _repeated(width: int, log2: int, bucket_log2: int, merged, clashes):
         held, n = [], 0
         for batch in batches:
             for part in bytescan.slices(batch, "text"):
-                row, pos, h1, h2 = _windows(part, width)
-                maybe = np.ones(len(row), bool)
-                for k, cell in enumerate(_cells(h1, h2, log2)):
+                windows = Windows(part, width)
+                maybe = np.ones(len(windows.row), bool)
+                for k, cell in enumerate(_cells(windows.h1, windows.h2, log2)):
                     maybe &= (bits[k][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
                 if maybe.any():
                     ids, tags = _keys(part, clashes.value)
-                    held.append((ids[row[maybe]], tags[row[maybe]], pos[maybe].astype(np.int64), h1[maybe], (h2[maybe] & np.uint64(0xFFFFFFFF))))
-                    n += int(maybe.sum())
+                    row, digest = windows.row[maybe], windows.digests(maybe)
+                    held.append((ids[row], tags[row], windows.start[maybe].astype(np.int64), digest[:, 0], digest[:, 1]))
+                    n += len(row)
                 if n > HELD:
                     yield from settle(held)
                     held, n = [], 0

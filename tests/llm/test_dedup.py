@@ -52,16 +52,14 @@ def brute_print(text):
 
 
 def brute_components(prints):
-    ids = [-(1 << 63) if d is None else d for d, _ in prints]
-    label = list(ids)
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(prints)):
-            for j in range(len(prints)):
-                if (bin(prints[i][1] ^ prints[j][1]).count("1") <= 4 or ids[i] == ids[j]) and label[j] < label[i]:
-                    label[i], changed = label[j], True
-    return [None if x == -(1 << 63) else x for x in label]
+    """Of each row's component, joined by fingerprints alone, the smallest id; None if it has none."""
+    group = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin(prints[i][1] ^ prints[j][1]).count("1") <= 4:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return [min((d for (d, _), h in zip(prints, group) if h == g and d is not None), default=None) for g in group]
 
 
 def test_simhash_matches_brute_force(spark):
@@ -92,5 +90,21 @@ def test_simhash_links_and_chunks(spark, monkeypatch):
         assert label == want
 
 
+def test_simhash_ties_no_texts_by_their_id(spark):
+    texts = [(None, "a b c d e f"), (None, "now for something quite different"), (7, "one text here"), (7, "and other words there"), (8, "and other words there"), (None, "a b c d e f")]
+    table = [(d, t) + (None,) * 6 for d, t in texts]
+    got = sorted(map(tuple, simhash.near_duplicates(documents(spark, table)).collect()), key=str)
+    prints = [(d, brute_print(t)) for d, t in texts]
+    assert got == sorted(((d, f"{p:016x}", c) for (d, p), c in zip(prints, brute_components(prints))), key=str)
+
+
+def test_substring_dedup_of_words_alike_to_a_weak_hash(spark):
+    """Words of a Thue-Morse sequence and of its complement collide in any polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    table = [(1, " ".join([one] * 20)) + (None,) * 6, (2, " ".join([two] * 20)) + (None,) * 6, (3, " ".join([two] * 20)) + (None,) * 6]
+    assert [tuple(r)[1:3] for r in substring_dedup.substring_digest(documents(spark, table)).orderBy("doc_id").collect()] == [(20, 0), (20, 0), (20, 20)]
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
