@@ -58,7 +58,11 @@ def default_pattern() -> str:
 
 
 class Codec:
-    """Encoder and decoder for one rank file and one pattern."""
+    """Encoder and decoder for one rank file and one pattern.
+
+    Joins are right for patterns in which no match goes on from a character that is not
+    white space into white space, and none looks further ahead than a white-space run.
+    """
 
     def __init__(self, ranks_path: str, pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
         with open(ranks_path, "rb") as f:
@@ -146,19 +150,19 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(ranks_path: str | None = None, pattern: str | None = None) -> Codec:
-    """One codec for each worker and vocabulary."""
-    key = (ranks_path or default_ranks(), pattern or default_pattern())
+def codec(ranks_path: str | None = None) -> Codec:
+    """One codec for each worker and vocabulary; the pattern is the one that the joins are proven for."""
+    key = (ranks_path or default_ranks(), default_pattern())
     if key not in _codecs:
         _codecs[key] = Codec(*key)
     return _codecs[key]
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
     """(id, ids): the token ids of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path)
         for batch in batches:
             for part in bytescan.slices(batch, "text", 1 << 20):
                 ids = [own.encode(x or "") for x in part.column("text").to_pylist()]
@@ -168,11 +172,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_
     return rows.mapInArrow(run, "id long, ids array<int>")
 
 
-def decode(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def decode(df: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """(id, data) from (id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path)
         for batch in batches:
             data = [own.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(data, pa.binary())], ["id", "data"])

@@ -12,10 +12,12 @@ space to one symbol each, bytes never seen in training to one symbol.  Contexts
 the longest order that are too rare are left out of the trees (their suffix decides);
 costs for every kept context and symbol are tabulated, so scoring is two lookups a byte.
 
-Training reads only text and language, and whole texts.  Counting is distributed; its
-result is bounded by ``MAX_CONTEXTS`` contexts, so the model that is broadcast is too.
-The rows are a hash sample with an expected ``MAX_TRAIN_DOCS`` per language.  Prediction
-reads nothing but the text.
+Training reads only text and language, and whole texts.  The rows are a hash sample with
+an expected ``MAX_TRAIN_DOCS`` per language, and ``MAX_TRAIN_TOTAL`` in all, shared evenly;
+every symbol of the sample counts, whether seen once or often.  Contexts of two symbols
+and more are kept in turns, each language's most frequent first, so none is starved by
+others, until the tables reach ``MAX_CELLS``; that bounds the model that is broadcast,
+whatever the number of languages.  Prediction reads nothing but the text.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if there
 is nothing to learn from; a tie goes to the first language in code-point order; rows
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan
@@ -39,11 +41,13 @@ from .runtime import small_batches
 ORDER = 3
 #: Expected number of training documents of a language.
 MAX_TRAIN_DOCS = 4000
-#: Contexts of the longest order that are kept, and how often each must have occurred.
+#: Expected number of training documents of all languages together.
+MAX_TRAIN_TOTAL = 100_000
+#: Contexts of an order that are kept, and how often one of the longest order must have occurred.
 MAX_CONTEXTS = 20_000
 MIN_COUNT = 4
-#: Languages that can be learnt; the tables grow with their number.
-MAX_LANGUAGES = 256
+#: Costs (context, symbol, language) of an order: 64 MB in single precision.
+MAX_CELLS = 1 << 24
 UNDETERMINED = "und"
 
 _LETTER = regex.compile(r"\p{L}").search
@@ -93,6 +97,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _turns(kept: np.ndarray, context: np.ndarray, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each kept context its best place in any language's list, most frequent first."""
+    pair, back = np.unique(lang * (int(context.max()) + 1) + context, return_inverse=True)
+    count = np.bincount(back.reshape(-1), n)
+    which, own = pair // (int(context.max()) + 1), pair % (int(context.max()) + 1)
+    order = np.lexsort((own, -count, which))
+    place = np.empty(len(pair), np.int64)
+    place[order] = np.arange(len(pair)) - np.searchsorted(which[order], which[order])
+    best = np.full(len(kept), len(pair), np.int64)
+    at = np.searchsorted(kept, own)
+    ours = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == own)
+    np.minimum.at(best, at[ours], place[ours])
+    return best
+
+
 class Model:
     """Frozen code lengths: ``state`` maps a context to a row of ``cost``."""
 
@@ -126,8 +145,9 @@ class Model:
             kept = np.flatnonzero(total > 0)
             if order == ORDER:
                 kept = np.flatnonzero(total >= MIN_COUNT)
-            if order >= 2 and len(kept) > MAX_CONTEXTS:
-                kept = np.sort(kept[np.lexsort((kept, -total[kept]))[:MAX_CONTEXTS]])
+            most = min(MAX_CONTEXTS, max(1, MAX_CELLS // (size * len(languages))))
+            if order >= 2 and len(kept) > most:
+                kept = np.sort(kept[np.argsort(_turns(kept, context, lang, n), kind="stable")[:most]])
             shorter = state[np.arange(size**order) % max(1, size ** (order - 1))] if order else np.zeros(1, np.int64)
             row_of = np.full(size**order, -1, np.int64)
             row_of[kept] = np.arange(len(kept))
@@ -177,20 +197,16 @@ class Model:
 def train(rows: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model | None:
     """A model from (text, lang, pick), ``pick`` being a uniform hash in 0..2**20 - 1; None without labelled text."""
     labelled = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("docs")).limit(MAX_LANGUAGES + 1).collect()
-    if not sizes:
-        return None
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    # A row per language, MAX_LANGUAGES at most: sampling needs no shuffle of texts by language.
-    rates = rows.sparkSession.createDataFrame([(r.lang, max_docs / r.docs * (1 << 20)) for r in sizes], "l string, below double")
-    sample = labelled.join(F.broadcast(rates), F.col("lang") == F.col("l")).where("pick < below").select("text", "lang")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("docs"))
+    # A row per language, the MAX_TRAIN_TOTAL most frequent at most, so it can be broadcast: sampling shuffles no text.
+    # With very many languages each has less than ``max_docs``, so that the sample stays bounded.
+    share = F.least(F.lit(float(max_docs)), F.lit(float(MAX_TRAIN_TOTAL)) / F.count("*").over(Window.partitionBy(F.lit(1))))
+    rates = sizes.select(F.col("lang").alias("l"), (share / F.col("docs") * (1 << 20)).alias("below"))
+    rates = F.broadcast(rates.orderBy("below", "l").limit(MAX_TRAIN_TOTAL))
+    sample = labelled.join(rates, F.col("lang") == F.col("l")).where("pick < below").select("text", "lang")
     grams = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # Bounded by the alphabet, the sample and this limit, whatever the input; as Arrow columns, not as objects.
-    most = 60 * MAX_CONTEXTS
-    counts = grams.where(F.col("n") > 1).orderBy(F.desc("n"), "lang", "gram").limit(most).toArrow()
-    if not counts.num_rows:
-        counts = grams.orderBy("lang", "gram").limit(most).toArrow()
+    # The grams of a bounded sample, whatever the input; as Arrow columns, not as objects.
+    counts = grams.orderBy("lang", "gram").toArrow()
     if not counts.num_rows:
         return None
     lang = counts.column("lang").combine_chunks().dictionary_encode()
@@ -227,7 +243,8 @@ def identify(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, carry: list[str] |
     spark = docs.sparkSession
     small_batches(spark)
     key = docs["doc_id"].cast("string")
-    pick = F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("pick")
+    # Without an id the text decides, so that rows without one are sampled like others.
+    pick = F.pmod(F.when(key.isNull(), F.xxhash64(docs["text"].cast("string"))).otherwise(F.xxhash64(key)), F.lit(1 << 20)).alias("pick")
     model = train(docs.where(~held_out(docs["doc_id"])).select(docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), pick), max_docs)
     shared = spark.sparkContext.broadcast(model)
     text = docs["text"].cast("string").alias("text")

@@ -193,6 +193,7 @@ def media_features(media: DataFrame, keep_pcm: bool = False) -> DataFrame:
 
 
 def telephony_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: store, read back, digest."""
-    out = media_features(store_media(docs))
-    return out.select(F.col("id").alias("doc_id"), *[c for c in out.columns if c != "id"])
+    """One row per document: store, read back, resample; digests of the stored bytes and of the PCM file."""
+    out = media_features(store_media(docs), keep_pcm=True)
+    pcm = [F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256")]
+    return out.select(F.col("id").alias("doc_id"), *[c for c in out.columns if c not in ("id", "pcm")], *pcm)

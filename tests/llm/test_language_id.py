@@ -63,6 +63,32 @@ def test_held_out_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() > 0.95
 
 
+def test_no_language_is_starved_by_others(spark, monkeypatch):
+    """With tables for few contexts, a language with one short document keeps its most frequent ones, and its singletons count."""
+    monkeypatch.setattr(L, "MAX_CONTEXTS", 12)
+    big = "the quick brown fox jumps over the lazy dog and runs away from here "
+    table = [(3 * i, big * 20, "en") + (None,) * 5 for i in range(40) if zlib.crc32(str(3 * i).encode()) % 3 != 1]
+    small = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    table += [(small, "zwölf boxkämpfer jagen", "de") + (None,) * 5, (9001, "jagen zwölf", None) + (None,) * 5, (9002, "over the fox", None) + (None,) * 5]
+    got = {r.doc_id: r.lang_pred for r in L.identify(documents(spark, table)).collect()}
+    assert got[9001] == "de" and got[9002] == "en"
+
+
+def test_many_languages(spark):
+    """More languages than ever fitted a fixed bound, each of them learnt and told apart by its only singletons."""
+    letters = [chr(0x4E00 + 97 * k) for k in range(300)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1][:300]
+    table = [(i, c * 5, f"l{k:03d}") + (None,) * 5 for k, (i, c) in enumerate(zip(ids, letters))]
+    got = {r.doc_id: r.lang_pred for r in L.identify(documents(spark, table)).collect()}
+    assert sum(got[i] == f"l{k:03d}" for k, i in enumerate(ids)) > 290
+
+
+def test_rows_without_an_id_are_sampled(spark):
+    table = [(None, f"{w} some words of this tongue {k}", lang) + (None,) * 5 for k in range(60) for w, lang in (("the cat", "en"), ("le chat est là", "fr"))]
+    got = L.identify(documents(spark, table), max_docs=20).collect()
+    assert {r.lang_pred for r in got} == {"en", "fr"}
+
+
 def test_awkward_rows(spark):
     got = {r.doc_id: r for r in L.identify(documents(spark)).collect()}
     assert [got[i].lang_pred for i in (6, 7, 8, 11)] == ["und"] * 4

@@ -51,6 +51,33 @@ def test_media(spark):
     assert telephony.telephony_digest(documents(spark, [])).count() == 0
 
 
+def slow_media(text):
+    """media_bytes, media_sha256, feature, pcm_bytes and pcm_sha256 of a text, sample by sample."""
+    data = text + b"\0" * (-len(text) % 64 if text else 64)
+    fmt = struct.pack("<HHIIHH", 7, 1, 8000, 8000, 1, 8)
+    body = b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"fact" + struct.pack("<II", 4, len(data)) + b"data" + struct.pack("<I", len(data)) + data
+    media = b"RIFF" + struct.pack("<I", len(body)) + body
+    ulaw, alaw = telephony.mulaw_table().tolist(), telephony.alaw_table().tolist()
+    pcm, other = [ulaw[b] for b in data], [alaw[b] for b in data]
+    wide = []
+    for x, y in zip(pcm, [*pcm[1:], pcm[-1]]):
+        wide += [x, (x + y) // 2]
+    samples = struct.pack(f"<{len(wide)}h", *wide)
+    adpcm = [x for i in range(0, len(data), 64) for x in slow_adpcm(data[i : i + 64])]
+    rms = lambda v: (sum(x * x for x in v) / len(v)) ** 0.5
+    turns = sum((x < 0) != (y < 0) for x, y in zip(pcm, pcm[1:]))
+    feature = f"ulaw8k rms={rms(pcm):.3f} peak={max(map(abs, pcm))} zc={turns} alaw_rms={rms(other):.3f} adpcm={zlib.crc32(struct.pack(f'<{len(adpcm)}h', *adpcm)):08x} pcm16k={zlib.crc32(samples):08x}"
+    head = b"WAVEfmt " + struct.pack("<I", 16) + struct.pack("<HHIIHH", 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", len(samples))
+    stored = b"RIFF" + struct.pack("<I", len(head) + len(samples)) + head + samples
+    return len(media), hashlib.sha256(media).hexdigest(), feature, len(stored), hashlib.sha256(stored).hexdigest()
+
+
+def test_stored_forms_and_features(spark):
+    got = telephony.telephony_digest(documents(spark)).collect()
+    found = sorted((str(r.doc_id), r.media_bytes, r.media_sha256, r.feature, r.pcm_bytes, r.pcm_sha256) for r in got)
+    assert found == sorted((str(r[0]), *slow_media((r[1] or "").encode())) for r in rows())
+
+
 def own_and_public(**sizes):
     own = byte_bpe.Codec(byte_bpe.default_ranks(), byte_bpe.default_pattern(), **sizes)
     return own, tiktoken.Encoding("own", pat_str=byte_bpe.default_pattern(), mergeable_ranks=own.ranks, special_tokens={})
