@@ -7,14 +7,17 @@ position and symbol, summed, tanh, softmax.  A text's score is the sum over all
 tokens of the log-probability given both sides.
 
 Training.  Windows of 2 * SIDE + 1 tokens are counted over every text of the corpus and
-the counts are added up by a shuffle: that table is what the objective needs, whatever
-the number of texts, and it grows with the corpus.  Each round every task of the table
-starts from the shared weights, takes Adam steps (numpy) over its windows weighted by
-their counts, and returns its weights; they are averaged in two levels, by the counts
-seen.  Windows are dealt out by hash, so tasks see alike samples.  Only the averaged
-weights (tens of kilobytes) and a 256-bin histogram reach the driver.
-
-Scoring runs the network once for each distinct window of a slice of texts.
+dealt by a hash into parts, about one for each ``PART_BYTES`` of text; a part is merged,
+sorted, and written once.  That table is what the objective needs, and it grows with the
+corpus.  Each round every part starts from the shared weights and takes Adam steps (numpy)
+over its windows, weighted by their counts, in an order that its content alone decides;
+then all parts' weights are averaged.  They are rounded to multiples of 2**-``FIXED`` and
+added as integers, so neither the order of rows nor the number of partitions or tasks
+changes a bit of the model.  Only the averaged weights (14,432 numbers) and a 256-bin
+histogram reach the driver.
+
+Scoring runs the network once for each distinct window of a slice of texts; its matrix
+product is exact, so that a window has one score wherever it is met.
 
 Defined results: a null or empty text has no tokens, log-probability 0 and null mean;
 rows with the same id stand each for itself; an empty table gives an empty table;
@@ -27,23 +30,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
 from .language_id import FOLD
 from .runtime import stored
+from .substring_dedup import pack, unpack
 
 SIDE = 3
 SYMBOLS = 64
 HIDDEN = 32
-ROUNDS = 2
-BATCH = 2048
+ROUNDS = 3
+BATCH = 1024
 RATE = 0.01
 SEED = 17
-#: Groups of the first level when weights are averaged.
-FAN = 32
+#: Bytes of text whose windows make a part, and the binary places of the weights that are averaged.
+PART_BYTES = 8 << 20
+FIXED = 24
+#: Windows scored at once.
+SCORED = 1 << 13
+_UNIT = float(1 << 20)
 _BITS = 6
 _SLOTS = 2 * SIDE + 1
 
@@ -96,23 +103,31 @@ class Network:
         net.parts[3][:] = np.log((frequency + 1) / (frequency.sum() + SYMBOLS))
         return net
 
-    def forward(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden, log-probabilities) from the tokens around; the own token is not read."""
+    def forward(self, tokens: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(hidden, log-probabilities) from the tokens around; the own token is not read.
+
+        With ``exact`` both factors of the matrix product are rounded to multiples of
+        2**-20.  Its sums then fit a double without rounding, so they do not depend on the
+        order in which a kernel adds, nor on a window's place in its batch.
+        """
         table, bias, out, out_bias = self.parts
         total = np.broadcast_to(bias, (len(tokens), HIDDEN)).copy()
         for k in range(_SLOTS - 1):
             total += table[k][tokens[:, k + 1]]
         hidden = np.tanh(total)
-        logits = hidden @ out + out_bias
+        if exact:
+            logits = (np.round(hidden.astype(np.float64) * _UNIT) @ np.round(out.astype(np.float64) * _UNIT) / _UNIT**2).astype(np.float32) + out_bias
+        else:
+            logits = hidden @ out + out_bias
         logits -= logits.max(axis=1, keepdims=True)
         logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return hidden, logits
 
     def log_probability(self, keys: np.ndarray) -> np.ndarray:
         out = np.empty(len(keys))
-        for a in range(0, len(keys), 1 << 15):
-            tokens = _tokens(keys[a : a + (1 << 15)])
-            out[a : a + len(tokens)] = self.forward(tokens)[1][np.arange(len(tokens)), tokens[:, 0]]
+        for a in range(0, len(keys), SCORED):
+            tokens = _tokens(keys[a : a + SCORED])
+            out[a : a + len(tokens)] = self.forward(tokens, exact=True)[1][np.arange(len(tokens)), tokens[:, 0]]
         return out
 
     def gradient(self, tokens: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -140,60 +155,69 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
 
 
-def _count(code: np.ndarray):
-    def settle(held: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        keys, back = np.unique(np.concatenate(held), return_inverse=True)
-        return keys, np.bincount(back.reshape(-1), np.concatenate(counts), len(keys)).astype(np.int64)
+def _count(code: np.ndarray, parts: int):
+    """Windows and how often each occurs, packed, one row for each part met."""
+
+    def settle(held: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = _added(held, counts)
+        part = (bytescan.mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        keys, n, part = keys[order], n[order], part[order]
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for i in range(0, len(cuts) - 1, 1024):
+            spans = list(zip(cuts[i:-1], cuts[i + 1 :]))[:1024]
+            data = [pack(keys[x:y], n[x:y]) for x, y in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(part[[x for x, _ in spans]]), pa.array(data, pa.binary())], ["part", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, size = [], [], 0
         for batch in batches:
-            for part in bytescan.slices(batch, "text", 1 << 20):
-                keys, n = np.unique(windows(*bytescan.raw(part.column("text")), code), return_counts=True)
+            for some in bytescan.slices(batch, "text", 1 << 20):
+                keys, n = np.unique(windows(*bytescan.raw(some.column("text")), code), return_counts=True)
                 held.append(keys)
                 counts.append(n)
                 size += len(keys)
                 if size > 1 << 22:
-                    keys, n = settle(held, counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["window", "n"])
+                    yield from settle(held, counts)
                     held, counts, size = [], [], 0
         if size:
-            keys, n = settle(held, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["window", "n"])
+            yield from settle(held, counts)
 
     return run
 
 
+def _added(held: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(np.concatenate(held), return_inverse=True)
+    return keys, np.bincount(back.reshape(-1), np.concatenate(counts), len(keys)).astype(np.int64)
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """One row for a part: its windows in order, and their counts."""
+    rows = [unpack(x.as_buffer()) for x in table.column("data")]
+    keys, n = _added([r[0] for r in rows], [r[1] for r in rows])
+    return pa.table([table.column("part")[:1].cast(pa.int64()), pa.array([pack(keys, n)], pa.binary())], ["part", "data"])
+
+
 def _train(start: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's weights after its steps, as integers."""
+
+    def run(table: pa.Table) -> pa.Table:
         net = Network(start.copy())
-        first, second, step, seen = np.zeros_like(start), np.zeros_like(start), 0, 0
-        for batch in batches:
-            keys = batch.column("window").to_numpy()
-            n = batch.column("n").to_numpy()
-            order = np.random.default_rng(SEED + step).permutation(len(keys))
-            for a in range(0, len(keys), BATCH):
-                pick = order[a : a + BATCH]
-                grad = net.gradient(_tokens(keys[pick]), n[pick].astype(np.float64))
-                step += 1
-                first += 0.1 * (grad - first)
-                second += 0.01 * (grad * grad - second)
-                net.flat -= (RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            seen += int(n.sum())
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % FAN], pa.int32()), pa.array([float(seen)]), pa.array([net.flat.tobytes()], pa.binary())], ["part", "seen", "weights"])
+        first, second = np.zeros_like(start), np.zeros_like(start)
+        keys, n = unpack(table.column("data")[0].as_buffer())
+        order = np.random.default_rng(SEED).permutation(len(keys))
+        for step, a in enumerate(range(0, len(keys), BATCH), 1):
+            pick = order[a : a + BATCH]
+            grad = net.gradient(_tokens(keys[pick]), n[pick].astype(np.float64))
+            first += 0.1 * (grad - first)
+            second += 0.01 * (grad * grad - second)
+            net.flat -= (RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        weights = np.round(net.flat.astype(np.float64) * (1 << FIXED)).astype(np.int64)
+        return pa.table([pa.array([weights], pa.list_(pa.int64()))], ["weights"])
 
     return run
 
 
-def _average(table: pa.Table) -> pa.Table:
-    total, flat = 0.0, 0.0
-    for seen, weights in zip(table.column("seen").to_pylist(), table.column("weights")):
-        flat = flat + seen * np.frombuffer(weights.as_buffer(), np.float32).astype(np.float64)
-        total += seen
-    return pa.table([pa.array([total]), pa.array([(flat / total).astype(np.float32).tobytes()], pa.binary())], ["seen", "weights"])
-
-
 def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(code, weights) from all texts of the column ``text``."""
     histogram = np.zeros(256, np.int64)
@@ -204,14 +228,16 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarra
     symbol[top] = np.arange(1, len(top) + 1)
     code = symbol[FOLD]
     frequency = np.bincount(symbol, histogram, SYMBOLS)
-    table = stored(texts.mapInArrow(_count(code), "window long, n long").groupBy("window").agg(F.sum("n").alias("n")))
+    parts = max(1, int(histogram.sum()) // PART_BYTES)
+    counted = texts.mapInArrow(_count(code, parts), "part long, data binary")
+    table = stored(counted.groupBy("part").applyInArrow(_merge, "part long, data binary"))
     flat = Network.start(frequency).flat
     for _ in range(rounds):
-        each = table.mapInArrow(_train(flat), "part int, seen double, weights binary")
-        rows = each.groupBy("part").applyInArrow(_average, "seen double, weights binary").collect()  # FAN rows at most
-        if rows:
-            total = sum(r.seen for r in rows)
-            flat = (sum(r.seen * np.frombuffer(r.weights, np.float32).astype(np.float64) for r in rows) / total).astype(np.float32)
+        each = table.groupBy("part").applyInArrow(_train(flat), "weights array<long>")
+        sums = each.select(F.posexplode("weights").alias("at", "w")).groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+        rows = sums.toPandas().sort_values("at")  # one row for each weight
+        if len(rows):
+            flat = (rows["w"].to_numpy() / rows["n"].to_numpy() / (1 << FIXED)).astype(np.float32)
     return code, flat
 
 
@@ -220,7 +246,7 @@ def _score(shared):
         code, flat = shared.value
         net = Network(flat)
         for batch in batches:
-            for part in bytescan.slices(batch, "text", 1 << 20):
+            for part in bytescan.slices(batch, "text"):
                 data, offs = bytescan.raw(part.column("text"))
                 keys, back = np.unique(windows(data, offs, code), return_inverse=True)
                 logs = net.log_probability(keys)[back.reshape(-1)]

@@ -48,6 +48,41 @@ def test_scores(spark):
     assert M.Network(flat).log_probability(M.windows(shuffled, np.array([0, len(text)]), code)).mean() < M.Network(flat).log_probability(keys).mean() - 0.3
 
 
+def test_scores_do_not_depend_on_the_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART_BYTES", 40_000)  # several parts
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts, shuffled in ((2, 3), (7, 9), (31, 2)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(shuffled))
+            spark.conf.set("spark.sql.adaptive.enabled", str(shuffled != 9).lower())
+            got.append(sorted(map(tuple, M.score(docs.repartition(parts), rounds=2).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got[0] == got[1] == got[2]
+
+
+def test_scores_by_a_slow_network(spark):
+    """Token by token, in double precision, straight from the weights."""
+    docs = documents(spark)
+    code, flat = M.train(docs.select("text"))
+    table, bias, out, out_bias = (p.astype(np.float64) for p in M.Network(flat).parts)
+    found = {r.doc_id: r for r in M.score(docs).collect()}
+    for i in (0, 2, 9, 11, 13, 17):
+        tokens = [int(code[0x20])] * M.SIDE + [int(code[b]) for b in rows()[i][1].encode()] + [int(code[0x20])] * M.SIDE
+        total = 0.0
+        for at in range(M.SIDE, len(tokens) - M.SIDE):
+            hidden = bias.copy()
+            for k in range(1, M.SIDE + 1):
+                hidden += table[2 * k - 2][tokens[at - k]] + table[2 * k - 1][tokens[at + k]]
+            logits = np.tanh(hidden) @ out + out_bias
+            total += logits[tokens[at]] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        assert found[i].n_tokens == len(tokens) - 2 * M.SIDE
+        assert abs(found[i].log_prob - total) < 1e-3 * found[i].n_tokens ** 0.5 + 1e-4
+        assert abs(found[i].perplexity - np.exp(-total / found[i].n_tokens)) < 1e-2
+
+
 def test_awkward_rows(spark):
     got = M.score(documents(spark)).collect()
     assert len(got) == len(rows())
