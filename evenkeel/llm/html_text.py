@@ -4,15 +4,19 @@ A page is cut into blocks (text between block-level boundaries).  A log-linear
 classifier over a block's containers, class and id words, link density and length
 gives each block a cost for either label, which become its terminal capacities.
 Blocks next to each other, and blocks that follow each other under the same parent or
-close to each other in the tree, are tied by smoothness edges.  The minimum cut, found
-by max-flow, is the cheapest labelling; its content side is the text.
+close to each other in the tree, are tied by smoothness edges, strongly if they are
+alike (same element, same class), weakly across a container that speaks for one label.
+Costs and ties are of one size: ties settle what a block's own words leave open, a short
+line between paragraphs or a sentence among links.  The minimum cut, found by max-flow,
+is the cheapest labelling; its content side is the text.
 
 Before the flow, blocks whose own capacities outweigh all their ties are settled and
 folded into their neighbours, which leaves the cut as it is and most pages without
 any flow to compute.
 
 Text: character references decoded, white space inside a block turned into one space,
-trimmed, blocks joined by two newlines; ``br`` is white space.  Nothing is capped.
+trimmed, blocks joined by two newlines; ``br`` is white space.  Nothing is capped, and
+reading a page takes time in proportion to its size, however deep its elements nest.
 
 Defined results: null or empty html gives an empty text; broken markup is read
 leniently (an unclosed script or comment runs to the end of the page); repeated rows
@@ -24,7 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,12 +51,14 @@ BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner billboard breadcrumb breadcrumbs byline-links comment comments commentlist consent cookie cookies copyright credits disqus disclaimer footer footnav gdpr header-nav login masthead menu menus modal nav navbar navigation newsletter notice notices alert overlay pager pagination paywall popup popups print promo promoted promotion related recommended reply replies respond share sharing shares sidebar sidebars signup sitemap skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar tooltip widget widgets".split()
 )
 CONTENT_WORDS = frozenset("article articlebody body content entry main maincontent post postbody story text".split())
-W_BIAS, W_ARTICLE, W_OUTSIDE, W_BOILER_WORD, W_CONTENT_WORD = -0.4, 4.0, -9.0, -9.0, 1.5
-W_WORDS, W_LINKS, W_SENTENCE, W_HEADING, W_LIST = 1.2, -5.0, 0.8, 0.6, -0.6
-#: Ties: of neighbours, of neighbours under one parent, and the share kept per step apart in the tree.
-TIE_NEXT, TIE_PARENT, TIE_DECAY = 0.25, 0.5, 0.6
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+W_BIAS, W_ARTICLE, W_OUTSIDE, W_BOILER_WORD, W_CONTENT_WORD = -0.4, 2.5, -4.0, -4.0, 1.0
+W_WORDS, W_LINKS, W_SENTENCE, W_HEADING, W_LIST = 1.2, -4.0, 0.8, 0.6, -0.6
+#: Ties: of neighbours, of neighbours by closeness, the share kept per step apart in the tree, of followers under one parent.
+TIE_NEXT, TIE_NEAR, TIE_DECAY, TIE_PARENT = 0.2, 0.6, 0.6, 1.4
+#: The share of a tie that blocks of another class, of another element, or of a container with another say keep.
+OTHER_CLASS, OTHER_KIND, OTHER_SAY = 0.6, 0.5, 0.2
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)[^>]*>")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -60,22 +66,29 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 
 
 class Block:
-    __slots__ = ("parts", "linked", "path", "kind", "article", "outside", "boiler", "content")
+    __slots__ = ("parts", "linked", "node", "article", "outside", "boiler", "content")
 
-    def __init__(self, path, kind, article, outside, boiler, content):
-        self.parts, self.linked, self.path, self.kind = [], 0, path, kind
-        self.article, self.outside, self.boiler, self.content = article, outside, boiler, content
+    def __init__(self, top: "_Open"):
+        self.parts, self.linked, self.node = [], 0, top.held
+        self.article, self.outside, self.boiler, self.content = top.article, top.outside, top.boiler, top.content
 
 
 class _Open:
-    __slots__ = ("tag", "number", "article", "outside", "boiler", "content", "silent", "link")
+    """An element; ``held`` is the nearest block-level one from here up, ``up`` and ``level`` are that one's parent and depth."""
+
+    __slots__ = ("tag", "number", "names", "held", "up", "level", "article", "outside", "boiler", "content", "silent", "link")
 
     def __init__(self, tag, number, parent, attributes):
-        self.tag, self.number = tag, number
+        self.tag, self.number, self.names = tag, number, ""
         self.article = self.outside = self.boiler = self.content = self.silent = self.link = False
+        self.held, self.up, self.level = self, None, 0
         if parent is not None:
             self.article, self.outside, self.boiler, self.content = parent.article, parent.outside, parent.boiler, parent.content
             self.silent, self.link = parent.silent, parent.link
+            if tag in BLOCK:
+                self.up, self.level = parent.held, parent.held.level + 1
+            else:
+                self.held = parent.held
         if tag in ("article", "main"):
             self.article = True
         elif tag in OUTSIDE or (tag == "header" and not self.article):
@@ -89,6 +102,8 @@ class _Open:
                     self.outside |= value in _ROLES
                     self.article |= value in ("main", "article")
                     continue
+                if name.lower() == "class":
+                    self.names = value
                 words = {value, *value.split(), *_WORD.findall(value)}
                 self.boiler |= not words.isdisjoint(BOILER_WORDS)
                 self.content |= not words.isdisjoint(CONTENT_WORDS)
@@ -99,6 +114,16 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     root = _Open("#root", 0, None, "")
     stack, current, number = [root], None, 0
+    opened: Counter[str] = Counter()
+    blocks = [0]  # places of the block-level elements in the stack
+    last = page.rfind(">")
+
+    def close(k: int) -> None:
+        for o in stack[k:]:
+            opened[o.tag] -= 1
+        del stack[k:]
+        while blocks[-1] >= k:
+            blocks.pop()
 
     def text(piece: str) -> None:
         nonlocal current
@@ -108,8 +133,7 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if piece.isspace():
                 return
-            held = next((o for o in reversed(stack) if o.tag in BLOCK), root)
-            current = Block(tuple(o.number for o in stack if o.tag in BLOCK), held.tag, top.article, top.outside, top.boiler, top.content)
+            current = Block(top)
             out.append(current)
         current.parts.append(piece)
         if top.link:
@@ -121,7 +145,7 @@ def blocks_of(page: str) -> list[Block]:
     at, size = 0, len(page)
     while at < size:
         begin = page.find("<", at)
-        if begin < 0:
+        if begin < 0 or (begin > last and not page.startswith("<!--", begin)):
             text(page[at:])
             break
         match = _TAG.match(page, begin) or _LOOSE.match(page, begin)
@@ -137,11 +161,11 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = name.lower()
         if match[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth:
-                if any(o.tag in BLOCK for o in stack[depth:]):
+            if opened[tag]:
+                depth = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag)
+                if blocks[-1] >= depth:
                     current = None
-                del stack[depth:]
+                close(depth)
             elif tag in BLOCK:
                 current = None
             continue
@@ -150,13 +174,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             current = None
-            ending = ENDS.get(tag)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" or (ending and stack[k].tag in ending):
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK and not (ending and stack[k].tag in ("p",)):
-                    break
+            k = blocks[-1]
+            if k and (stack[k].tag == "p" or stack[k].tag in ENDS.get(tag, ())):
+                close(k)
         if tag in VOID:
             continue
         number += 1
@@ -167,7 +187,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if attributes.endswith("/") and tag in ("svg", "math", "path"):
             continue
+        if tag in BLOCK:
+            blocks.append(len(stack))
         stack.append(_Open(tag, number, stack[-1], attributes))
+        opened[tag] += 1
     return out
 
 
@@ -177,26 +200,49 @@ def log_odds(block: Block, text: str) -> float:
     odds = W_BIAS + W_WORDS * min(2.5, math.log1p(words) - 1.2)
     odds += W_LINKS * min(1.0, block.linked / max(1, len(text)))
     odds += W_SENTENCE * (text[-1:] in ".!?…\"'”»")
-    odds += W_ARTICLE * block.article + W_CONTENT_WORD * (block.content and not block.article)
-    odds += W_OUTSIDE * block.outside + W_BOILER_WORD * block.boiler
-    odds += W_HEADING * (block.kind in ("h1", "h2", "h3", "h4", "h5", "h6")) + W_LIST * (block.kind in ("li", "td", "option"))
+    if block.outside or block.boiler:  # the nearer container has the say
+        odds += W_OUTSIDE * block.outside + W_BOILER_WORD * block.boiler
+    else:
+        odds += W_ARTICLE * block.article + W_CONTENT_WORD * (block.content and not block.article)
+    kind = block.node.tag
+    odds += W_HEADING * (kind in ("h1", "h2", "h3", "h4", "h5", "h6")) + W_LIST * (kind in ("li", "td", "option"))
     return odds
 
 
+def apart(a: _Open, b: _Open) -> int:
+    """Steps between two block-level elements; over a page's neighbours they add up to the size of its tree."""
+    steps = 0
+    while a is not b:
+        if a.level >= b.level:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
+
+
+def likeness(a: Block, b: Block) -> float:
+    """The share of its weight that a tie between two blocks keeps."""
+    share = 1.0 if a.node.names == b.node.names else OTHER_CLASS
+    if a.node.tag != b.node.tag:
+        share *= OTHER_KIND
+    if (a.outside, a.boiler, a.article) != (b.outside, b.boiler, b.article):
+        share *= OTHER_SAY
+    return share
+
+
 def ties(found: list[Block]) -> dict[tuple[int, int], float]:
     """Smoothness edges: neighbours on the page, by closeness in the tree, and followers under one parent."""
     edges: dict[tuple[int, int], float] = {}
-    last: dict[tuple, int] = {}
+    last: dict[int, int] = {}
     for j, block in enumerate(found):
         if j:
-            a, b = found[j - 1].path, block.path
-            shared = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-            apart = len(a) + len(b) - 2 * shared
-            edges[j - 1, j] = TIE_NEXT + TIE_PARENT * TIE_DECAY**apart
-        parent = block.path[:-1]
+            near = found[j - 1]
+            edges[j - 1, j] = likeness(near, block) * (TIE_NEXT + TIE_NEAR * TIE_DECAY ** apart(near.node, block.node))
+        parent = block.node.up.number if block.node.up is not None else -1
         i = last.get(parent)
         if i is not None:
-            edges[i, j] = edges.get((i, j), 0.0) + TIE_PARENT
+            edges[i, j] = edges.get((i, j), 0.0) + TIE_PARENT * likeness(found[i], block)
         last[parent] = j
     return edges
 
@@ -281,10 +327,8 @@ def _max_flow(net: list[float], near: list[dict[int, float]]) -> list[bool]:
     return [i in level for i in range(n)]
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page."""
-    if not page:
-        return ""
+def labelled(page: str) -> list[tuple[str, float, bool]]:
+    """(text, classifier's log-odds, kept by the cut) of each block of a page."""
     found, texts = [], []
     for block in blocks_of(page):
         text = " ".join(html.unescape("".join(block.parts)).split())
@@ -293,8 +337,12 @@ def extract(page: str | None) -> str:
             texts.append(text)
     odds = [log_odds(b, t) for b, t in zip(found, texts)]
     cost = lambda x: math.log1p(math.exp(-abs(x))) + max(0.0, -x)
-    keep = minimum_cut([cost(x) for x in odds], [cost(-x) for x in odds], ties(found))
-    return "\n\n".join(t for t, k in zip(texts, keep) if k)
+    return list(zip(texts, odds, minimum_cut([cost(x) for x in odds], [cost(-x) for x in odds], ties(found))))
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page."""
+    return "\n\n".join(text for text, _, kept in labelled(page) if kept) if page else ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
