@@ -2,6 +2,8 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from evenkeel.llm import mixing, sharding
 
 from .frames import WORD, documents, rows
@@ -32,7 +34,7 @@ def brute_mix(docs):
     out = {}
     for s in names:
         words, start = int(target[s] + 0.5), 0
-        key = lambda i: (hashlib.md5(("" if docs[i][0] is None else str(docs[i][0])).encode()).hexdigest(), sizes[i])
+        key = lambda i: (hashlib.md5(((docs[i][2] or "") if docs[i][0] is None else str(docs[i][0])).encode()).hexdigest(), sizes[i])
         for i in sorted(own[s], key=key):
             taken = 0
             if total[s]:
@@ -63,6 +65,34 @@ def test_mixed_documents_hold_the_words_taken(spark, monkeypatch):
     assert {k: v for k, v in taken.items() if v} == dict(words)
 
 
+def test_the_mix_comes_in_the_order_of_its_slots(spark, monkeypatch):
+    """Sources are spread evenly over the mix, and each document stands at its first slot."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
+    docs = documents(spark, [(i, f"d{i} " + "w " * (20 + i % 60), None, f"s{i % 3}", 1, 1, "", "") for i in range(600)])
+    first = {r.doc_id: r.first_slot for r in mixing.mix_digest(docs).collect()}
+    seen, order = [], [(r.doc_id, r.source, len(r.text.split())) for r in mixing.mix(docs).collect()]
+    met = {}
+    for d, _, _ in order:
+        if d not in met:
+            met[d] = len(met)
+            seen.append(first[d])
+    assert seen == sorted(seen) and set(met) == {d for d, s in first.items() if s is not None}
+    words = Counter()
+    for _, s, n in order:
+        words[s] += n
+    half = Counter()
+    for _, s, n in order[: len(order) // 2]:
+        half[s] += n
+    share = sum(half.values()) / sum(words.values())
+    assert all(abs(half[s] - words[s] * share) < 500 for s in words)
+
+
+def test_points_stay_exact_beyond_32_bits(spark):
+    ids = [0, 1, 65535, 65536, (1 << 32) - 1, 1 << 32, 3 * 10**9 + 7, 10**13 + 1]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(mixing.point(F.col("i"))).collect()]
+    assert got == [i * mixing.GOLDEN % (1 << 32) for i in ids]
+
+
 def test_schedule_is_even(spark):
     base = documents(spark, [(i, "w " * 3000, None, f"s{i % 3}", 1, 1, "", "") for i in range(30)])
     sized = mixing.sized(base).cache()
