@@ -5,7 +5,8 @@
    Texts under one id, or without an id, are documents of their own.
 3. ``substring_dedup``: words of passages that also start earlier go; a text all of
    whose words went goes too.
-4. ``mix``: documents as often, and as long, as the source mix takes them.
+4. ``mix``: documents as often, and as long, as the source mix takes them, in the order
+   of the schedule's slots.
 5. ``encode``: token ids, and the text decoded from them.
 
 Every stage but the last returns the columns of ``documents``.  A stage works on all
@@ -35,18 +36,21 @@ def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each component, of texts that share it or have none the smallest hash; one row of it if the row is repeated."""
-    kept = simhash.leaders(docs).select(F.col("doc").alias("__id"), F.col("tag").alias("__tag"))
-    own = docs.withColumns(dict(zip(["__id", "__tag"], simhash.row_keys(docs))))
+    # The row travels as a struct, so no name of the input can clash with the keys.
+    own = docs.select(*simhash.row_keys(docs), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     # The join leaves the rows partitioned and sorted by this key, so dropping repeats needs no further shuffle.
-    return own.join(kept, ["__id", "__tag"], "left_semi").dropDuplicates(["__id", "__tag"]).select(*docs.columns)
+    return own.join(simhash.leaders(docs), ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"]).select("row.*")
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the texts that lost words; drops those that lost all of them."""
     rest = [c for c in docs.columns if c != "text"]
-    marked = docs.withColumn("__null", F.col("text").isNull())
-    out = substring_dedup.dedup_substrings(marked, carry=[*rest, "__null"]).where("n_removed = 0 OR n_removed < n_words")
-    own = {c: F.col(f"row.`{c}`") for c in rest} | {"text": F.when(~F.col("row.__null"), F.col("kept"))}
+    null = "null"
+    while null in docs.columns:
+        null += "_"
+    marked = docs.withColumn(null, F.col("text").isNull())
+    out = substring_dedup.dedup_substrings(marked, carry=[*rest, null]).where("n_removed = 0 OR n_removed < n_words")
+    own = {c: F.col(f"row.`{c}`") for c in rest} | {"text": F.when(~F.col(f"row.`{null}`"), F.col("kept"))}
     if "n_chars" in rest:
         own["n_chars"] = F.length(own["text"]).cast(docs.schema["n_chars"].dataType)
     return out.select(*[own[c].alias(c) for c in docs.columns])
