@@ -77,18 +77,20 @@ def complexity_category(features: Column) -> Column:
     return F.when(features < 10, "low").when(features <= 50, "medium").otherwise("high")
 
 
-#: Name parts and the range a feature of such a name usually has; the first match counts.
+#: Name parts and the range that a feature of such a name usually has; the first match counts.
 NAME_RANGES = (
-    ("age", 18, 100), ("income", 0, 200000), ("salary", 0, 200000), ("price", 0, 100000), ("amount", 0, 50000), ("balance", -10000, 100000),
-    ("duration", 1, 72), ("hours", 0, 100), ("rate", 0, 100), ("percent", 0, 100), ("score", 0, 100), ("discount", 0, 1), ("count", 0, 100), ("quantity", 1, 100), ("weight", 0, 300),
-    ("height", 0, 250), ("year", 1900, 2030), ("tax", 0, 1),
+    ("age", 18, 90), ("hour", 0, 100), ("income", 0, 500000), ("capital", 0, 100000), ("gain", 0, 100000), ("loss", 0, 100000),
+    ("balance", -10000, 100000), ("amount", 0, 100000), ("credit", 0, 50000), ("duration", 0, 100), ("rate", 0, 100), ("weight", 0, 1000000),
+    ("fnlwgt", 10000, 1500000), ("education", 0, 20), ("num", 0, 20), ("campaign", 0, 50), ("pdays", -1, 999), ("previous", 0, 50),
+    ("emp", -5, 5), ("cons", -50, 100), ("euribor", 0, 10), ("nr", 4000, 6000),
 )
 
 
 def guessed_range(name: Column) -> tuple[Column, Column]:
-    """(low, high) by the first known part of the name, else 0 to 1."""
-    lows, highs = F.lit(0.0), F.lit(1.0)
+    """(low, high) by the first known part of the name, case, hyphens and underscores aside; else 0 to 100."""
+    lows, highs = F.lit(0.0), F.lit(100.0)
+    plain = F.translate(F.lower(name), "-_", "")
     for part, low, high in reversed(NAME_RANGES):
-        hit = F.contains(F.lower(name), F.lit(part))
+        hit = F.contains(plain, F.lit(part))
         lows, highs = F.when(hit, float(low)).otherwise(lows), F.when(hit, float(high)).otherwise(highs)
     return lows, highs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import fingerprint
@@ -58,6 +58,17 @@ def cosine(df: DataFrame, known: DataFrame, bound: float = 0.95) -> DataFrame:
     return d.select("id", (1 - F.col("distance")).alias("similarity"), (1 - F.col("distance") >= bound).alias("is_duplicate"))
 
 
+def funnel_of(df: DataFrame, first: str, stages: Sequence[tuple[str, Column]]) -> DataFrame:
+    """(stage, n, dropped) of a funnel whose stages are conditions on the rows, by one aggregation."""
+    passed, counts = F.lit(True), [F.count("*").alias("n0")]
+    for i, (_, condition) in enumerate(stages, 1):
+        passed = passed & F.coalesce(condition, F.lit(False))
+        counts.append(F.count(F.when(passed, 1)).alias(f"n{i}"))
+    names = [first, *[name for name, _ in stages]]
+    each = [F.struct(F.lit(name).alias("stage"), F.col(f"n{i}").alias("n"), (F.col(f"n{max(0, i - 1)}") - F.col(f"n{i}")).alias("dropped")) for i, name in enumerate(names)]
+    return df.agg(*counts).select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
 def funnel(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """(stage, n, dropped): rows left after each stage of a funnel, in order."""
     out = None

@@ -128,3 +128,8 @@ def binary_fairness(df: DataFrame, attribute: str, privileged: str, label: str =
     )
     su, sp, tu, tp, fu, fp = (F.col(c) for c in ("su", "sp", "tu", "tp", "fu", "fp"))
     return out.select(F.lit(attribute).alias("attribute"), (su - sp).alias("spd"), _div(su, sp).alias("disparate_impact"), (tu - tp).alias("equal_opportunity"), ((tu - tp + fu - fp) / 2).alias("average_odds"), F.col("theil"))
+
+
+def all_fairness(df: DataFrame, attribute: str, privileged: str, label: str = "y", pred: str = "pred") -> DataFrame:
+    """One row: both families, :func:`fairness` over all groups and :func:`binary_fairness` against the privileged one."""
+    return fairness(df, [attribute], label, pred).join(binary_fairness(df, attribute, privileged, label, pred), "attribute")  # one row each

@@ -64,3 +64,17 @@ def reaudit(before: DataFrame, after: DataFrame, attributes: Sequence[str], labe
     old, new = (label_parity(x, attributes, label, limit).select("attribute", F.col("dpd").alias(name)) for x, name in ((before, "dpd_before"), (after, "dpd_after")))
     out = old.join(new, "attribute")
     return out.withColumn("improvement", F.col("dpd_before") - F.col("dpd_after")).withColumn("met", F.col("dpd_after") <= limit)
+
+
+def balance_constraints(distributions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(attribute, group, proportion, from_target, priority): what share each group should have of new rows.
+
+    An attribute with targets (:func:`targets`) asks for its target groups' majority shares;
+    one without keeps the minority's own distribution, at priority 2.
+    """
+    aims = wanted.select("attribute", "group", F.col("priority"))
+    named = aims.select("attribute").distinct().withColumn("named", F.lit(True))
+    own = distributions.where("n_minority > 0 OR n_majority > 0").join(named, "attribute", "left").join(aims, ["attribute", "group"], "left")
+    kept = own.where("named IS NULL AND p_minority > 0 OR priority IS NOT NULL")
+    target = F.col("priority").isNotNull()
+    return kept.select("attribute", "group", F.when(target, F.col("p_majority")).otherwise(F.col("p_minority")).alias("proportion"), target.alias("from_target"), F.coalesce("priority", F.lit(2)).alias("priority"))

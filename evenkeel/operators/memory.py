@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import sorted_fingerprint
+from ..functions.reliable import checkpoint
 from . import pairwise
 
 
@@ -30,13 +31,14 @@ def layers(df: DataFrame, memory: DataFrame, columns: Sequence[str], cosine: flo
     known = memory.select(sorted_fingerprint(kinds).alias("__fp")).distinct()
     own = df.withColumn("__fp", sorted_fingerprint(kinds))
     seen = own.join(known, "__fp", "left_semi").select(key, F.lit("hash").alias("verdict"))
-    rest = own.join(known, "__fp", "left_anti").drop("__fp")
+    # Each layer's input is written once: it is read for the verdict and by the next layer.
+    rest = checkpoint(own.join(known, "__fp", "left_anti").drop("__fp"))
     both = df.unionByName(memory).agg(*[F.min(c).alias(f"{c}__min") for c in columns], *[F.max(c).alias(f"{c}__max") for c in columns])
     scaled = F.array(*[F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}__min"), F.col(f"{c}__max") - F.col(f"{c}__min")), F.lit(0.5)) for c in columns])
     vectors = lambda x: x.crossJoin(F.broadcast(both)).select(F.col(key).alias("id"), scaled.alias("v"))  # noqa: E731  one row
-    near = pairwise.nearest(vectors(rest), vectors(memory), "cosine").where(F.col("distance") <= 1 - cosine).select(F.col("id").alias(key))
-    after = rest.join(near, key, "left_anti")
-    close = pairwise.nearest(vectors(after), vectors(tail(memory, window, key)), "gower").where(F.col("distance") < gower).select(F.col("id").alias(key))
+    near = checkpoint(pairwise.nearest(vectors(rest), vectors(memory), "cosine").where(F.col("distance") <= 1 - cosine).select(F.col("id").alias(key)))
+    after = checkpoint(rest.join(near, key, "left_anti"))
+    close = checkpoint(pairwise.nearest(vectors(after), vectors(tail(memory, window, key)), "gower").where(F.col("distance") < gower).select(F.col("id").alias(key)))
     out = seen.unionByName(near.withColumn("verdict", F.lit("cosine"))).unionByName(close.withColumn("verdict", F.lit("gower")))
     return out.unionByName(after.join(close, key, "left_anti").select(key, F.lit("new").alias("verdict")))
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -119,21 +120,64 @@ def central(df: DataFrame, clusters: int) -> DataFrame:
     return out.groupBy("region").agg(F.min_by("id", F.struct("gap", "id")).alias("id"))
 
 
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's count, sums and sums of products of its vectors, as one list."""
+    total = 0.0
+    for batch in batches:
+        if batch.num_rows:
+            v = pairwise._matrix(pa.chunked_array([batch.column("v")]))
+            v = np.hstack([np.ones((len(v), 1)), v])
+            total = total + v.T @ v
+    if np.ndim(total):
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["p"])
+
+
+def dimensions(df: DataFrame, share: float = 0.95) -> tuple[int, int]:
+    """(how many principal axes hold that share of the variance, all dimensions) of (id, v); products are added up per cell."""
+    rows = df.select(F.transform("v", lambda x: x.cast("double")).alias("v"))
+    cells = rows.mapInArrow(_products, "p array<double>").select(F.posexplode("p").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()  # (dims + 1) ** 2 numbers
+    if not cells:
+        return 0, 0
+    p = np.array([r.x for r in cells]).reshape(round(math.sqrt(len(cells))), -1)
+    mean = p[0, 1:] / p[0, 0]
+    held = np.cumsum(np.linalg.eigvalsh(p[1:, 1:] / p[0, 0] - np.outer(mean, mean))[::-1])
+    return int(np.searchsorted(held / max(held[-1], 1e-12), share)) + 1, len(mean)
+
+
+def similarity_threshold(df: DataFrame, label: str = "y", sample: int = 200, neighbours: int = 5) -> DataFrame:
+    """One row: the similarity beyond which a row counts as a duplicate, from (id, y, v), within 0.75 and 0.95.
+
+    0.80, more for many rows, few independent dimensions and a dense minority, less for
+    imbalance.  Dimensions are scaled to unit deviation; density is the mean distance to
+    the last of ``neighbours`` neighbours in a seeded sample of the minority.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # two rows
+    n, low = sum(counts.values()), min(counts.values(), default=0)
+    ratio = max(counts.values(), default=0) / max(1, low)
+    minority = min(counts, key=lambda k: (counts[k], k)) if counts else None
+    sums = df.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("at").collect()  # a row per dimension
+    scale = F.array(*[F.struct(F.lit(float(r.m)).alias("m"), F.lit(float(r.s or 1.0)).alias("s")) for r in sums])
+    scaled = df.withColumn("v", F.zip_with("v", scale, lambda x, y: (x - y.m) / y.s)) if sums else df
+    dim, dims = dimensions(scaled)
+    some = _draw(scaled.where(F.col(label) == minority), sample, "id", "similarity").select("id", "v")
+    k = min(neighbours, max(0, min(sample, low) - 1))
+    far = pairwise.neighbours(some, some, k, exclude_self=True).where(F.col("place") == k).agg(F.avg("distance")).first()[0] if k else None
+    parts = (0.10 * math.log10(max(n, 100)) / 5, 0.05 * (1 - dim / dims) if dims > 1 else 0.0, -0.05 * min(ratio / 10, 1.0), 0.05 / (1 + far) if far is not None else 0.0)
+    found = float(min(0.95, max(0.75, 0.80 + sum(parts))))
+    return df.sparkSession.createDataFrame([(n, float(ratio), dim, far, found)], "n_rows long, ratio double, dim95 int, mean_neighbour double, threshold double")
+
+
+def mean_leaf_fairness(leaves: DataFrame) -> DataFrame:
+    """One row: the mean of :func:`leaf_fairness` over all leaves."""
+    return leaves.agg(F.avg("fairness").alias("mean_fairness"), F.count("*").alias("n_leaves"))
+
+
 def near_duplicate_threshold(df: DataFrame, n_rows: int, ratio: float, sample: int = 500) -> DataFrame:
     """One row: the threshold from size, dimensions that hold 95 percent of the variance, imbalance and density, within 0.05 and 0.5.
 
     The covariance is one aggregation over (id, v); neighbours are measured on a seeded sample.
     """
-    dims = len(df.first().v)
-    cols = [F.col("v")[i] for i in range(dims)]
-    aggs = [F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(dims) for j in range(i, dims)]
-    row = df.agg(*aggs).first()  # dims * (dims + 1) / 2 numbers
-    cov = np.zeros((dims, dims))
-    for i in range(dims):
-        for j in range(i, dims):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-    share = np.cumsum(np.linalg.eigvalsh(cov)[::-1])
-    dim95 = int(np.searchsorted(share / max(share[-1], 1e-12), 0.95)) + 1
+    dim95, dims = dimensions(df)
     some = _draw(df, sample, "id", "threshold")
     nn = pairwise.nearest(some, some, exclude_self=True).agg(F.avg("distance")).first()[0] or 0.0
     t = 0.10 + 0.02 * math.log10(max(1, n_rows)) + 0.05 * dim95 / dims - 0.01 * math.log2(max(1.0, ratio)) + 0.05 / (1 + nn)

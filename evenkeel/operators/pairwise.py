@@ -25,17 +25,25 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _by_size(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """|x - y| over the larger of both sizes and 1; a gap counts 1."""
+    return np.nan_to_num(np.abs(x - y) / np.maximum(np.maximum(np.abs(x), np.abs(y)), 1.0), nan=1.0)
+
+
 def distances(metric: str, a: np.ndarray, b: np.ndarray, categories: int = 0) -> np.ndarray:
-    """All distances of two matrices.  ``gower``: the last ``categories`` columns are codes, the others scaled by range; a gap counts 1."""
+    """All distances of two matrices.  ``gower``: the last ``categories`` columns are codes, the others scaled by range; a gap counts 1.
+    ``gower-raw``: the same for columns without a known range, each difference over the larger size of the two, at least 1."""
     if metric == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
             return 1 - (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
     out = np.zeros((len(a), len(b)))
-    split = a.shape[1] - (categories if metric == "gower" else 0)
+    split = a.shape[1] - (categories if metric.startswith("gower") else 0)
     for k in range(a.shape[1]):
         x, y = a[:, k][:, None], b[:, k][None, :]
         if metric == "euclidean":
             out += (x - y) ** 2
+        elif k < split and metric == "gower-raw":
+            out += _by_size(x, y)
         elif k < split:
             out += np.nan_to_num(np.abs(x - y), nan=1.0)
         else:
@@ -158,6 +166,8 @@ def greedy(df: DataFrame, pairs: DataFrame, order: str = "id", max_rounds: int =
         state = checkpoint(new)
         if state.where("kept IS NULL").limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"rows still undecided after {max_rounds} rounds")
     return df.join(state.where("NOT kept").select(F.col("id").alias(order)), order, "left_anti")
 
 

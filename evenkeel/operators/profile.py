@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import complexity_category, imbalance_category, size_category
+from .quantiles import finite, quantiles, value_counts
 
 
 def balance(df: DataFrame, label: str = "y", target_ratio: float = 1.0, features: int | None = None) -> DataFrame:
@@ -46,32 +47,46 @@ def _stack(row: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> Dat
 def numeric_columns(df: DataFrame, columns: Sequence[str], fence: float = 3.0, discrete_limit: int = 20) -> DataFrame:
     """Per numeric column: nulls, distinct values, moments, quartiles, skewness, outlier fence and kind.
 
-    One aggregation over all columns.  Skewness is bias-corrected; a constant column has
-    skewness null; an empty or all-null one has every statistic null.
+    Moments are one aggregation over all columns, quartiles and distinct counts come from
+    counted values.  Skewness is bias-corrected; a constant column has skewness null; an
+    empty or all-null one has every statistic null.  NaN and infinities count as nulls.
     """
     aggs: list[Column] = []
     for c in columns:
-        x = F.col(c).cast("double")
+        x = finite(F.col(c))
         n, sd = F.count(x), F.stddev_pop(x)
         skew = F.try_divide(F.avg(x * x * x) - 3 * F.avg(x) * F.avg(x * x) + 2 * F.avg(x) * F.avg(x) * F.avg(x), sd * sd * sd)
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         aggs += [
-            (F.count("*") - n).alias(f"{c}__n_null"), F.count_distinct(x).alias(f"{c}__n_unique"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
-            F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__sd"), q[0].alias(f"{c}__q1"), q[1].alias(f"{c}__median"), q[2].alias(f"{c}__q3"),
+            (F.count("*") - n).alias(f"{c}__n_null"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
+            F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__sd"),
             (skew * F.try_divide(F.sqrt(n.cast("double") * (n - 1)), (n - 2).cast("double"))).alias(f"{c}__skewness"),
             F.bool_and(x == F.floor(x)).alias(f"{c}__integral"),
         ]
-    fields = ["n_null", "n_unique", "min", "max", "mean", "sd", "q1", "median", "q3", "skewness", "integral"]
-    out = _stack(df.agg(*aggs), columns, fields)
+    moments = _stack(df.agg(*aggs), columns, ["n_null", "min", "max", "mean", "sd", "skewness", "integral"])
+    names = F.array(*[F.lit(c) for c in columns])
+    found = quantiles(value_counts(df, columns), [0.25, 0.5, 0.75]).select(F.element_at(names, F.col("c") + 1).alias("column"), "n_unique", "q")
+    out = moments.join(found, "column", "left")  # a row per column on both sides
+    out = out.select("column", "n_null", F.coalesce("n_unique", F.lit(0)).alias("n_unique"), "min", "max", "mean", "sd", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "skewness", "integral")
     spread = F.col("q3") - F.col("q1")
     kind = F.when(F.col("n_unique") == 2, "binary").when(F.col("n_unique") <= discrete_limit, "ordinal").when(F.col("integral"), "discrete").otherwise("continuous")
     return out.withColumn("fence_low", F.col("q1") - fence * spread).withColumn("fence_high", F.col("q3") + fence * spread).withColumn("kind", kind).drop("integral")
 
 
-#: Word sets that make a text column ordinal.
+def feature_kinds(df: DataFrame, columns: Sequence[str], few: int = 10) -> DataFrame:
+    """(n_categorical, n_numeric): text columns and those with fewer than ``few`` values are categorical; one row."""
+    text = [c for c, kind in df.select(*columns).dtypes if kind in ("string", "boolean")]
+    rest = [c for c in columns if c not in text]
+    if not rest:
+        return df.sparkSession.range(1).select(F.lit(len(text)).cast("long").alias("n_categorical"), F.lit(0).cast("long").alias("n_numeric"))
+    distinct = value_counts(df, rest).groupBy("c").agg(F.count("*").alias("n"))  # a row per column
+    many = distinct.agg(F.count(F.when(F.col("n") >= few, 1)).alias("n_numeric"))
+    return many.select((F.lit(len(columns)) - F.col("n_numeric")).alias("n_categorical"), "n_numeric")
+
+
+#: Word sets that make a text column ordinal if all of them occur.
 ORDINAL_WORDS = (
     ("low", "medium", "high"), ("small", "medium", "large"), ("poor", "fair", "good", "excellent"),
-    ("never", "rarely", "sometimes", "often", "always"), ("first", "second", "third"), ("primary", "secondary", "tertiary"),
+    ("never", "rarely", "sometimes", "often", "always"), ("none", "some", "many"), ("bad", "neutral", "good"),
 )
 
 
@@ -89,7 +104,7 @@ def text_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         best.alias("mode_count"),
         F.min_by("value", F.when(seen, F.struct((-F.col("n")).alias("k"), "value"))).alias("mode"),
         F.array_join(F.sort_array(F.collect_list("value")), ",").alias("categories"),
-        (F.exists(words, lambda s: F.size(F.array_except(lower, s)) == 0) | F.bool_and(F.col("value").try_cast("double").isNotNull())).alias("is_ordinal"),
+        (F.exists(words, lambda s: F.size(F.array_except(s, lower)) == 0) | F.bool_and(F.col("value").try_cast("double").isNotNull())).alias("is_ordinal"),
     )
     return out.withColumn("is_ordinal", F.coalesce((F.col("n_unique") > 2) & F.col("is_ordinal"), F.lit(False)))
 
@@ -157,7 +172,8 @@ def crosstab(df: DataFrame, group: str, label: str = "y") -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, sd, min, quartiles and max of each column."""
-    return numeric_columns(df, columns).select("column", "mean", "sd", "min", "q1", "median", "q3", "max")
+    own = _stack(df.agg(*[F.count(finite(F.col(c))).alias(f"{c}__count") for c in columns]), columns, ["count"])
+    return own.join(numeric_columns(df, columns), "column").select("column", "count", "mean", "sd", "min", "q1", "median", "q3", "max")
 
 
 def top_categories(df: DataFrame, column: str, k: int) -> DataFrame:

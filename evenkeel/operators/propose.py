@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
+from ..functions.reliable import checkpoint
 from . import pairwise
+from .quantiles import finite, quantile_row
 from .transform import drop_moments, moments, numbered, with_moments
 
 STRATA = (0.10, 0.15, 0.50, 0.15, 0.10)
@@ -23,18 +26,19 @@ def _draw(df: DataFrame, n: int, key: str, seed: str) -> DataFrame:
 
 def typical(df: DataFrame, columns: Sequence[str], n: int, key: str, seed: str = "typical") -> DataFrame:
     """n of the 2n rows with the smallest mean |z| over columns that vary."""
-    out = with_moments(df, moments(df, columns))
+    stats = moments(df, columns, ["mean", "sd1"])
+    out = with_moments(df, stats)
     z = [F.when(F.col(f"{c}__sd1") > 0, F.abs((F.col(c) - F.col(f"{c}__mean")) / F.when(F.col(f"{c}__sd1") > 0, F.col(f"{c}__sd1")))) for c in columns]
     present = F.array_compact(F.array(*z))
     mean = F.coalesce(F.try_divide(F.aggregate(present, F.lit(0.0), lambda s, x: s + x), F.size(present)), F.lit(0.0))
-    out = drop_moments(out.withColumn("typicality", F.round(1 / (1 + mean), 9)))
+    out = drop_moments(out.withColumn("typicality", F.round(1 / (1 + mean), 9)), stats)
     return _draw(out.orderBy(F.desc("typicality"), key).limit(2 * n), n, key, seed)
 
 
 def strata(df: DataFrame, column: str, parts: int = 5) -> DataFrame:
     """``stratum`` 0 to parts - 1 by exact quantile edges, each closed on the right, the lowest inclusive."""
     at = [i / parts for i in range(1, parts)]
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(x) for x in at])).alias("__edges"))
+    edges = quantile_row(df, [column], at).select(F.col(column).alias("__edges"))
     out = df.crossJoin(F.broadcast(edges))  # one row
     over = F.aggregate("__edges", F.lit(0), lambda s, e: s + (F.col(column) > e).cast("int"))
     return out.withColumn("stratum", over).drop("__edges")
@@ -51,16 +55,17 @@ def stratified(df: DataFrame, column: str, n: int, key: str, shares: Sequence[fl
 
 def terciles(df: DataFrame, column: str, low: float = 0.33, high: float = 0.67) -> DataFrame:
     """``band``: low (<= the lower quantile), high (> the upper), else middle."""
-    edges = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__e"))
+    edges = quantile_row(df, [column], [low, high]).select(F.col(column).alias("__e"))
     out = df.crossJoin(F.broadcast(edges))  # one row
     return out.withColumn("band", F.when(F.col(column) <= F.col("__e")[0], "low").when(F.col(column) > F.col("__e")[1], "high").otherwise("middle")).drop("__e")
 
 
 def distance_band(df: DataFrame, columns: Sequence[str], n: int, key: str, odd: bool) -> DataFrame:
     """Rows far from the mean: by scaled distance descending the first 30 percent, or 20 to 50 percent in odd rounds, 2n at least."""
-    out = with_moments(df, moments(df, columns))
+    stats = moments(df, columns, ["mean", "sd1"])
+    out = with_moments(df, stats)
     z = sum((F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__sd1")), F.lit(0.0)) ** 2 for c in columns), F.lit(0.0))
-    out = drop_moments(out.withColumn("distance", F.round(F.sqrt(z), 9)))
+    out = drop_moments(out.withColumn("distance", F.round(F.sqrt(z), 9)), stats)
     total = df.count()
     low = int(0.2 * total) if odd else 0
     size = max(2 * n, int(0.3 * total))
@@ -118,7 +123,7 @@ def copula(df: DataFrame, numeric: Sequence[str], n: int, knots: int = 201, seed
     from .profile import correlations
 
     at = [i / (knots - 1) for i in range(knots)]
-    fitted = df.agg(*[F.percentile(c, F.array(*[F.lit(x) for x in at])).alias(c) for c in numeric]).first()
+    fitted = quantile_row(df, numeric, at).first()
     quantiles = [np.array(fitted[c], float) for c in numeric]
     r = np.eye(len(numeric))
     for row in correlations(df, numeric).collect():  # one row per pair of columns
@@ -138,51 +143,67 @@ def copula(df: DataFrame, numeric: Sequence[str], n: int, knots: int = 201, seed
     return df.sparkSession.range(n).mapInPandas(run, "id long, " + ", ".join(f"{c} double" for c in numeric))
 
 
-def prune_redundant(df: DataFrame, keep: int, most: int = 4096) -> DataFrame:
-    """(id): ``keep`` rows of (id, v) after dropping, one by one, the row most similar to the others on average.
+def prune_redundant(df: DataFrame, keep: int, ahead: int = 4096) -> DataFrame:
+    """(id): ``keep`` rows of (id, v) after dropping, one by one, the row most similar to the others on average; ties: the smallest id.
 
-    Sequential by nature: one group, refused over ``most`` rows.
+    A row's similarity to all others is its unit vector times the sum of all unit vectors,
+    so a pass over the rows needs no pairs.  Each pass brings the ``ahead`` rows with the
+    largest sums and the largest sum of the rest; a drop changes a sum by at most 1, so
+    drops are taken from those rows as long as none of the rest can have overtaken them.
+    Any number of rows goes; the more alike they are, the more passes it takes.
     """
-    if df.count() > most:
-        raise ValueError(f"more than {most} rows")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        v = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-        unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        alive = np.ones(len(pdf), bool)
-        total = (unit @ unit.T).sum(axis=1) - 1
-        while alive.sum() > keep:
-            i = int(np.argmax(np.where(alive, np.round(total, 9), -np.inf)))
+    kind = dict(df.dtypes)["id"]
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    unit = checkpoint(df.select("id", F.transform("v", lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12))).alias("u")))
+    sums = unit.select(F.posexplode("u").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()  # one number per dimension
+    whole, left = np.array([r.x for r in sums]), unit.count()
+    dropped = df.sparkSession.createDataFrame([], f"id {kind}")
+    while left > keep:
+        rows = unit.join(dropped, "id", "left_anti")
+        score = F.aggregate(F.zip_with("u", F.array(*[F.lit(float(x)) for x in whole]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        top = rows.withColumn("score", F.round(score, 9)).orderBy(F.desc("score"), "id").limit(ahead + 1).collect()
+        bound = top[ahead].score if len(top) > ahead else -math.inf
+        top = sorted(top[:ahead], key=lambda r: r.id)
+        u, score, alive, taken = np.array([r.u for r in top]), np.array([r.score for r in top]), np.ones(len(top), bool), []
+        while left > keep and alive.any():
+            i = int(np.argmax(np.where(alive, np.round(score, 9), -np.inf)))
+            if taken and score[i] <= bound + len(taken):
+                break
             alive[i] = False
-            total = total - unit @ unit[i]
-        return pdf.loc[alive, ["id"]]
-
-    return df.select(F.lit(0).alias("all"), "id", "v").groupBy("all").applyInPandas(run, f"id {dict(df.dtypes)['id']}")
+            taken.append(top[i].id)
+            whole, score, left = whole - u[i], score - u @ u[i], left - 1
+        dropped = checkpoint(dropped.unionByName(df.sparkSession.createDataFrame([(x,) for x in taken], f"id {kind}")))  # ``ahead`` rows a pass
+    return unit.join(dropped, "id", "left_anti").select("id")
 
 
-def match_distribution(df: DataFrame, train: DataFrame, columns: Sequence[str], limit: float = 1.0, most: int = 20000) -> DataFrame:
-    """(id): the batch after dropping the row farthest from the training mean until every batch mean is within ``limit`` deviations.
+def match_distribution(df: DataFrame, train: DataFrame, columns: Sequence[str], limit: float = 1.0, buckets: int = 4096) -> DataFrame:
+    """(id): the batch after dropping, column by column, the rows farthest from the training mean until the batch mean is within ``limit`` deviations.
 
-    At least max(10, half) rows stay.  Sequential by nature: one group, refused over ``most`` rows.
+    At least max(10, half) rows stay; ties go by the smallest id; constant training columns
+    are passed over, nulls are never dropped for their column.  The batch mean after any
+    number of drops is a prefix sum in the order of distance, taken in two levels, so any
+    number of rows goes and no task holds a column.
     """
-    if df.count() > most:
-        raise ValueError(f"more than {most} rows")
-    one = moments(train, columns).first()  # one row
-    mean = np.array([one[f"{c}__mean"] for c in columns], float)
-    sd = np.array([one[f"{c}__sd1"] or 1.0 for c in columns], float)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        z = (pdf[list(columns)].to_numpy(float) - mean) / sd
-        alive, least = np.ones(len(pdf), bool), max(10, len(pdf) // 2)
-        while alive.sum() > least:
-            off = z[alive].mean(axis=0)
-            if (np.abs(off) <= limit).all():
-                break
-            worst = int(np.argmax(np.abs(off)))
-            i = int(np.argmax(np.where(alive, z[:, worst] * np.sign(off[worst]), -np.inf)))
-            alive[i] = False
-        return pdf.loc[alive, ["id"]]
-
-    return df.select(F.lit(0).alias("all"), "id", *columns).groupBy("all").applyInPandas(run, f"id {dict(df.dtypes)['id']}")
+    one = moments(train, columns, ["mean", "sd1"]).first()  # one row
+    left = checkpoint(df.select("id", *[finite(F.col(c)).alias(c) for c in columns]))
+    least = max(10, left.count() // 2)
+    for c in columns:
+        mean, sd = one[f"{c}__mean"], one[f"{c}__sd1"]
+        if not sd:
+            continue
+        far = F.abs(F.col(c) - mean) / sd
+        now = left.agg(F.count("*").alias("rows"), F.count(c).alias("n"), F.sum(c).alias("total"), F.max(far).alias("most")).first()
+        if not now.n or abs(now.total / now.n - mean) / sd <= limit or now.rows <= least:
+            continue
+        own = left.where(F.col(c).isNotNull()).select("id", F.col(c).alias("x"), far.alias("far")).withColumn("b", -F.floor(F.col("far") / now.most * buckets))
+        each = own.groupBy("b").agg(F.count("*").alias("m"), F.sum("x").alias("s"))  # buckets + 1 rows at most
+        earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        each = each.select("b", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("m0"), F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("s0"))
+        inside = Window.partitionBy("b").orderBy(F.desc("far"), "id").rowsBetween(Window.unboundedPreceding, 0)
+        own = own.withColumn("m1", F.count("*").over(inside)).withColumn("s1", F.sum("x").over(inside)).join(F.broadcast(each), "b")
+        own = own.select("id", (F.col("m0") + F.col("m1")).alias("k"), (F.col("s0") + F.col("s1")).alias("gone"))
+        rest = F.try_divide(F.lit(now.total) - F.col("gone"), F.lit(now.n) - F.col("k"))
+        enough = (F.abs(rest - mean) / sd <= limit) | (F.lit(now.rows) - F.col("k") <= least)
+        last = own.where(enough).agg(F.min("k")).first()[0]
+        left = checkpoint(left.join(own.where(F.col("k") <= last).select("id"), "id", "left_anti"))
+    return left.select("id")

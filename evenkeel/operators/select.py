@@ -75,32 +75,46 @@ def pareto(df: DataFrame, scores: Sequence[str]) -> DataFrame:
     return df.join(pairwise.skyline(df, scores), list(scores), "left_semi")
 
 
-def dpp(df: DataFrame, n: int, bandwidth: float = 0.5, most: int = 4096) -> DataFrame:
-    """(id, place): greedy determinantal selection of (id, v) under an RBF kernel, by incremental Cholesky.
+def dpp(df: DataFrame, n: int, bandwidth: float = 0.5) -> DataFrame:
+    """(id, place): greedy determinantal selection of (id, v) under an RBF kernel; ties: the smallest id.
 
-    Sequential by nature: one group, so more than ``most`` rows are refused.
+    Each pick is one pass: every task finds its row of the largest gain given the rows
+    chosen so far (n vectors at most), and the best of the tasks' rows is taken.
     """
-    size = df.count()
-    if size > most:
-        raise ValueError(f"{size} rows; at most {most} can be selected from at once")
-
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("id").to_numpy(), kind="stable")
-        ids, v = table.column("id").to_numpy()[order], pairwise._matrix(table.column("v"))[order]
-        kernel = np.exp(-pairwise.distances("euclidean", v, v) ** 2 / (2 * bandwidth**2))
-        gain, factors, chosen = kernel.diagonal().copy(), np.zeros((0, len(ids))), []
-        while len(chosen) < min(n, len(ids)):
-            i = int(np.argmax(np.where(np.isin(np.arange(len(ids)), chosen), -np.inf, gain)))
-            if gain[i] <= 1e-12:
-                break
-            row = (kernel[i] - factors[:, i] @ factors) / np.sqrt(gain[i])
-            factors = np.vstack([factors, row])
-            gain = gain - row**2
-            chosen.append(i)
-        return pa.table([pa.array(ids[chosen]), pa.array(np.arange(1, len(chosen) + 1))], ["id", "place"])
-
     kind = dict(df.dtypes)["id"]
-    return df.select(F.lit(0).alias("all"), "id", "v").groupBy("all").applyInArrow(run, f"id {kind}, place long")
+    rows = df.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+
+    def gains(chosen: np.ndarray):
+        kernel = lambda a, b: np.exp(-pairwise.distances("euclidean", a, b) ** 2 / (2 * bandwidth**2))
+        root = np.linalg.cholesky(kernel(chosen, chosen)) if len(chosen) else None
+
+        def run(batches):
+            best = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, v = batch.column("id"), pairwise._matrix(pa.chunked_array([batch.column("v")]))
+                gain = np.ones(len(v))
+                if root is not None:
+                    gain -= (np.linalg.solve(root, kernel(chosen, v)) ** 2).sum(axis=0)
+                gain = np.round(gain, 9)
+                names = ids.to_numpy(zero_copy_only=False)
+                i = int(np.lexsort((names, -gain))[0])
+                if best is None or (-gain[i], names[i]) < (-best[0], best[1]):
+                    best = (gain[i], names[i], v[i].tolist())
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([float(best[0])]), pa.array([best[1]]), pa.array([best[2]], pa.list_(pa.float64()))], ["gain", "id", "v"])
+
+        return run
+
+    picked: list = []
+    while len(picked) < n:
+        chosen = np.array([p.v for p in picked])
+        best = rows.mapInArrow(gains(chosen), f"gain double, id {kind}, v array<double>").orderBy(F.desc("gain"), "id").limit(1).collect()
+        if not best or best[0].gain <= 1e-9:
+            break
+        picked.append(best[0])
+    return df.sparkSession.createDataFrame([(p.id, i + 1) for i, p in enumerate(picked)], f"id {kind}, place long")  # n rows
 
 
 def diversity_ratios(sample: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:

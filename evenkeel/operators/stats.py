@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import policies
 from ..functions.policies import NEMENYI_Q
+from ..functions.reliable import checkpoint
 from .profile import correlations
 
 
@@ -24,11 +30,14 @@ def mean_ranks(df: DataFrame, block: Sequence[str], method: str, value: str) ->
     return average_ranks(df, block, value).groupBy(method).agg(F.avg("rank").alias("mean_rank"), F.count("*").alias("n_blocks"))
 
 
-def chi2_sf(x: Column, df: Column, terms: int = 30) -> Column:
-    """Upper tail for an even number of degrees of freedom; null for an odd one."""
-    half = x / 2
-    total = F.aggregate(F.sequence(F.lit(0), (df / 2 - 1).cast("int")), F.lit(0.0), lambda s, k: s + F.exp(k * F.ln(half) - F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda t, j: t + F.when(j > 0, F.ln(j.cast("double"))).otherwise(0.0))))
-    return F.when(df % 2 == 0, F.when(x <= 0, 1.0).otherwise(F.exp(-half) * total))
+def chi2_tail(statistic: DataFrame, x: str, dof: str, name: str) -> DataFrame:
+    """The frame with the upper tail of the chi-square distribution, in closed form for any whole degrees of freedom."""
+
+    @F.pandas_udf("double")
+    def tail(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if np.isnan(u) or np.isnan(k) else policies.chi2_sf(u, int(k)) for u, k in zip(a.astype(float), b.astype(float))], dtype=float)
+
+    return statistic.withColumn(name, tail(F.col(x).cast("double"), F.col(dof).cast("double")))  # one row per test
 
 
 def friedman(df: DataFrame, block: Sequence[str], method: str, value: str) -> DataFrame:
@@ -41,7 +50,7 @@ def friedman(df: DataFrame, block: Sequence[str], method: str, value: str) -> Da
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     raw = 12 / (n * k * (k + 1)) * F.col("ss") - 3 * n * (k + 1)
     out = one.withColumn("statistic", F.try_divide(raw, 1 - F.col("ties") / (n * k * (k * k - 1)))).withColumn("dof", F.col("k") - 1)
-    return out.select("statistic", "dof", chi2_sf(F.col("statistic"), F.col("dof")).alias("p_value"), F.col("n").alias("n_blocks"), F.col("k").alias("n_methods"))
+    return chi2_tail(out, "statistic", "dof", "p_value").select("statistic", "dof", "p_value", F.col("n").alias("n_blocks"), F.col("k").alias("n_methods"))
 
 
 def paired(df: DataFrame, block: Sequence[str], method: str, value: str, reference: str) -> DataFrame:
@@ -58,15 +67,70 @@ def signed_ranks(pairs: DataFrame, group: str) -> DataFrame:
     return out.withColumn("rank_biserial", (F.col("w_plus") - F.col("w_minus")) / (F.col("n") * (F.col("n") + 1) / 2))
 
 
-def wilcoxon(pairs: DataFrame, group: str, most: int = 16) -> DataFrame:
-    """Exact two-sided signed-rank test by the 2**n sign patterns; ``most`` bounds n, beyond it p is null."""
+#: Up to so many differences the null distribution is counted exactly; beyond, it is taken as normal.
+EXACT = 200
+
+
+def _exact_tails(table: pa.Table) -> pa.Table:
+    """Both tails of a group's rank sum, by counting the sign patterns of every sum (ranks are halves at the least)."""
+    ranks = np.sort(np.round(2 * table.column("rank").to_numpy())).astype(np.int64)
+    w = int(round(2 * table.column("w")[0].as_py()))
+    share = np.zeros(int(ranks.sum()) + 1)
+    share[0] = 1.0
+    for r in ranks.tolist():
+        moved = np.concatenate([np.zeros(r), share[:-r]])
+        share = (share + moved) / 2
+    low, high = share[: w + 1].sum(), share[w:].sum()
+    return pa.table([table.column("grp")[:1], pa.array([min(1.0, 2 * min(low, high))])], ["grp", "exact"])
+
+
+def wilcoxon(pairs: DataFrame, group: str, most: int = EXACT) -> DataFrame:
+    """(group, n, statistic, p_value): two-sided signed-rank test, zeros dropped, ties sharing their rank.
+
+    Exact for up to ``most`` differences, by the distribution of the rank sum; beyond that
+    by the normal distribution, its variance corrected for ties.  No group is left out.
+    """
     r = average_ranks(pairs.where("diff != 0").withColumn("size", F.abs("diff")), [group], "size", descending=False)
-    g = r.groupBy(group).agg(F.collect_list("rank").alias("ranks"), F.sum(F.when(F.col("diff") > 0, F.col("rank")).otherwise(0.0)).alias("w"), F.sum("rank").alias("all"), F.count("*").alias("n"))
-    rows = g.where(F.col("n") <= most).withColumn("pattern", F.explode(F.expr("sequence(0L, cast(pow(2, n) as bigint) - 1)")))
-    on = lambda i: F.pmod(F.floor(F.col("pattern") / F.pow(F.lit(2.0), i)), F.lit(2)) == 1
-    total = F.aggregate(F.transform("ranks", lambda x, i: F.when(on(i), x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-    tails = rows.withColumn("t", total).groupBy(group).agg(F.first("w").alias("statistic"), F.first("n").alias("n"), F.avg((F.col("t") <= F.col("w") + 1e-9).cast("double")).alias("low"), F.avg((F.col("t") >= F.col("w") - 1e-9).cast("double")).alias("high"))
-    return tails.select(group, "n", "statistic", F.least(F.lit(1.0), 2 * F.least("low", "high")).alias("p_value"))
+    ties = r.groupBy(group, "size").agg(F.count("*").alias("t")).groupBy(group).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    g = r.groupBy(group).agg(F.sum(F.when(F.col("diff") > 0, F.col("rank")).otherwise(0.0)).alias("w"), F.count("*").alias("n")).join(ties, group)
+    n = F.col("n").cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    z = F.abs(F.col("w") - n * (n + 1) / 4) / spread
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.astype(float).map(lambda v: None if np.isnan(v) else math.erfc(v / math.sqrt(2)))
+
+    kind = dict(pairs.dtypes)[group]
+    small = r.join(g.where(F.col("n") <= most).select(group, "w"), group).select(F.col(group).alias("grp"), "rank", "w")  # ``most`` rows a group
+    exact = small.groupBy("grp").applyInArrow(_exact_tails, f"grp {kind}, exact double")
+    out = g.join(exact, F.col(group) == F.col("grp"), "left")
+    return out.select(group, "n", F.col("w").alias("statistic"), F.coalesce("exact", tail(z)).alias("p_value"))
+
+
+def bundle(results: DataFrame, block: Sequence[str], method: str, value: str, reference: str) -> DataFrame:
+    """(report, name, measure, value): every statistic of a table of results in one long table.
+
+    Mean ranks, Friedman's test, the critical difference, and for each method against the
+    reference the mean of both, signed-rank test, Holm's adjustment and effect size.
+    """
+    cells = checkpoint(results.groupBy(*block, method).agg(F.round(F.avg(value), 9).alias(value)))
+    ranks = checkpoint(mean_ranks(cells, block, method, value))
+    pairs = paired(cells, block, method, value, reference)
+    tests = holm(wilcoxon(pairs, method)).join(signed_ranks(pairs, method).select(method, "rank_biserial"), method, "left")
+    parts = [
+        ("ranks", ranks, F.col(method), ["mean_rank", "n_blocks"]),
+        ("friedman", friedman(cells, block, method, value), F.lit("all"), ["statistic", "dof", "p_value", "n_blocks", "n_methods"]),
+        ("critical_difference", critical_difference(ranks), F.lit("all"), ["cd"]),
+        ("means", cells.groupBy(method).agg(F.avg(value).alias("mean")), F.col(method), ["mean"]),
+        ("pairwise", tests, F.col(method), ["n", "statistic", "p_value", "p_holm", "rank_biserial"]),
+    ]
+    out = None
+    for report, df, name, measures in parts:
+        each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+        one = df.select(F.lit(report).alias("report"), name.cast("string").alias("name"), F.explode(each).alias("x")).select("report", "name", "x.measure", "x.value")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def holm(df: DataFrame, p: str = "p_value", name: str = "p_holm") -> DataFrame:

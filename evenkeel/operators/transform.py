@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
+from .quantiles import quantile_row
 
 
 def build_target(df: DataFrame, column: str, positive: str | None = None, default: int = 0, name: str = "y") -> DataFrame:
@@ -20,24 +21,30 @@ def build_target(df: DataFrame, column: str, positive: str | None = None, defaul
     return df.withColumn(name, label)
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: mean, sample and population deviation, min, max and median of each column."""
-    aggs = []
-    for c in columns:
-        aggs += [
-            F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__sd1"), F.stddev_pop(c).alias(f"{c}__sd0"),
-            F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max"), F.percentile(c, F.lit(0.5)).alias(f"{c}__median"),
-        ]
-    return df.agg(*aggs)
+#: The statistics that :func:`moments` can give.
+MOMENTS = {"mean": F.avg, "sd1": F.stddev_samp, "sd0": F.stddev_pop, "min": F.min, "max": F.max}
+
+
+def moments(df: DataFrame, columns: Sequence[str], which: Sequence[str] = tuple(MOMENTS)) -> DataFrame:
+    """One row: the wanted of mean, sample and population deviation, min, max and median of each column, as ``column__mean``."""
+    plain = [m for m in which if m != "median"]
+    out = df.agg(*[MOMENTS[m](c).alias(f"{c}__{m}") for c in columns for m in plain]) if plain else None
+    if "median" in which:
+        middle = quantile_row(df, columns, [0.5]).select(*[F.col(c)[0].alias(f"{c}__median") for c in columns])
+        out = middle if out is None else out.crossJoin(middle)  # one row each
+    return out
 
 
 def with_moments(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Each row beside the one row of statistics."""
+    """Each row beside the one row of statistics; a column of ``df`` with the name of a statistic is an error."""
+    if clash := sorted(set(df.columns) & set(stats.columns)):
+        raise ValueError(f"columns named like statistics: {', '.join(clash)}")
     return df.crossJoin(F.broadcast(stats))  # one row
 
 
-def drop_moments(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if "__" in c])
+def drop_moments(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """The frame without the statistics' columns; no other column goes, whatever its name."""
+    return df.drop(*stats.columns)
 
 
 def label_dimension(df: DataFrame, column: str) -> DataFrame:
@@ -64,13 +71,13 @@ def label_decode(df: DataFrame, column: str, dimension: DataFrame, name: str) ->
 def zscore(df: DataFrame, columns: Sequence[str], stats: DataFrame) -> DataFrame:
     """(x - mean) / population deviation; a constant column gives 0."""
     out = with_moments(df, stats)
-    return drop_moments(out.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__sd0")), F.when(F.col(c).isNotNull(), 0.0)) for c in columns}))
+    return drop_moments(out.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__sd0")), F.when(F.col(c).isNotNull(), 0.0)) for c in columns}), stats)
 
 
 def unscale(df: DataFrame, columns: Sequence[str], stats: DataFrame) -> DataFrame:
     """The inverse of :func:`zscore`."""
     out = with_moments(df, stats)
-    return drop_moments(out.withColumns({c: F.col(c) * F.col(f"{c}__sd0") + F.col(f"{c}__mean") for c in columns}))
+    return drop_moments(out.withColumns({c: F.col(c) * F.col(f"{c}__sd0") + F.col(f"{c}__mean") for c in columns}), stats)
 
 
 def impute(df: DataFrame, train: DataFrame, numeric: Sequence[str], text: Sequence[str] = (), missing: str | None = None) -> DataFrame:
@@ -78,8 +85,9 @@ def impute(df: DataFrame, train: DataFrame, numeric: Sequence[str], text: Sequen
     out = df
     if numeric:
         read = train.select([F.col(c).try_cast("double").alias(c) for c in numeric])
-        out = with_moments(df.withColumns({c: F.col(c).try_cast("double") for c in numeric}), moments(read, numeric))
-        out = drop_moments(out.withColumns({c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.col(f"{c}__median"), F.lit(0.0)) for c in numeric}))
+        stats = moments(read, numeric, ["median"])
+        out = with_moments(df.withColumns({c: F.col(c).try_cast("double") for c in numeric}), stats)
+        out = drop_moments(out.withColumns({c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.col(f"{c}__median"), F.lit(0.0)) for c in numeric}), stats)
     for c in text:
         if missing is not None:
             out = out.withColumn(c, F.coalesce(c, F.lit(missing)))
@@ -102,7 +110,7 @@ def clip(df: DataFrame, columns: Sequence[str], stats: DataFrame) -> DataFrame:
     changed = [F.coalesce(((F.col(c) < F.col(f"{c}__min")) | (F.col(c) > F.col(f"{c}__max"))).cast("int"), F.lit(0)) for c in columns]
     out = out.withColumn("n_clipped", sum(changed, F.lit(0)))
     bounded = {c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"{c}__max")), F.col(f"{c}__min"))) for c in columns}
-    return drop_moments(out.withColumns(bounded))
+    return drop_moments(out.withColumns(bounded), stats)
 
 
 _RULE = re.compile(r"^\s*\w+\s*(>=|<=|>|<)\s*(-?\d+(?:\.\d+)?)\s*$")
@@ -129,12 +137,12 @@ def real_map(df: DataFrame, column: str, low: float, high: float, stats: DataFra
     out = with_moments(df, stats)
     part = F.coalesce(F.try_divide(F.col(column) - F.col(f"{column}__min"), F.col(f"{column}__max") - F.col(f"{column}__min")), F.lit(0.5))
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), part))
-    return drop_moments(out.withColumn(name, low + part * (high - low)))
+    return drop_moments(out.withColumn(name, low + part * (high - low)), stats)
 
 
 def quantile_profile(df: DataFrame, columns: Sequence[str], at: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """(column, p10, p25, ...) by one aggregation."""
-    row = df.agg(*[F.percentile(c, F.array(*[F.lit(x) for x in at])).alias(c) for c in columns])
+    """(column, p10, p25, ...), exact."""
+    row = quantile_row(df, columns, at)
     each = [F.struct(F.lit(c).alias("column"), *[F.col(c)[i].alias(f"p{round(100 * x)}") for i, x in enumerate(at)]) for c in columns]
     return row.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
@@ -180,7 +188,7 @@ def embed(df: DataFrame, numeric: Sequence[str], text: Sequence[str], stats: Dat
 
     out = with_moments(df, stats)
     parts = [scaled(F.col(c), F.col(f"{c}__min"), F.col(f"{c}__max")) for c in numeric] + [category_code(F.col(c)) / 10000.0 for c in text]
-    return drop_moments(out.withColumn(name, F.array(*parts)))
+    return drop_moments(out.withColumn(name, F.array(*parts)), stats)
 
 
 def vary(anchors: DataFrame, n: int, key: str, numeric: Sequence[str], text: Mapping[str, Sequence[str]] | None = None, factors: Sequence[float] = (1.12, 0.88, 1.10)) -> DataFrame:

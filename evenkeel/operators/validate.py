@@ -17,7 +17,8 @@ def _all(tests: Sequence[Column]) -> Column:
 
 def schema_errors(df: DataFrame, train: DataFrame, numeric: Sequence[str], categories: Mapping[str, Sequence] | None = None, integral: Sequence[str] = (), margin: float = 0.0, allow_null: bool = False) -> DataFrame:
     """``errors``: an array of what is wrong with each row.  ``margin`` widens ranges by a share of their width."""
-    out = with_moments(df, moments(train, numeric))
+    stats = moments(train, numeric)
+    out = with_moments(df, stats)
     tests: list[Column] = []
     for c in numeric:
         low, high = F.col(f"{c}__min"), F.col(f"{c}__max")
@@ -32,33 +33,36 @@ def schema_errors(df: DataFrame, train: DataFrame, numeric: Sequence[str], categ
         if not allow_null:
             tests.append(F.when(F.col(c).isNull(), F.lit(f"{c}: missing")))
         tests.append(F.when(~F.col(c).isin(list(values)), F.lit(f"{c}: unknown category")))
-    return drop_moments(out.withColumn("errors", F.array_compact(F.array(*tests))))
+    return drop_moments(out.withColumn("errors", F.array_compact(F.array(*tests))), stats)
 
 
 def range_gate(df: DataFrame, train: DataFrame, columns: Sequence[str], share: float = 0.2, least: float = 0.5, name: str = "in_range") -> DataFrame:
     """Not null and within the training range widened by max(share of its width, least)."""
-    out = with_moments(df, moments(train, columns))
+    stats = moments(train, columns)
+    out = with_moments(df, stats)
     tests = []
     for c in columns:
         low, high = F.col(f"{c}__min"), F.col(f"{c}__max")
         room = F.greatest((high - low) * share, F.lit(least))
         tests.append(F.coalesce(F.col(c).between(low - room, high + room), F.lit(False)))
-    return drop_moments(out.withColumn(name, _all(tests)))
+    return drop_moments(out.withColumn(name, _all(tests)), stats)
 
 
 def z_gate(df: DataFrame, train: DataFrame, columns: Sequence[str], limit: float = 4.5, name: str = "z_ok") -> DataFrame:
     """|x - mean| / sample deviation below the limit in every column that varies; null fails."""
-    out = with_moments(df, moments(train, columns))
+    stats = moments(train, columns)
+    out = with_moments(df, stats)
     tests = [(F.coalesce(F.col(f"{c}__sd1"), F.lit(0.0)) == 0) | F.coalesce(F.abs(F.col(c) - F.col(f"{c}__mean")) < limit * F.col(f"{c}__sd1"), F.lit(False)) for c in columns]
-    return drop_moments(out.withColumn(name, _all(tests)))
+    return drop_moments(out.withColumn(name, _all(tests)), stats)
 
 
 def adaptive_gate(df: DataFrame, train: DataFrame, columns: Sequence[str], name: str = "inside") -> DataFrame:
     """Null or strictly within the training range; ``fidelity`` is the mean of 1 / (1 + |z|), nulls and constants adding 0."""
-    out = with_moments(df, moments(train, columns))
+    stats = moments(train, columns)
+    out = with_moments(df, stats)
     tests = [F.col(c).isNull() | F.col(c).between(F.col(f"{c}__min"), F.col(f"{c}__max")) for c in columns]
     parts = [F.coalesce(F.when(F.col(f"{c}__sd1") > 0, 1 / (1 + F.abs((F.col(c) - F.col(f"{c}__mean")) / F.when(F.col(f"{c}__sd1") > 0, F.col(f"{c}__sd1"))))), F.lit(0.0)) for c in columns]
-    return drop_moments(out.withColumn(name, _all(tests)).withColumn("fidelity", sum(parts, F.lit(0.0)) / len(columns)))
+    return drop_moments(out.withColumn(name, _all(tests)).withColumn("fidelity", sum(parts, F.lit(0.0)) / len(columns)), stats)
 
 
 def fairness_gate(df: DataFrame, targets: Mapping[str, Sequence[str]], name: str = "fair") -> DataFrame:
@@ -76,3 +80,9 @@ def counters(df: DataFrame, gates: Sequence[str]) -> DataFrame:
     """One row: rows in, rows failing each gate, rows valid, and the valid share (1.0 duplicates are not assumed of nothing)."""
     out = df.agg(F.count("*").alias("n"), *[F.count(F.when(~F.col(g), 1)).alias(f"fail_{g}") for g in gates], F.count(F.when(_all([F.col(g) for g in gates]), 1)).alias("n_valid"))
     return out.withColumn("valid_rate", F.coalesce(F.try_divide(F.col("n_valid"), F.col("n")), F.lit(0.0)))
+
+
+def audited(df: DataFrame, train: DataFrame, columns: Sequence[str], targets: Mapping[str, Sequence[str]], statistical: bool = True) -> DataFrame:
+    """``valid``: inside the training range and of a target group; without ``statistical`` the group alone decides."""
+    out = fairness_gate(adaptive_gate(df, train, columns), targets)
+    return out.withColumn("valid", (F.col("inside") | F.lit(not statistical)) & F.col("fair"))

@@ -76,6 +76,14 @@ def ev_fairness_summary(spark, sf):
     return rounded(out, "avg_dpd", "avg_dpr", "avg_eod", "avg_eor", "max_violation")
 
 
+@query("ev_fairness_both", f"""WITH {_RATES}, b AS (SELECT *, quality = 1 AS g, CAST(pred - y + 1 AS DOUBLE) AS b FROM predictions), mu AS (SELECT avg(b) AS mu FROM b),
+s AS (SELECT avg(pred) FILTER (NOT g) su, avg(pred) FILTER (g) sp, avg(pred) FILTER (NOT g AND y = 1) tu, avg(pred) FILTER (g AND y = 1) tp, avg(pred) FILTER (NOT g AND y = 0) fu, avg(pred) FILTER (g AND y = 0) fp, avg(CASE WHEN b > 0 THEN b / mu * ln(b / mu) ELSE 0 END) AS theil FROM b, mu)
+SELECT attribute, round(dpd, 6) AS dpd, round(dpr, 6) AS dpr, round(eod, 6) AS eod, round(eor, 6) AS eor, round(su - sp, 6) AS spd, round(su / sp, 6) AS disparate_impact, round(tu - tp, 6) AS equal_opportunity, round((tu - tp + fu - fp) / 2, 6) AS average_odds, round(theil, 6) AS theil FROM f, s WHERE attribute = 'quality'""")
+def ev_fairness_both(spark, sf):
+    both = evaluate.all_fairness(V.predictions(spark, sf), "quality", "1")
+    return rounded(both, "dpd", "dpr", "eod", "eor", "spd", "disparate_impact", "equal_opportunity", "average_odds", "theil")
+
+
 @query("ev_theil", f"""WITH {P}, b AS (SELECT *, quality = 1 AS g, CAST(pred - y + 1 AS DOUBLE) AS b FROM predictions), mu AS (SELECT avg(b) AS mu FROM b),
 s AS (SELECT avg(pred) FILTER (NOT g) su, avg(pred) FILTER (g) sp, avg(pred) FILTER (NOT g AND y = 1) tu, avg(pred) FILTER (g AND y = 1) tp, avg(pred) FILTER (NOT g AND y = 0) fu, avg(pred) FILTER (g AND y = 0) fp, avg(CASE WHEN b > 0 THEN b / mu * ln(b / mu) ELSE 0 END) AS theil FROM b, mu)
 SELECT 'quality' AS attribute, round(su - sp, 6) AS spd, round(su / sp, 6) AS disparate_impact, round(tu - tp, 6) AS equal_opportunity, round((tu - tp + fu - fp) / 2, 6) AS average_odds, round(theil, 6) AS theil FROM s""")
@@ -139,7 +147,30 @@ def st_wilcoxon(spark, sf):
 SELECT method, round(p_value, 6) AS p_value, round(max(raw) OVER (ORDER BY p_value, method ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM o""".replace("max(raw) OVER (ORDER BY p_value, method ROWS UNBOUNDED PRECEDING)", "max(raw) OVER (ORDER BY p_value, method ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
 def st_holm(spark, sf):
     w = stats.wilcoxon(stats.paired(_cells(spark, sf), ["dataset"], "method", "metric", "BUILDING"), "method")
-    return rounded(stats.holm(w.select("method", F.struct("p_value", "method").alias("o"), "p_value"), "p_value"), "p_value", "p_holm").select("method", "p_value", "p_holm")
+    return rounded(stats.holm(w.select("method", "p_value")), "p_value", "p_holm")
+
+
+_BLOCKS = f"{V.RESULTS}, cell AS (SELECT dataset, classifier, method, round(avg(metric), 9) AS metric FROM results GROUP BY ALL)"
+_BUNDLE = f"""{_BLOCKS}, r AS (SELECT *, {_RANKED.format('dataset, classifier')} AS r FROM cell), s AS (SELECT method, sum(r) AS s, avg(r) AS mean_rank, count(*) AS n_blocks FROM r GROUP BY 1),
+z AS (SELECT count(DISTINCT (dataset, classifier)) AS n, count(DISTINCT method) AS k FROM r), q AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*) AS t FROM r GROUP BY dataset, classifier, metric)),
+f AS (SELECT (12 / (n * k * (k + 1)) * (SELECT sum(s * s) FROM s) - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1.0))) AS x, n, k FROM z, q),
+d AS (SELECT o.method, o.dataset, o.classifier, b.metric - o.metric AS diff FROM cell o JOIN cell b ON o.dataset = b.dataset AND o.classifier = b.classifier WHERE b.method = 'BUILDING' AND o.method <> 'BUILDING'),
+sr AS (SELECT *, rank() OVER (PARTITION BY method ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY method, abs(diff)) - 1) / 2 AS r FROM d WHERE diff <> 0),
+w AS (SELECT method, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS wp, sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS wm, list(r) AS ranks FROM sr GROUP BY 1),
+pat AS (SELECT method, n, wp, list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN (p >> (i - 1)) & 1 = 1 THEN ranks[i] ELSE 0 END)) AS t FROM w, range(0, 32768) q(p) WHERE p < 2 ** n),
+wx AS (SELECT method, least(1.0, 2 * least(avg(CAST(t <= wp + 1e-9 AS DOUBLE)), avg(CAST(t >= wp - 1e-9 AS DOUBLE)))) AS p_value FROM pat GROUP BY method),
+h AS (SELECT *, max(least(1.0, (m - i + 1) * p_value)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p_value, method) AS i, count(*) OVER () AS m FROM wx)),
+u AS (SELECT 'ranks' AS report, method AS name, 'mean_rank' AS measure, mean_rank AS value FROM s UNION ALL SELECT 'ranks', method, 'n_blocks', n_blocks FROM s
+UNION ALL SELECT 'friedman', 'all', unnest(['statistic', 'dof', 'p_value', 'n_blocks', 'n_methods']), unnest([x, k - 1, exp(-x / 2) * (1 + x / 2), n, k]) FROM f
+UNION ALL SELECT 'critical_difference', 'all', 'cd', 2.728::DOUBLE * sqrt(k * (k + 1) / (6.0::DOUBLE * n)) FROM f
+UNION ALL SELECT 'means', method, 'mean', avg(metric) FROM cell GROUP BY method
+UNION ALL SELECT 'pairwise', w.method, unnest(['n', 'statistic', 'p_value', 'p_holm', 'rank_biserial']), unnest([n, wp, h.p_value, h.p_holm, (wp - wm) / (n * (n + 1) / 2)]) FROM w JOIN h USING (method))"""
+
+
+@query("st_bundle", f"WITH {_BUNDLE} SELECT report, name, measure, round(value, 4) AS value FROM u")
+def st_bundle(spark, sf):
+    """Every statistic of the results, blocks of dataset and classifier."""
+    return rounded(stats.bundle(V.results(spark, sf), ["dataset", "classifier"], "method", "metric", "BUILDING"), "value", digits=4)
 
 
 @query("st_cd", f"WITH {_FRIED} SELECT CAST(k AS INTEGER) AS n_methods, n AS n_blocks, round(2.728::DOUBLE * sqrt(k * (k + 1) / (6.0::DOUBLE * n)), 6) AS cd FROM f")

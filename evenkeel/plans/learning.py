@@ -25,14 +25,22 @@ def ml_leaf_fairness(spark, sf):
 
 @query("ml_classifiers")
 def ml_classifiers(spark, sf):
-    t = transform.stratified_split(V.vectors(spark, sf).select("id", "y", *[F.col("v")[i].alias(f"x{i}") for i in range(8)]), "id")
-    return models.compare_classifiers(t.where("split = 'train'"), t.where("split = 'test'"), [f"x{i}" for i in range(8)])
+    v = V.vectors(spark, sf)
+    names = [f"x{i}" for i in range(len(v.select("v").first().v))]
+    t = transform.stratified_split(v.select("id", "y", *[F.col("v")[i].alias(x) for i, x in enumerate(names)]), "id")
+    return models.compare_classifiers(t.where("split = 'train'"), t.where("split = 'test'"), names)
 
 
 @query("ml_threshold")
 def ml_threshold(spark, sf):
     t = V.vectors(spark, sf)
-    return models.near_duplicate_threshold(t.select("id", F.slice("v", 1, 8).alias("v")), t.count(), 9.0)
+    return models.near_duplicate_threshold(t.select("id", "v"), t.count(), 9.0)
+
+
+@query("ml_similarity_threshold")
+def ml_similarity_threshold(spark, sf):
+    t = V.vectors(spark, sf)
+    return models.similarity_threshold(t.select("id", "y", "v"))
 
 
 @query("anc_discriminative")

@@ -100,11 +100,17 @@ def prof_crosstab(spark, sf):
 
 
 @query("prof_describe", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q3, max({c}) AS max FROM customer" for c in ["c_acctbal", "CAST(c_nationkey AS DOUBLE)"]).replace("'CAST(c_nationkey AS DOUBLE)'", "'c_nationkey'"))
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q3, max({c}) AS max FROM customer" for c in ["c_acctbal", "CAST(c_nationkey AS DOUBLE)"]).replace("'CAST(c_nationkey AS DOUBLE)'", "'c_nationkey'"))
 def prof_describe(spark, sf):
     return rounded(profile.describe(V.table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"]), "mean", "sd", "q1", "median", "q3")
 
 
+@query("prof_feature_kinds", """SELECT 2 + CAST(count(DISTINCT l_quantity) < 10 AS BIGINT) + CAST(count(DISTINCT l_extendedprice) < 10 AS BIGINT) + CAST(count(DISTINCT l_discount) < 10 AS BIGINT) + CAST(count(DISTINCT l_tax) < 10 AS BIGINT) + CAST(count(DISTINCT l_linenumber) < 10 AS BIGINT) AS n_categorical,
+  CAST(count(DISTINCT l_quantity) >= 10 AS BIGINT) + CAST(count(DISTINCT l_extendedprice) >= 10 AS BIGINT) + CAST(count(DISTINCT l_discount) >= 10 AS BIGINT) + CAST(count(DISTINCT l_tax) >= 10 AS BIGINT) + CAST(count(DISTINCT l_linenumber) >= 10 AS BIGINT) AS n_numeric FROM lineitem""")
+def prof_feature_kinds(spark, sf):
+    return profile.feature_kinds(V.items(spark, sf), [*COLS, "returnflag", "linestatus"])
+
+
 @query("prof_top_categories", "SELECT p_brand AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 8")
 def prof_top_categories(spark, sf):
     return profile.top_categories(V.table(spark, sf, "part"), "p_brand", 8)
@@ -173,6 +179,15 @@ def fair_targets(spark, sf):
     return rounded(fairness.targets(fairness.group_distributions(V.labelled(spark, sf), SENSITIVE), 0.99), "gap")
 
 
+@query("fair_constraints", f"""WITH {_DIST}, t AS (SELECT attribute, "group", CASE {_SEV.format('(p_majority - p_minority)')} WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS priority FROM dist WHERE p_minority < 0.99 * p_majority AND attribute = 'lang')
+SELECT dist.attribute, dist."group", round(CASE WHEN t.priority IS NOT NULL THEN p_majority ELSE p_minority END, 6) AS proportion, t.priority IS NOT NULL AS from_target, coalesce(t.priority, 2) AS priority
+FROM dist LEFT JOIN t ON t.attribute = dist.attribute AND t."group" = dist."group" WHERE (dist.attribute NOT IN (SELECT attribute FROM t) AND p_minority > 0) OR t.priority IS NOT NULL""")
+def fair_constraints(spark, sf):
+    """Targets for languages, the minority's own distribution for quality."""
+    d = fairness.group_distributions(V.labelled(spark, sf), SENSITIVE)
+    return rounded(fairness.balance_constraints(d, fairness.targets(d, 0.99).where("attribute = 'lang'")), "proportion")
+
+
 @query("fair_pairs", "SELECT 'quality' AS attribute, min(CAST(quality AS VARCHAR)) AS a, max(CAST(quality AS VARCHAR)) AS b FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
 def fair_pairs(spark, sf):
     return fairness.counterfactual_pairs(V.labelled(spark, sf), SENSITIVE)

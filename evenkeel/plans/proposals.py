@@ -60,6 +60,21 @@ def val_fairness(spark, sf):
     return validate.fairness_gate(V.labelled(spark, sf), {"lang": ["fr", "de"], "quality": ["0"], "source": []}).select("doc_id", "fair")
 
 
+@query("val_verdicts", f"""WITH {IC}, {_M} SELECT row_id, {_IN(_WIDE)} AND {_Z} AS valid FROM candidates, m""")
+def val_verdicts(spark, sf):
+    c, t = _ic(spark, sf)
+    return validate.verdicts(validate.z_gate(validate.range_gate(c, t, N), t, N), ["in_range", "z_ok"]).select("row_id", "valid")
+
+
+@query("val_audited", f"""WITH {IC}, {_M} SELECT row_id, kind, ({_IN('0')}) AND kind IN (0, 1, 2) AS valid, kind IN (0, 1, 2) AS valid_group_only FROM candidates, m""")
+def val_audited(spark, sf):
+    """Range and group together, and the group alone where the statistical check is switched off."""
+    c, t = _ic(spark, sf)
+    both = validate.audited(c, t, N, {"kind": ["0", "1", "2"]})
+    alone = validate.audited(both.drop("fair", "inside", "fidelity").withColumnRenamed("valid", "both"), t, N, {"kind": ["0", "1", "2"]}, statistical=False)
+    return alone.select("row_id", "kind", F.col("both").alias("valid"), F.col("valid").alias("valid_group_only"))
+
+
 @query("val_counters", f"""WITH {IC}, {_M}, g AS (SELECT {_IN(_WIDE)} AS in_range, {_Z} AS z_ok FROM candidates, m)
 SELECT count(*) AS n, count(*) FILTER (NOT in_range) AS fail_in_range, count(*) FILTER (NOT z_ok) AS fail_z_ok, count(*) FILTER (in_range AND z_ok) AS n_valid, round(count(*) FILTER (in_range AND z_ok) / count(*), 6) AS valid_rate FROM g""")
 def val_counters(spark, sf):
@@ -86,9 +101,8 @@ x AS (SELECT 0 AS p, 'proposed' AS stage, count(*) AS n FROM candidates UNION AL
 SELECT stage, n, coalesce(lag(n) OVER (ORDER BY p) - n, 0) AS dropped FROM x""")
 def val_funnel(spark, sf):
     c, t = _ic(spark, sf)
-    new = dedup.keep_new(c, t.where("y = 0"), N, "row_id")
-    inside = validate.range_gate(new, t, N).where("in_range")
-    return dedup.funnel([("proposed", c), ("new", new), ("in_range", inside), ("z_ok", validate.z_gate(inside, t, N).where("z_ok"))])
+    own = validate.z_gate(validate.range_gate(dedup.exact(c, t.where("y = 0"), N, "row_id"), t, N), t, N)
+    return dedup.funnel_of(own, "proposed", [("new", F.col("seen") == "new"), ("in_range", F.col("in_range")), ("z_ok", F.col("z_ok"))])
 
 
 def flagship(spark, sf):
@@ -148,6 +162,17 @@ def dd_gower(spark, sf):
     return rounded(dedup.gower(c.where("own").select("id", "v"), c.where("NOT own").select("id", "v"), 0.005, categories=1), "distance")
 
 
+@query("dd_gower_raw", """WITH b AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING' ORDER BY c_custkey DESC LIMIT 100), a AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'),
+d AS (SELECT a.c_custkey AS id, min((abs(a.c_acctbal - b.c_acctbal) / greatest(abs(a.c_acctbal), abs(b.c_acctbal), 1.0) + CAST(a.c_nationkey <> b.c_nationkey AS INTEGER)) / 2) AS d FROM a, b GROUP BY 1)
+SELECT id, round(d, 6) AS distance, d < 0.05 AS is_duplicate FROM d""")
+def dd_gower_raw(spark, sf):
+    """Gower without known ranges, against the last 100 rows remembered."""
+    c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array("c_acctbal", F.col("c_nationkey").cast("double")).alias("v"), (F.col("c_mktsegment") == "BUILDING").alias("own"))
+    last = c.where("NOT own").orderBy(F.desc("id")).limit(100).select("id", "v")
+    d = pairwise.nearest(c.where("own").select("id", "v"), last, "gower-raw", categories=1)
+    return rounded(d.select("id", "distance", (F.col("distance") < 0.05).alias("is_duplicate")), "distance")
+
+
 @query("dd_cosine", f"""WITH {V.VECTORS}, d AS (SELECT a.id, max(list_cosine_similarity(a.v, b.v)) AS s FROM vectors a, vectors b WHERE a.y = 1 AND b.y = 0 GROUP BY 1) SELECT id, round(s, 6) AS similarity, s >= 0.3 AS is_duplicate FROM d""")
 def dd_cosine(spark, sf):
     t = V.vectors(spark, sf)
@@ -291,10 +316,22 @@ def mem_prune(spark, sf):
     return propose.prune_redundant(_sides(spark, sf)[0], 20)
 
 
-@query("mem_match_distribution")
+def _matched() -> str:
+    """Column by column, the rows that are left, as SQL."""
+    out, last = [], "SELECT row_id AS id, quantity, extendedprice, discount FROM candidates"
+    for i, c in enumerate(N):
+        out.append(f"""p{i} AS ({last}), o{i} AS (SELECT p{i}.*, row_number() OVER (ORDER BY abs({c} - {c}_m) / {c}_s DESC, id) AS k, sum({c}) OVER (ORDER BY abs({c} - {c}_m) / {c}_s DESC, id ROWS UNBOUNDED PRECEDING) AS gone,
+  sum({c}) OVER () AS total, count(*) OVER () AS n, {c}_m AS mu, {c}_s AS sd FROM p{i}, m),
+k{i} AS (SELECT CASE WHEN any_value(abs(total / n - mu) / sd) <= 1 OR any_value(n) <= (SELECT greatest(10, count(*) // 2) FROM candidates) THEN 0
+  ELSE min(k) FILTER (abs((total - gone) / nullif(n - k, 0) - mu) / sd <= 1 OR n - k <= (SELECT greatest(10, count(*) // 2) FROM candidates)) END AS last FROM o{i})""")
+        last = f"SELECT id, quantity, extendedprice, discount FROM o{i}, k{i} WHERE k > last"
+    return f"WITH {IC}, {_M}, " + ", ".join(out) + f" SELECT id FROM ({last})"
+
+
+@query("mem_match_distribution", _matched())
 def mem_match_distribution(spark, sf):
     c, t = _ic(spark, sf)
-    return propose.match_distribution(c.where("kind = 4").select(F.col("row_id").alias("id"), *N), t, N)
+    return propose.match_distribution(c.select(F.col("row_id").alias("id"), *N), t, N)
 
 
 @query("mem_tail", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 100")
@@ -304,17 +341,21 @@ def mem_tail(spark, sf):
     return memory.tail(V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey")
 
 
-_LAYERS = f"""{V.VECTORS}, t AS (SELECT id, y, v[1] AS a, v[2] AS b FROM vectors), q AS (SELECT id, a, b FROM t WHERE y = 1 UNION ALL SELECT id + 1000000, a, b FROM t WHERE y = 0 AND id % 7 = 0), mm AS (SELECT id, a, b FROM t WHERE y = 0),
-r AS (SELECT min(a) al, max(a) ah, min(b) bl, max(b) bh FROM t), h AS (SELECT q.*, EXISTS (SELECT 1 FROM mm WHERE printf('%.6f', mm.a) = printf('%.6f', q.a) AND printf('%.6f', mm.b) = printf('%.6f', q.b)) AS hit FROM q),
-s AS (SELECT id, hit, (a - al) / (ah - al) AS x, (b - bl) / (bh - bl) AS z FROM h, r), n AS (SELECT id, (a - al) / (ah - al) AS x, (b - bl) / (bh - bl) AS z, row_number() OVER (ORDER BY id DESC) AS p FROM mm, r),
-d AS (SELECT s.id, any_value(hit) AS hit, max((s.x * n.x + s.z * n.z) / (sqrt(s.x * s.x + s.z * s.z) * sqrt(n.x * n.x + n.z * n.z))) AS c, min((abs(s.x - n.x) + abs(s.z - n.z)) / 2) FILTER (p <= 100) AS g FROM s, n GROUP BY s.id)"""
+_LAYERS = f"""{V.VECTORS}, q AS (SELECT id, v FROM vectors WHERE y = 1 UNION ALL SELECT id + 1000000, v FROM vectors WHERE y = 0), mm AS (SELECT id, v FROM vectors WHERE y = 0),
+r AS (SELECT i, min(x) AS lo, max(x) AS hi FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY i), b AS (SELECT list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM r),
+f AS (SELECT DISTINCT list_transform(v, lambda x: printf('%.6f', x)) AS fp FROM mm), h AS (SELECT q.*, f.fp IS NOT NULL AS hit FROM q LEFT JOIN f ON f.fp = list_transform(q.v, lambda x: printf('%.6f', x))),
+s AS (SELECT id, hit, list_transform(range(1, len(v) + 1), lambda i: (v[i] - lo[i]) / (hi[i] - lo[i])) AS u FROM h, b), n AS (SELECT id, list_transform(range(1, len(v) + 1), lambda i: (v[i] - lo[i]) / (hi[i] - lo[i])) AS u, row_number() OVER (ORDER BY id DESC) AS p FROM mm, b),
+d AS (SELECT s.id, any_value(hit) AS hit, max(list_cosine_similarity(s.u, n.u)) AS c, min(CASE WHEN p <= 100 THEN list_avg(list_transform(range(1, 65), lambda i: abs(s.u[i] - n.u[i]))) END) AS g FROM s, n GROUP BY s.id)"""
 
 
-@query("mem_layers", f"WITH {_LAYERS} SELECT id, CASE WHEN hit THEN 'hash' WHEN c >= 0.9999999 THEN 'cosine' WHEN g < 0.01 THEN 'gower' ELSE 'new' END AS verdict FROM d")
+@query("mem_layers", f"WITH {_LAYERS} SELECT id, CASE WHEN hit THEN 'hash' WHEN c >= 0.95 THEN 'cosine' WHEN g < 0.1 THEN 'gower' ELSE 'new' END AS verdict FROM d")
 def mem_layers(spark, sf):
+    """All vectors, in all their dimensions, against the remembered majority; the majority's own ones are remembered exactly."""
     from ..operators import memory
 
-    t = V.vectors(spark, sf).select("id", "y", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
-    known = t.where("y = 0").drop("y")
-    own = t.where("y = 1").drop("y").unionByName(known.where("id % 7 = 0").withColumn("id", F.col("id") + 1000000))
-    return memory.layers(own, known, ["a", "b"], cosine=0.9999999, gower=0.01, window=100)
+    t = V.vectors(spark, sf)
+    dims = len(t.select("v").first().v)
+    flat = t.select("id", "y", *[F.col("v")[i].alias(f"x{i}") for i in range(dims)])
+    known = flat.where("y = 0").drop("y")
+    own = flat.where("y = 1").drop("y").unionByName(known.withColumn("id", F.col("id") + 1000000))
+    return memory.layers(own, known, [f"x{i}" for i in range(dims)], cosine=0.95, gower=0.1, window=100)

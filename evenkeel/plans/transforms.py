@@ -136,9 +136,9 @@ def fn_fingerprint(spark, sf):
     return V.table(spark, sf, "part").select("p_partkey", C.fingerprint(cols).alias("fp"), C.sorted_fingerprint(cols).alias("sha"))
 
 
-@query("fn_guessed_range", "SELECT name, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM (VALUES ('c_acctbal', 0.0, 1.0), ('p_retailprice', 0.0, 100000.0), ('l_discount', 0.0, 1.0), ('Age_years', 18.0, 100.0)) t(name, low, high)")
+@query("fn_guessed_range", "SELECT name, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high FROM (VALUES ('c_acctbal', 0.0, 100.0), ('Age_years', 18.0, 90.0), ('hours-per-week', 0.0, 100.0), ('annual_income', 0.0, 500000.0), ('capital-gain', 0.0, 100000.0), ('fnlwgt', 10000.0, 1500000.0), ('education-num', 0.0, 20.0), ('emp.var.rate', 0.0, 100.0), ('NR_employed', -5.0, 5.0), ('n-r', 4000.0, 6000.0), ('pdays', -1.0, 999.0)) t(name, low, high)")
 def fn_guessed_range(spark, sf):
-    t = spark.createDataFrame([("c_acctbal",), ("p_retailprice",), ("l_discount",), ("Age_years",)], "name string")
+    t = spark.createDataFrame([(x,) for x in ("c_acctbal", "Age_years", "hours-per-week", "annual_income", "capital-gain", "fnlwgt", "education-num", "emp.var.rate", "NR_employed", "n-r", "pdays")], "name string")
     low, high = C.guessed_range(F.col("name"))
     return t.select("name", low.alias("low"), high.alias("high"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -30,7 +31,7 @@ def bounded_memory(stream: DataFrame, key: str, value: str, most: int = 1000, gr
     """(value): values not among the last ``most`` of their hash group; the oldest are forgotten first."""
 
     def run(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = deque(state.get[0] if state.exists else ())
         known = set(held)
         for pdf in batches:
             fresh = []
@@ -40,9 +41,9 @@ def bounded_memory(stream: DataFrame, key: str, value: str, most: int = 1000, gr
                     held.append(v)
                     known.add(v)
                     if len(held) > most:
-                        known.discard(held.pop(0))
+                        known.discard(held.popleft())
             yield pd.DataFrame({"value": fresh}, dtype=object)
-        state.update((held,))
+        state.update((list(held),))
 
     rows = stream.select(F.pmod(F.xxhash64(key), F.lit(groups)).alias("grp"), F.col(value).cast("string").alias("value"))
     return rows.groupBy("grp").applyInPandasWithState(run, "value string", "held array<string>", "append", GroupStateTimeout.NoTimeout)
