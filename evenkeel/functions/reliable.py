@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Cut the lineage in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")) and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="evenkeel-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -25,7 +25,8 @@ def normal(x):
     return f"{x:.5f}" if isinstance(x, int) and not isinstance(x, bool) else str(x)
 
 
-SLOW = {"ml_classifiers", "ml_leaf_fairness", "ml_regions", "anc_discriminative", "wf_oversample"}
+#: Held by tests of their own, which run the registered queries.
+SLOW = {"ml_leaf_fairness", "wf_oversample"}
 
 
 @pytest.mark.parametrize("name", [n for n in plans.queries() if n not in SLOW])
