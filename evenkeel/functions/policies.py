@@ -83,6 +83,19 @@ def adjustments(met_share: float) -> dict[str, float | int]:
     return {"fairness_weight": weight, "diversity_weight": round((1 - weight) / 2, 3), "batch": 25 if met_share >= 0.5 else 50}
 
 
+def feedback(round_no: int, before: dict[str, float], after: dict[str, float], targets: dict[str, float], stopped: str | None = None) -> tuple[str, float]:
+    """(text, share of targets met) of a fairness re-audit: a line per measure with its change, then what to work on, the widest gap first."""
+    met = {k: abs(after[k]) <= targets[k] for k in targets if k in after}
+    share = sum(met.values()) / len(met) if met else 1.0
+    state = "all targets met" if share == 1 else f"stopped: {stopped}" if stopped else "to be continued"
+    lines = [f"Round {round_no}: {state}."]
+    lines += [f"{k}: {before.get(k, 0.0):.4f} -> {after[k]:.4f} ({abs(before.get(k, 0.0)) - abs(after[k]):+.4f}), {'met' if ok else 'missed'}" for k, ok in met.items()]
+    if share < 1 and not stopped:
+        missed = sorted((k for k, ok in met.items() if not ok), key=lambda k: (targets[k] - abs(after[k]), k))
+        lines.append("Next: " + ", ".join(f"{k} by {abs(after[k]) - targets[k]:.4f}" for k in missed) + f"; settings {adjustments(share)}")
+    return "\n".join(lines), share
+
+
 def strategy(size: str, imbalance: str, features: str, unfair: bool) -> dict[str, object]:
     """Settings recommended for a profile."""
     out: dict[str, object] = {"batch": 20, "temperature": 0.7, "few_shot": 10, "max_iterations": 20, "fairness_weight": 0.4 if unfair else 0.2}

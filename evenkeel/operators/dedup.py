@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,3 +80,22 @@ def funnel(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 
     dropped = F.lag("n").over(Window.orderBy("place")) - F.col("n")  # one row per stage
     return out.withColumn("dropped", F.coalesce(dropped, F.lit(0))).drop("place")
+
+
+def without(df: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The rows whose key is not among the others; unlike an anti-join, null keys equal each other."""
+    keys = gone.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(key)]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(key)])
+    return df.join(keys, same, "left_anti")
+
+
+def shared_columns(*frames: DataFrame) -> list[str]:
+    """The columns that all frames have, in the first one's order."""
+    return [c for c in frames[0].columns if all(c in f.columns for f in frames[1:])]
+
+
+def shared_values(df: DataFrame, group: str, value: str) -> DataFrame:
+    """The values that occur in every group, such as the seeds that all methods ran."""
+    groups = df.agg(F.count_distinct(group).alias("__k"))
+    found = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(value).agg(F.count_distinct(group).alias("__m"))
+    return found.crossJoin(F.broadcast(groups)).where("__m = __k").select(value)  # one row

@@ -78,3 +78,17 @@ def balance_constraints(distributions: DataFrame, wanted: DataFrame) -> DataFram
     kept = own.where("named IS NULL AND p_minority > 0 OR priority IS NOT NULL")
     target = F.col("priority").isNotNull()
     return kept.select("attribute", "group", F.when(target, F.col("p_majority")).otherwise(F.col("p_minority")).alias("proportion"), target.alias("from_target"), F.coalesce("priority", F.lit(2)).alias("priority"))
+
+
+def diversity_plan(wanted: DataFrame, regions: DataFrame, sparse: float = 0.5, default: int = 100) -> DataFrame:
+    """(attribute, group, n_regions, n_target, priority): fairness targets whose group has regions below the density ``sparse``.
+
+    ``regions`` has (attribute, group, density), attribute and group null for a region of
+    all rows.  Without any such target the sparse regions of all rows get ``default`` rows
+    at priority 2; without those the plan is empty.
+    """
+    thin = regions.where(F.col("density") < sparse).groupBy("attribute", "group").agg(F.count("*").alias("n_regions"))
+    own = wanted.join(thin, ["attribute", "group"]).select("attribute", "group", "n_regions", "n_target", "priority")
+    whole = thin.where("attribute IS NULL").select("attribute", "group", "n_regions", F.lit(default).cast("long").alias("n_target"), F.lit(2).alias("priority"))
+    none = own.agg((F.count("*") == 0).alias("__none"))
+    return own.unionByName(whole.crossJoin(F.broadcast(none)).where("__none").drop("__none"))  # one row each

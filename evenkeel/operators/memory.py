@@ -46,3 +46,11 @@ def layers(df: DataFrame, memory: DataFrame, columns: Sequence[str], cosine: flo
 def column_order(columns: Sequence[str], iteration: int, seed: int = 42) -> list[str]:
     """The columns in an order that changes with the iteration and with nothing else."""
     return sorted(columns, key=lambda c: hashlib.md5(f"{c}|{seed + 17 * iteration}".encode()).hexdigest())
+
+
+def report(memory: DataFrame, columns: Sequence[str], most: int, pruned: int = 0) -> DataFrame:
+    """One row: rows remembered, different ones among them, the limit, how often it was pruned, and the share of the limit in use."""
+    kinds = dict(memory.dtypes)
+    own = memory.select(sorted_fingerprint([(c, kinds[c]) for c in columns]).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+    out = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_hashes"))
+    return out.select("n_rows", "n_hashes", F.lit(most).alias("most"), F.lit(pruned).alias("n_pruned"), F.coalesce(F.try_divide(F.col("n_rows"), F.lit(most)), F.lit(0.0)).alias("utilisation"))

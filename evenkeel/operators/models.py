@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import uniform
 from . import evaluate, pairwise
 from .propose import _draw
 
@@ -110,14 +111,36 @@ def discriminative(df: DataFrame, columns: Sequence[str], n: int, key: str, labe
     return _draw(sure.orderBy(F.desc("p"), key).limit(2 * n).select(key, "p"), n, key, "discriminative")
 
 
-def central(df: DataFrame, clusters: int) -> DataFrame:
-    """(region, id): the row of (id, v) closest to each k-means centre."""
+def _clustered(df: DataFrame, clusters: int, seed: int) -> DataFrame:
+    """(id, v) with ``region`` and the squared distance ``gap`` to its k-means centre."""
     rows = df.withColumn("features", array_to_vector("v"))
-    model = KMeans(k=clusters, seed=SEED).fit(rows)
+    model = KMeans(k=clusters, seed=seed).fit(rows)
     centres = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "region int, centre array<double>")
     gap = F.aggregate(F.zip_with("v", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    out = model.transform(rows).withColumnRenamed("prediction", "region").join(F.broadcast(centres), "region").withColumn("gap", gap)  # one row per cluster
-    return out.groupBy("region").agg(F.min_by("id", F.struct("gap", "id")).alias("id"))
+    return model.transform(rows).withColumnRenamed("prediction", "region").join(F.broadcast(centres), "region").withColumn("gap", gap)  # one row per cluster
+
+
+def central(df: DataFrame, clusters: int, seed: int = SEED) -> DataFrame:
+    """(region, id): the row of (id, v) closest to each k-means centre; empty clusters give none."""
+    return _clustered(df, clusters, seed).groupBy("region").agg(F.min_by("id", F.struct("gap", "id")).alias("id"))
+
+
+def representatives(df: DataFrame, keep: int) -> DataFrame:
+    """(id): a memory of (id, v) cut to the rows closest to ``keep`` k-means centres; all rows where there are no more than that."""
+    return central(df, keep).select("id").distinct() if df.limit(keep + 1).count() > keep else df.select("id")
+
+
+def diverse(df: DataFrame, n: int, iteration: int = 0, previous: DataFrame | None = None) -> DataFrame:
+    """(id): of 2n k-means clusters of (id, v) a hash-drawn row each, then the n farthest from ``previous`` rows, or the first n."""
+    total = df.limit(2 * n).count()
+    if total <= n:
+        return df.select("id")
+    drawn = _clustered(df, total, SEED + 13 * iteration).groupBy("region").agg(F.min_by(F.struct("id", "v"), F.struct(uniform(F.col("id"), f"diverse {iteration}"), "id")).alias("e"))
+    drawn = drawn.select("region", "e.id", "e.v")  # 2n rows at most
+    if previous is None or previous.limit(1).count() == 0:
+        return drawn.orderBy("region").limit(n).select("id")
+    far = pairwise.nearest(drawn.select("id", "v"), previous.select("id", "v"))
+    return far.orderBy(F.desc(F.round("distance", 9)), "id").limit(n).select("id")
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

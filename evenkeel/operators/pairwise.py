@@ -70,7 +70,7 @@ def blocks(left: DataFrame, right: DataFrame, each: Callable, schema: str, rows:
     return both.groupBy("lb", "rb").applyInArrow(run, schema)
 
 
-_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+_ARROW = {"smallint": pa.int16(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "date": pa.date32()}
 
 
 def _arrow(schema: str) -> list[tuple[str, pa.DataType]]:

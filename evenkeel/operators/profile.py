@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import complexity_category, imbalance_category, size_category
@@ -176,6 +176,26 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return own.join(numeric_columns(df, columns), "column").select("column", "count", "mean", "sd", "min", "q1", "median", "q3", "max")
 
 
+def class_statistics(df: DataFrame, columns: Sequence[str], label: str = "y", classes: Sequence = (0, 1)) -> DataFrame:
+    """(column, y, min, max, mean, median, sd, p10, p25, p75, p90) of each column in each class; null where a class has no values."""
+    each = [(c, k, f"{c}|{k}") for c in columns for k in classes]
+    split = df.select(*[F.when(F.col(label) == k, finite(F.col(c))).alias(name) for c, k, name in each])
+    q = lambda name: F.col(f"`{name}`")  # noqa: E731  a name with a bar in it
+    plain = split.agg(*[F.struct(F.min(q(n)).alias("min"), F.max(q(n)).alias("max"), F.avg(q(n)).alias("mean"), F.stddev_samp(q(n)).alias("sd")).alias(f"{n}|m") for _, _, n in each])
+    at = quantiles(value_counts(split, [f"`{n}`" for _, _, n in each]), [0.1, 0.25, 0.5, 0.75, 0.9])  # a row per column and class
+    rows = plain.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(c).alias("column"), F.lit(k).alias("y"), q(f"{n}|m").alias("m")) for i, (c, k, n) in enumerate(each)])).alias("e")).select("e.*")
+    out = rows.join(at, "c", "left")
+    return out.select("column", "y", "m.min", "m.max", "m.mean", F.col("q")[2].alias("median"), "m.sd", *[F.col("q")[i].alias(f"p{p}") for i, p in ((0, 10), (1, 25), (3, 75), (4, 90))])
+
+
+def class_frequencies(df: DataFrame, column: str, k: int = 4, label: str = "y") -> DataFrame:
+    """(y, value, share): the k most frequent values of each class and their share of its filled rows; ties by value."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(label).alias("y"), F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    totals = counts.groupBy("y").agg(F.sum("n").alias("t"))  # one row per class
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("place", place).where(F.col("place") <= k).join(F.broadcast(totals), "y").select("y", "value", (F.col("n") / F.col("t")).alias("share"))
+
+
 def top_categories(df: DataFrame, column: str, k: int) -> DataFrame:
     """The k most frequent values with their counts; ties by value."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

@@ -47,10 +47,11 @@ def strata(df: DataFrame, column: str, parts: int = 5) -> DataFrame:
 def stratified(df: DataFrame, column: str, n: int, key: str, shares: Sequence[float] = STRATA, seed: str = "strata") -> DataFrame:
     """max(1, int(n * share)) rows of each quantile stratum, by a hash of the key."""
     own = strata(df, column, len(shares)).withColumn("__u", uniform(F.col(key), seed))
-    quota = F.element_at(F.array(*[F.lit(max(1, int(n * s))) for s in shares]), F.col("stratum") + 1)
-    # Only rows with small enough a hash can be among the first: the window sees those, the rest is checked by count.
+    quotas = [max(1, int(n * s)) for s in shares]
+    quota = F.element_at(F.array(*[F.lit(q) for q in quotas]), F.col("stratum") + 1)
+    # The literal bound is what lets each task pass on only its first rows of a stratum.
     place = F.row_number().over(Window.partitionBy("stratum").orderBy("__u", key))
-    return own.withColumn("__place", place).where(F.col("__place") <= quota).drop("__u", "__place")
+    return own.withColumn("__place", place).where(F.col("__place") <= max(quotas)).where(F.col("__place") <= quota).drop("__u", "__place")
 
 
 def terciles(df: DataFrame, column: str, low: float = 0.33, high: float = 0.67) -> DataFrame:
@@ -72,6 +73,52 @@ def distance_band(df: DataFrame, columns: Sequence[str], n: int, key: str, odd:
     return out.orderBy(F.desc("distance"), key).offset(low).limit(size)
 
 
+def edges(df: DataFrame, columns: Sequence[str], n: int, key: str, iteration: int) -> DataFrame:
+    """n rows far from the centroid (unscaled): of the farthest 30 percent, or of 20 to 50 percent in odd rounds, 2n rows at least."""
+    means = moments(df, columns, ["mean"])
+    gap = sum(((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.coalesce(F.col(f"{c}__mean"), F.lit(0.0))) ** 2 for c in columns), F.lit(0.0))
+    out = drop_moments(with_moments(df, means).withColumn("__gap", F.round(F.sqrt(gap), 9)), means)
+    total = df.count()
+    low, high = (int(0.2 * total), int(0.5 * total)) if iteration % 2 else (0, int(0.3 * total))
+    band = out.orderBy(F.desc("__gap"), key).offset(low).limit(max(high - low, 2 * n)).drop("__gap")
+    return _draw(band, n, key, f"edges {iteration}")
+
+
+def spread(df: DataFrame, columns: Sequence[str], n: int, key: str, iteration: int) -> DataFrame:
+    """n rows, a third from each tercile of one column, the next column each round; what a tercile lacks comes from the rest."""
+    own = terciles(df, columns[iteration % len(columns)]).withColumn("__u", uniform(F.col(key), f"spread {iteration}"))
+    quota = lambda i: n // 3 + (i < n % 3)
+    wanted = F.when(F.col("band") == "low", quota(0)).when(F.col("band") == "middle", quota(1)).otherwise(quota(2))
+    # No more than the first n of a band can be chosen or fill up.
+    place = F.row_number().over(Window.partitionBy("band").orderBy("__u", key))
+    first = own.withColumn("__place", place).where(F.col("__place") <= n)
+    return first.orderBy(F.col("__place") > wanted, "__u", key).limit(n).drop("band", "__u", "__place")
+
+
+def few_shot(df: DataFrame, columns: Sequence[str], n: int, key: str, iteration: int = 0, strategy: str = "mixed") -> DataFrame:
+    """n example rows that change with the round: ``rotate`` (nearest to k-means centres), ``edges``, ``spread``, or ``mixed``, one after another.
+
+    A frame of n rows or fewer comes back whole, as do no columns with a hash draw.  Two
+    centres may have the same nearest row and a cluster may be empty, so ``rotate`` can
+    give fewer.
+    """
+    from .models import central
+
+    if strategy == "mixed":
+        strategy = ("rotate", "edges", "spread")[iteration % 3]
+    if strategy not in ("rotate", "edges", "spread"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    if df.limit(n + 1).count() <= n:
+        return df
+    if not columns:
+        return _draw(df, n, key, f"few {iteration}")
+    if strategy != "rotate":
+        return (edges if strategy == "edges" else spread)(df, columns, n, key, iteration)
+    v = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    chosen = central(df.select(F.col(key).alias("id"), v.alias("v")), n, seed=42 + 7 * iteration).select(F.col("id").alias("__id")).distinct()
+    return df.join(F.broadcast(chosen), F.col(key) == F.col("__id"), "left_semi")  # n rows
+
+
 def boundary(minority: DataFrame, majority: DataFrame, n: int, k: int = 5, seed: str = "boundary") -> DataFrame:
     """n of the 2n minority rows of (id, v) closest to the majority, by the mean of the k nearest."""
     near = pairwise.neighbours(minority, majority, k).groupBy("id").agg(F.round(F.avg("distance"), 9).alias("distance"))
@@ -97,6 +144,22 @@ def smote(minority: DataFrame, n: int, k: int = 5, seed: str = "smote") -> DataF
     return picked.select("id", "sample", "neighbour", F.zip_with("v", "w", lambda x, y: x + F.col("u") * (y - x)).alias("v"))
 
 
+#: Cells of equal width that draws and the shares of leaves are placed in, and buckets of a leaf's rows.
+CELLS = 1024
+
+
+def _numbered_in(df: DataFrame, group: str, columns: Sequence[str], name: str) -> DataFrame:
+    """Rows numbered from 1 inside each group by a hash of their columns, in two levels; only equal rows can change places."""
+    own = df.withColumn("__h", F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])))
+    own = own.withColumn("__b", F.pmod(F.xxhash64("__h"), F.lit(CELLS)))
+    counts = own.groupBy(group, "__b").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(group).alias("__group"), F.col("__b").alias("__bucket"), before.alias("__before"))
+    ranked = own.withColumn("__r", F.row_number().over(Window.partitionBy(group, "__b").orderBy("__h")))
+    out = ranked.join(starts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__b") == F.col("__bucket")))
+    return out.withColumn(name, F.col("__before") + F.col("__r")).drop("__h", "__b", "__r", "__n", "__group", "__bucket", "__before")
+
+
 def leaf_resample(rows: DataFrame, leaf: str, columns: Sequence[str], n: int, weight: float = 0.5, group: str | None = None, seed: str = "leaf") -> DataFrame:
     """n rows drawn from leaves with probability weight * fairness / total + (1 - weight) / leaves, with normal noise of a tenth of the leaf's deviation."""
     stats = rows.groupBy(leaf).agg(F.count("*").alias("n"), *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"sd_{c}") for c in columns], *([F.avg(F.col(group).cast("double")).alias("p")] if group else []))
@@ -104,12 +167,15 @@ def leaf_resample(rows: DataFrame, leaf: str, columns: Sequence[str], n: int, we
     stats = stats.crossJoin(F.broadcast(whole)).withColumn("fair", 1 / (1 + 2 * F.abs(F.col("p") - F.col("all_p")))) if group else stats.withColumn("fair", F.lit(1.0))  # one row
     everything, order = Window.partitionBy(F.lit(1)), Window.orderBy(leaf)  # one row per leaf
     stats = stats.withColumn("share", weight * F.col("fair") / F.sum("fair").over(everything) + (1 - weight) / F.count("*").over(everything))
-    stats = stats.withColumn("upto", F.sum("share").over(order)).withColumn("from", F.col("upto") - F.col("share"))
-    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("u"))
-    chosen = draws.join(stats, (F.col("u") >= F.col("from")) & (F.col("u") < F.col("upto")))
-    chosen = chosen.withColumn("pick", (F.floor(uniform(F.col("draw"), seed + " row") * F.col("n")) + 1).cast("int"))
-    numbered = rows.withColumn("pick", F.row_number().over(Window.partitionBy(leaf).orderBy(*columns)))
-    out = chosen.join(numbered, [leaf, "pick"])
+    last = F.row_number().over(order) == F.count("*").over(everything)
+    stats = stats.withColumn("upto", F.when(last, 1.0).otherwise(F.sum("share").over(order)))
+    stats = stats.withColumn("from", F.coalesce(F.lag("upto").over(order), F.lit(0.0)))
+    cells = F.sequence(F.floor(F.col("from") * CELLS), F.floor(F.col("upto") * CELLS))
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+    # A leaf lies in CELLS // leaves cells or so: a draw meets the leaves of its own cell only.
+    chosen = draws.join(stats.withColumn("cell", F.explode(cells)), "cell").where((F.col("u") >= F.col("from")) & (F.col("u") < F.col("upto")))
+    chosen = chosen.withColumn("pick", F.floor(uniform(F.col("draw"), seed + " row") * F.col("n")) + 1)
+    out = chosen.join(_numbered_in(rows, leaf, columns, "pick"), [leaf, "pick"])
     normal = lambda c: F.sqrt(-2 * F.ln(uniform(F.col("draw"), f"{seed} a {c}") + 1e-12)) * F.cos(2 * np.pi * uniform(F.col("draw"), f"{seed} b {c}"))
     return out.select("draw", leaf, *[(F.col(c) + 0.1 * F.col(f"sd_{c}") * normal(c)).alias(c) for c in columns])
 

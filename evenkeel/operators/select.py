@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pairwise
+from .transform import moments, with_moments
 
 
 def fairness_score(targets: Sequence[tuple[Column, int]]) -> Column:
@@ -138,3 +139,19 @@ def diversity_summary(df: DataFrame, numeric: Sequence[str], text: Sequence[str]
     entropy = share.groupBy("c").agg((-F.sum(F.col("p") * F.ln(F.col("p") + 1e-10))).alias("h"), F.count("*").alias("k")).where("k > 1")
     entropy = entropy.agg((F.coalesce(F.avg(F.col("h") / F.ln(F.col("k").cast("double"))), F.lit(0.0)) * 100).alias("entropy"))
     return cv.crossJoin(entropy).withColumn("overall", 0.6 * F.col("cv") + 0.4 * F.col("entropy"))  # one row each
+
+
+def diversity_score(df: DataFrame, key: str, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
+    """One row: :func:`diversity_summary`, mean and smallest distance of two rows (numbers scaled to unit deviation, gaps 0), percent of repeated rows.
+
+    Distances are null with fewer than two rows.
+    """
+    filled = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric])
+    stats = moments(filled, numeric, ["mean", "sd0"])
+    unit = [(F.col(c) - F.col(f"{c}__mean")) / (F.when(F.col(f"{c}__sd0") > 0, F.col(f"{c}__sd0")).otherwise(F.lit(1.0)) + 1e-8) for c in numeric]
+    rows = with_moments(filled, stats).select(F.col(key).alias("id"), F.array(*unit).alias("v"))
+    mean = pairwise.mean_pairwise(rows)
+    least = pairwise.nearest(rows, rows, exclude_self=True).agg(F.min(F.when(F.col("distance") < float("inf"), F.col("distance"))).alias("min_distance"))
+    groups = df.groupBy(*numeric, *text).agg(F.count("*").alias("n"))
+    again = groups.agg(F.coalesce(F.try_divide(F.sum(F.col("n") - 1), F.sum("n")) * 100, F.lit(0.0)).alias("duplicate_percent"))
+    return diversity_summary(df, numeric, text).crossJoin(mean).crossJoin(least).crossJoin(again)  # one row each

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
-from .quantiles import quantile_row
+from .quantiles import quantile_row, value_counts
 
 
 def build_target(df: DataFrame, column: str, positive: str | None = None, default: int = 0, name: str = "y") -> DataFrame:
@@ -213,3 +213,67 @@ def vary(anchors: DataFrame, n: int, key: str, numeric: Sequence[str], text: Map
         pick = F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(uniform(F.col("__seed"), f"pick {c}") * len(values)).cast("int") + 1)
         changes[c] = F.when(uniform(F.col("__seed"), f"keep {c}") < 0.8, F.col(c)).otherwise(pick)
     return out.withColumns(changes).drop("__place", "__first", "__second", "__f1", "__f2", "__seed")
+
+
+def needs_encoding(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that are not numbers yet."""
+    kinds = dict(df.dtypes)
+    return [c for c in columns if not (kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal"))]
+
+
+def value_kinds(df: DataFrame, columns: Sequence[str], near: float = 0.5, few: int = 20) -> DataFrame:
+    """(column, kind, low, high, n_unique): how a column's numbers are to be read.
+
+    ``ordinal``: 2 to ``few`` values, not all within 0.01 of whole numbers, so scaled codes.
+    ``continuous``: more values, mean within ``near`` of 0 and deviation within it of 1.
+    Else ``categorical``.  A column without values is categorical with null bounds.
+    """
+    counts = value_counts(df, columns)
+    x, n = F.col("x"), F.col("n")
+    # Moments of counted values: one row per column from one aggregation.
+    total = F.sum(n)
+    mean = F.sum(x * n) / total
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum(x * x * n) - F.sum(x * n) * F.sum(x * n) / total, total - 1)))
+    one = counts.groupBy("c").agg(
+        mean.alias("mean"), spread.alias("sd"), F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n_unique"), F.bool_or(F.abs(x - F.rint(x)) > 0.01).alias("scaled")
+    )
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "c int, column string")
+    kind = F.when(F.col("n_unique").between(2, few) & F.col("scaled"), "ordinal").when((F.col("n_unique") > few) & (F.abs("mean") < near) & (F.abs(F.col("sd") - 1) < near), "continuous").otherwise("categorical")
+    return names.join(one, "c", "left").select("column", kind.alias("kind"), "low", "high", F.coalesce("n_unique", F.lit(0)).alias("n_unique"))  # a row per column
+
+
+def levels(df: DataFrame, column: str) -> DataFrame:
+    """(index, value): the distinct numbers of an ordinal column in order, numbered from 1."""
+    values = value_counts(df, [column]).select(F.col("x").alias("value"))
+    return values.select(F.row_number().over(Window.orderBy("value")).alias("index"), "value")  # one row per level
+
+
+def ordinal_index(df: DataFrame, column: str, steps: DataFrame, name: str) -> DataFrame:
+    """The number of the level nearest to a value, the lower one between two; null is the first."""
+    all_steps = steps.agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("__steps"))  # one row per level
+    gap = F.transform("__steps", lambda s: F.struct(F.abs(s["value"] - F.col(column)).alias("gap"), s["index"].alias("index")))
+    found = F.when(F.col(column).isNull(), F.lit(1)).otherwise(F.array_min(gap)["index"])
+    return df.crossJoin(F.broadcast(all_steps)).withColumn(name, found).drop("__steps")  # one row
+
+
+def hashed_level(column: Column, values: Sequence) -> Column:
+    """One of the values, by a hash of the column's text and nothing else; null gives what the first value's text does."""
+    text = F.coalesce(column.cast("string"), F.lit(str(values[0])))
+    at = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % len(values)
+    return F.element_at(F.array(*[F.lit(v) for v in values]), at.cast("int") + 1)
+
+
+def normalised(df: DataFrame, ranges: Mapping[str, tuple[float, float]], bounds: Mapping[str, tuple[float, float]]) -> tuple[DataFrame, DataFrame]:
+    """Real values mapped to normalised bounds, and one row with how many of each column lay outside their range.
+
+    Null and NaN become the middle of the range; what lies outside is drawn to its end
+    first.  A range of no width gives 0.
+    """
+    mapped, outside = {}, []
+    for c, (low, high) in ranges.items():
+        x = F.col(c).cast("double")
+        x = F.coalesce(F.when(~F.isnan(x), x), F.lit((low + high) / 2))
+        outside.append(F.count(F.when((x < low) | (x > high), 1)).alias(c))
+        a, b = bounds[c]
+        mapped[c] = F.lit(0.0) if high == low else (F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)) - low) / (high - low) * (b - a) + a
+    return df.withColumns(mapped), df.agg(*outside)

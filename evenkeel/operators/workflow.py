@@ -6,6 +6,7 @@ on: selected rows are written per iteration and read back by the next run.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.policies import temperature
 from ..functions.reliable import checkpoint
+from ..sources.results import exists, write_text
 from . import dedup, propose, transform, validate
 
 #: A proposer gets (minority, n, iteration, temperature) and returns rows with the columns and a key.
@@ -58,6 +60,9 @@ class Oversampler:
     z_limit: float = 4.5
     proposer: Proposer | None = None
     output: str | None = None
+    #: Where each iteration's validated rows (``validated``), the whole result (``resampled``) and the counters
+    #: (``progress.json``) are written, as far as given.
+    artifacts: str | None = None
     history: list[dict] = field(default_factory=list)
 
     def get_params(self) -> dict:
@@ -87,8 +92,9 @@ class Oversampler:
             raise ValueError("the label must have the two values 0 and 1")
         wanted = max(0, int(counts[0] * self.target_ratio) - counts[1])
         minority = df.where(F.col(self.label) == 1).select(F.col(self.key).cast("string").alias(self.key), *[F.col(c).cast("double").alias(c) for c in self.columns])
-        kept = self._resume(df)
-        have, stalled, step = kept.count(), 0, 0
+        kept = checkpoint(self._resume(df))  # its files' folders are not written again: iterations go on where they ended
+        have, last = kept.agg(F.count("*"), F.max("iteration")).first()
+        stalled, step = 0, 0 if last is None else last + 1
         self.history.clear()
         while have < wanted and (not self.max_iterations or step < self.max_iterations) and stalled < self.stall_iterations:
             n = min(self.batch or 2 * (wanted - have), max(wanted - have, 1) * 2)
@@ -98,8 +104,8 @@ class Oversampler:
             proposed = transform.impute(transform.clip(proposed, self.columns, stats), minority, self.columns)
             known = minority.select(*self.columns).unionByName(kept.select(*self.columns))
             new = dedup.keep_new(proposed, known, self.columns, self.key)
-            gated = validate.adaptive_gate(validate.z_gate(new, minority, self.columns, self.z_limit), minority, self.columns).where("z_ok AND inside")
-            chosen = checkpoint(best(checkpoint(gated), wanted - have, self.key).select(self.key, *self.columns, F.lit(1).alias(self.label), F.lit(step).alias("iteration")))
+            gated = checkpoint(validate.adaptive_gate(validate.z_gate(new, minority, self.columns, self.z_limit), minority, self.columns).where("z_ok AND inside"))
+            chosen = checkpoint(best(gated, wanted - have, self.key).select(self.key, *self.columns, F.lit(1).alias(self.label), F.lit(step).alias("iteration")))
             got = chosen.count()
             self.history.append({"iteration": step, "proposed": n, "selected": got, "temperature": heat})
             if self.output:
@@ -107,22 +113,26 @@ class Oversampler:
             kept, have = checkpoint(kept.unionByName(chosen)), have + got
             stalled = 0 if got else stalled + 1
             step += 1
+            if self.artifacts:
+                rows = gated.select(self.key, *self.columns, F.lit(1).alias(self.label)).dropDuplicates(list(self.columns))
+                rows.write.mode("overwrite").parquet(f"{self.artifacts}/validated/iteration={step - 1:05d}")
+                state = {"wanted": wanted, "selected": have, "stalled": stalled, "iterations": self.history}
+                write_text(df.sparkSession, f"{self.artifacts}/progress.json", json.dumps(state))
+        if self.artifacts:
+            self._union(df, kept.drop("iteration")).write.mode("overwrite").parquet(f"{self.artifacts}/resampled")
         return kept
 
     def resampled(self, df: DataFrame) -> DataFrame:
         """The rows of ``df`` and the new ones."""
-        new = self.fit_generate(df).drop("iteration")
+        return self._union(df, self.fit_generate(df).drop("iteration"))
+
+    def _union(self, df: DataFrame, new: DataFrame) -> DataFrame:
         return df.select(F.col(self.key).cast("string").alias(self.key), *[F.col(c).cast("double").alias(c) for c in self.columns], self.label).unionByName(new)
 
     def _resume(self, df: DataFrame) -> DataFrame:
         spark = df.sparkSession
         schema = f"{self.key} string, " + ", ".join(f"{c} double" for c in self.columns) + f", {self.label} int, iteration int"
         empty = spark.createDataFrame([], schema)
-        if not self.output:
-            return empty
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.output)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+        if not self.output or not exists(spark, self.output):
             return empty
         return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.output)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import evaluate, stats
+from ..operators import dedup, evaluate, experiments, stats
 from . import views as V
 from .profiling import rounded
 from .registry import query
@@ -232,3 +232,19 @@ SELECT count(*) AS n, round(avg(dpd), 6) AS mean, round(quantile_cont(dpd, 0.5),
 def st_fairness(spark, sf):
     d = V.labelled(spark, sf).groupBy("source", "quality").agg(F.avg(F.col("y").cast("double")).alias("r")).groupBy("source").agg((F.max("r") - F.min("r")).alias("dpd"))
     return rounded(d.agg(F.count("*").alias("n"), F.avg("dpd").alias("mean"), F.percentile("dpd", F.lit(0.5)).alias("median"), F.max("dpd").alias("max")), "mean", "median", "max")
+
+
+@query("st_pending", f"""WITH {V.RESULTS}, g AS (SELECT dataset, method, seed FROM (SELECT DISTINCT dataset FROM results), (SELECT DISTINCT method FROM results), (SELECT DISTINCT seed FROM results))
+SELECT dataset, method, seed FROM g WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.dataset = g.dataset AND r.method = g.method AND r.seed = g.seed AND r.metric >= (SELECT avg(metric) FROM results))""")
+def st_pending(spark, sf):
+    """What a batch has yet to run, where only a metric of the mean or more counts as a success."""
+    r = V.results(spark, sf)
+    mean = r.agg(F.avg("metric").alias("mean"))
+    names = [[x[0] for x in r.select(c).distinct().orderBy(c).collect()] for c in ("dataset", "method", "seed")]  # the names of a grid
+    wanted = spark.createDataFrame(experiments.grid(*names), "dataset string, method string, seed int")
+    return experiments.pending(wanted, r.crossJoin(F.broadcast(mean)).withColumn("success", F.col("metric") >= F.col("mean")))  # one row
+
+
+@query("st_shared_seeds", f"WITH {V.RESULTS} SELECT seed FROM results WHERE classifier = 'P' GROUP BY seed HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM results WHERE classifier = 'P')")
+def st_shared_seeds(spark, sf):
+    return dedup.shared_values(V.results(spark, sf).where("classifier = 'P'"), "method", "seed")

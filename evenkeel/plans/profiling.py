@@ -200,3 +200,32 @@ SELECT 'quality' AS attribute, round(p, 6) AS dpd_before, round(q, 6) AS dpd_aft
 def fair_reaudit(spark, sf):
     t = V.labelled(spark, sf)
     return rounded(fairness.reaudit(t, t.unionByName(t.where("y = 1 AND quality = 0")), ["quality"]), "dpd_before", "dpd_after", "improvement")
+
+
+def _class_stats(c, k):
+    q = lambda p: f"round(quantile_cont({c}, {p}) FILTER (y = {k}), 6)"
+    return f"""SELECT '{c}' AS "column", {k} AS y, min({c}) FILTER (y = {k}) AS min, max({c}) FILTER (y = {k}) AS max, round(avg({c}) FILTER (y = {k}), 6) AS mean, {q(0.5)} AS median,
+  round(stddev_samp({c}) FILTER (y = {k}), 6) AS sd, {q(0.1)} AS p10, {q(0.25)} AS p25, {q(0.75)} AS p75, {q(0.9)} AS p90 FROM items"""
+
+
+@query("prof_class_statistics", f"WITH {V.ITEMS} " + " UNION ALL ".join(_class_stats(c, k) for c in ("quantity", "extendedprice") for k in (0, 1)))
+def prof_class_statistics(spark, sf):
+    return rounded(profile.class_statistics(V.items(spark, sf), ["quantity", "extendedprice"]), "mean", "median", "sd", "p10", "p25", "p75", "p90")
+
+
+@query("prof_class_frequencies", f"""WITH {V.LABELLED}, c AS (SELECT y, source AS value, count(*) AS n FROM labelled WHERE source IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY y) AS t, row_number() OVER (PARTITION BY y ORDER BY n DESC, value) AS p FROM c) SELECT y, value, round(n / t, 6) AS share FROM r WHERE p <= 4""")
+def prof_class_frequencies(spark, sf):
+    return rounded(profile.class_frequencies(V.labelled(spark, sf), "source"), "share")
+
+
+@query("fair_diversity_plan", f"""WITH {V.LABELLED}, p AS (SELECT lang AS "group", (count(*) FILTER (y = 1)) AS a, (count(*) FILTER (y = 0)) AS b FROM labelled WHERE lang IS NOT NULL GROUP BY 1),
+s AS (SELECT *, a / sum(a) OVER () AS pa, b / sum(b) OVER () AS pb, sum(a) OVER () AS na FROM p), t AS (SELECT "group", pb - pa AS gap, CAST(greatest(0, floor((pb - pa) * na * 2)) AS BIGINT) AS n_target FROM s WHERE pa < 1.0 * pb),
+g AS (SELECT lang AS "group", source, count(*) / 100.0 AS density FROM labelled WHERE lang IS NOT NULL GROUP BY ALL), n AS (SELECT "group", count(*) AS n_regions FROM g WHERE density < 0.5 GROUP BY 1)
+SELECT 'lang' AS attribute, "group", n_regions, n_target, CASE WHEN gap < 0.2 THEN 3 WHEN gap < 0.5 THEN 2 ELSE 1 END AS priority FROM t JOIN n USING ("group")""")
+def fair_diversity_plan(spark, sf):
+    """Languages short of toxic documents, and how many of their sources hold under fifty documents."""
+    t = V.labelled(spark, sf).where("lang IS NOT NULL")
+    wanted = fairness.targets(fairness.group_distributions(t, ["lang"]), factor=1.0)
+    regions = t.groupBy(F.lit("lang").alias("attribute"), F.col("lang").alias("group"), "source").agg((F.count("*") / 100).alias("density"))
+    return fairness.diversity_plan(wanted, regions)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, pairwise, propose, select, transform, validate
+from ..operators import dedup, models, pairwise, propose, select, transform, validate
 from . import views as V
 from .profiling import rounded
 from .registry import query
@@ -359,3 +359,55 @@ def mem_layers(spark, sf):
     known = flat.where("y = 0").drop("y")
     own = flat.where("y = 1").drop("y").unionByName(known.withColumn("id", F.col("id") + 1000000))
     return memory.layers(own, known, [f"x{i}" for i in range(dims)], cosine=0.95, gower=0.1, window=100)
+
+
+_FEW = """mi AS (SELECT * FROM items WHERE y = 1), n AS (SELECT count(*) AS n FROM mi), c AS (SELECT avg(quantity) AS a, avg(extendedprice) AS b, avg(discount) AS d FROM mi),
+g AS (SELECT row_id, row_number() OVER (ORDER BY round(sqrt((quantity - a) ** 2 + (extendedprice - b) ** 2 + (discount - d) ** 2), 9) DESC, row_id) AS p FROM mi, c),
+e AS (SELECT row_id FROM g, n WHERE p > floor(0.2 * n) AND p <= floor(0.2 * n) + greatest(floor(0.5 * n) - floor(0.2 * n), 20) ORDER BY {0}, row_id LIMIT 10),
+q AS (SELECT quantile_cont(discount, [0.33, 0.67]) AS q FROM mi), t AS (SELECT row_id, CASE WHEN discount <= q[1] THEN 0 WHEN discount > q[2] THEN 2 ELSE 1 END AS band, {1} AS u FROM mi, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY u, row_id) AS p FROM t), s AS (SELECT row_id FROM r ORDER BY p > CASE WHEN band = 0 THEN 4 ELSE 3 END, u, row_id LIMIT 10)"""
+
+
+@query("anc_few_shot", f"WITH {V.ITEMS}, " + _FEW.format(_UU.format("row_id", "edges 1"), _UU.format("row_id", "spread 2")) + " SELECT 1 AS iteration, row_id FROM e UNION ALL SELECT 2, row_id FROM s")
+def anc_few_shot(spark, sf):
+    """The examples of the mixed strategy's second and third round; the first round's are k-means centres, see ``anc_central``."""
+    mi = V.items(spark, sf).where("y = 1")
+    rounds = [propose.few_shot(mi, N, 10, "row_id", i).select(F.lit(i).alias("iteration"), "row_id") for i in (1, 2)]
+    return rounds[0].unionByName(rounds[1])
+
+
+@query("div_score", """WITH t AS (SELECT c_custkey AS id, c_acctbal AS a, CAST(c_nationkey AS DOUBLE) AS b, c_mktsegment AS s FROM customer), m AS (SELECT avg(a) AS am, stddev_pop(a) AS asd, avg(b) AS bm, stddev_pop(b) AS bsd FROM t),
+z AS (SELECT id, (a - am) / (asd + 1e-8) AS a, (b - bm) / (bsd + 1e-8) AS b FROM t, m), p AS (SELECT avg(sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2)) AS mean, min(sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2)) AS least FROM z x, z y WHERE x.id < y.id),
+v AS (SELECT (stddev_samp(a) / abs(avg(a)) + stddev_samp(b) / abs(avg(b))) / 2 * 100 AS cv FROM t), f AS (SELECT count(*) / sum(count(*)) OVER () AS f FROM t GROUP BY s), e AS (SELECT -sum(f * ln(f + 1e-10)) / ln(count(*)) * 100 AS e FROM f),
+d AS (SELECT (1 - count(*) / sum(n)) * 100 AS d FROM (SELECT count(*) AS n FROM t GROUP BY a, b, s))
+SELECT round(cv, 6) AS cv, round(e, 6) AS entropy, round(0.6 * cv + 0.4 * e, 6) AS overall, round(mean, 6) AS mean_distance, round(least, 6) AS min_distance, round(d, 6) AS duplicate_percent FROM v, e, p, d""")
+def div_score(spark, sf):
+    c = V.table(spark, sf, "customer").withColumn("nation", F.col("c_nationkey").cast("double"))
+    return rounded(select.diversity_score(c, "c_custkey", ["c_acctbal", "nation"], ["c_mktsegment"]), "cv", "entropy", "overall", "mean_distance", "min_distance", "duplicate_percent")
+
+
+@query("dd_except", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
+def dd_except(spark, sf):
+    """Customers without a pending order."""
+    c, o = V.table(spark, sf, "customer"), V.table(spark, sf, "orders").where("o_orderstatus = 'P'")
+    return dedup.without(c.select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("mem_report", """SELECT count(*) AS n_rows, count(DISTINCT (o_custkey, o_orderstatus)) AS n_hashes, 100000 AS most, 2 AS n_pruned, round(count(*) / 100000.0, 6) AS utilisation FROM orders""")
+def mem_report(spark, sf):
+    from ..operators import memory
+
+    return rounded(memory.report(V.table(spark, sf, "orders"), ["o_custkey", "o_orderstatus"], 100000, 2), "utilisation")
+
+
+@query("mem_representatives")
+def mem_representatives(spark, sf):
+    return models.representatives(_sides(spark, sf)[0], 20)
+
+
+@query("anc_diverse")
+def anc_diverse(spark, sf):
+    """Anchors of the second round, away from those of the first."""
+    a, _ = _sides(spark, sf)
+    first = models.diverse(a, 8, 0)
+    return models.diverse(a, 8, 1, a.join(first, "id", "left_semi"))

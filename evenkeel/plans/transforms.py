@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import profile, transform
-from ..sources import parsing
+from ..sources import catalog, parsing
 from . import views as V
 from .profiling import rounded
 from .registry import query
@@ -175,3 +175,31 @@ def gen_anchor(spark, sf):
 SELECT CAST(g.i AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range(0, 5) g(i) LEFT JOIN c ON c.bin = g.i""")
 def src_counts_by_bin(spark, sf):
     return profile.histogram(V.table(spark, sf, "events"), "value", 5).select("bin", "n")
+
+
+@query("src_dataset", """WITH d AS (SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT p_brand AS v FROM part)), m AS (SELECT avg(p_retailprice) AS mu, stddev_pop(p_retailprice) AS sd FROM part)
+SELECT p_partkey, round((p_retailprice - mu) / sd, 6) AS p_retailprice, code AS p_brand, CAST(p_size = 7 AS INTEGER) AS y FROM part JOIN d ON v = p_brand CROSS JOIN m""")
+def src_dataset(spark, sf):
+    """A dataset by name: scaled numbers, coded categories and the label."""
+    specs = {"parts": catalog.Spec("part.parquet", "p_size", "p_partkey", ("p_retailprice",), ("p_brand",), positive="7")}
+    return rounded(catalog.load(spark, "parts", specs, sf).frame, "p_retailprice")
+
+
+_KIND = "SELECT '{0}' AS \"column\", CASE WHEN count(DISTINCT {0}) BETWEEN 2 AND 20 AND bool_or(abs({0} - round({0})) > 0.01) THEN 'ordinal' WHEN count(DISTINCT {0}) > 20 AND abs(avg({0})) < 0.5 AND abs(stddev_samp({0}) - 1) < 0.5 THEN 'continuous' ELSE 'categorical' END AS kind, round(min({0}), 6) AS low, round(max({0}), 6) AS high, count(DISTINCT {0}) AS n_unique FROM z"
+_SCALED = f"{V.ITEMS}, z AS (SELECT (extendedprice - avg(extendedprice) OVER ()) / stddev_pop(extendedprice) OVER () AS price, discount, linenumber FROM items)"
+
+
+@query("tx_value_kinds", f"WITH {_SCALED} " + " UNION ALL ".join(_KIND.format(c) for c in ("price", "discount", "linenumber")))
+def tx_value_kinds(spark, sf):
+    t = V.items(spark, sf)
+    z = transform.zscore(t, ["extendedprice"], transform.moments(t, ["extendedprice"], ["mean", "sd0"])).withColumnRenamed("extendedprice", "price")
+    # Equal prices stay equal when scaled, so distinct values may be counted after it.
+    return rounded(transform.value_kinds(z, ["price", "discount", "linenumber"]), "low", "high")
+
+
+@query("tx_ordinal", f"""WITH {V.ITEMS}, l AS (SELECT row_number() OVER (ORDER BY discount) AS i, discount AS v FROM (SELECT DISTINCT discount FROM items)), s AS (SELECT list(i ORDER BY i) AS i, list(v ORDER BY i) AS v FROM l)
+SELECT row_id, list_min(list_transform(range(1, len(v) + 1), lambda k: {{'gap': abs(v[k] - tax), 'i': i[k]}})).i AS step FROM items, s""")
+def tx_ordinal(spark, sf):
+    """The discount level nearest to each tax."""
+    t = V.items(spark, sf)
+    return transform.ordinal_index(t, "tax", transform.levels(t, "discount"), "step").select("row_id", "step")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import platform
+from importlib.metadata import PackageNotFoundError, version
 from pathlib import Path
 
 import yaml
@@ -16,9 +19,34 @@ RESULT_SCHEMA = (
 )
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _place(spark, path)
+    return fs.exists(where)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on any file system that Spark reaches."""
+    fs, where = _place(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """A row per result file, failed runs included; a file that is no result has nulls only."""
+    return spark.read.schema(RESULT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", "true").json(path)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A row per run and classifier from result files, one JSON object each; failed runs are dropped."""
-    return flatten_results(spark.read.schema(RESULT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", "true").json(path))
+    return flatten_results(read_outcomes(spark, path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -50,8 +78,30 @@ def load_config(path: str | Path, required: tuple[str, ...] = ("name",)) -> dict
     return out
 
 
+def environment(spark: SparkSession, packages: tuple[str, ...] = ("pyspark", "numpy", "pandas", "pyarrow")) -> dict:
+    """Versions a result depends on: Python, platform, Spark and packages; null for what is not installed."""
+
+    def of(name: str) -> str | None:
+        try:
+            return version(name)
+        except PackageNotFoundError:
+            return None
+
+    return {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "packages": {p: of(p) for p in packages}}
+
+
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A small table as Markdown; a report, so it is bounded."""
-    rows = df.limit(most).collect()
+    """A table as Markdown for people to read: its first ``most`` rows, and a last line where there are more."""
+    rows = df.limit(most + 1).collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows])
+    lines += ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows[:most]]
+    return "\n".join(lines + ([f"(only the first {most} rows)"] if len(rows) > most else []))
+
+
+def write_report(df: DataFrame, path: str, title: str = "report") -> None:
+    """The whole table as CSV and JSON folders below the path, a Markdown extract and the environment beside them."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("header", True).csv(f"{path}/{title}.csv")
+    df.write.mode("overwrite").json(f"{path}/{title}.json")
+    write_text(spark, f"{path}/{title}.md", markdown(df) + "\n")
+    write_text(spark, f"{path}/environment.json", json.dumps(environment(spark), indent=1))
