@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions import policies
+from evenkeel.functions.columns import canonical
 from evenkeel.operators import dedup, experiments, fairness, memory, models, profile, propose, select, transform
 from evenkeel.operators.workflow import Oversampler
 from evenkeel.sources import catalog, remote, results
@@ -162,6 +163,13 @@ def test_plan_sets_memory_and_empty_frames(spark):
     assert one.min_distance is None and one.duplicate_percent == 0
 
 
+def test_canonical_numbers(spark):
+    xs = [0.0, -0.0, -5e-7, 5e-7, -4.9e-7, 1.0000005, 123456.7891234, -2.5, 1e30, 1e33, 1e300, -1e300, 1e-300, float("nan"), float("inf")]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select(canonical(F.col("x"), "double").alias("a"), F.format_string("%.6f", F.col("x") + 0.0).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    assert spark.createDataFrame([(None,)], "x double").select(canonical(F.col("x"), "double").alias("a")).first().a == "NULL"
+
+
 def test_feedback():
     text, share = policies.feedback(2, {"sex": 0.3, "age": 0.2}, {"sex": 0.05, "age": 0.15}, {"sex": 0.1, "age": 0.1})
     assert share == 0.5 and "sex: 0.3000 -> 0.0500 (+0.2500), met" in text and "Next: age by 0.0500" in text
