@@ -21,7 +21,7 @@ def fairness_score(targets: Sequence[tuple[Column, int]]) -> Column:
     return sum(parts, F.lit(0.0)) / len(parts)
 
 
-def diversity_score(distance: Column) -> Column:
+def distance_score(distance: Column) -> Column:
     """min(1, d / 5), plus up to 0.2 for d over 3, capped at 1."""
     return F.when(distance > 3, F.least(F.lit(1.0), F.least(F.lit(1.0), distance / 5) + F.least(F.lit(0.2), (distance - 3) / 10))).otherwise(F.least(F.lit(1.0), distance / 5))
 

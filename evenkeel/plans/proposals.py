@@ -191,7 +191,7 @@ _NEAR = f"""{V.VECTORS}, mn AS (SELECT * FROM vectors WHERE y = 1), mj AS (SELEC
 SELECT id, round(f * 0.2 + v * 0.4 + 0.4, 6) AS score FROM s ORDER BY round(f * 0.2 + v * 0.4 + 0.4, 9) DESC, id LIMIT 20""")
 def sel_weighted(spark, sf):
     a, b = _sides(spark, sf)
-    s = pairwise.nearest(a, b).select("id", select.fairness_score([(F.col("id") % 3 == 0, 1)]).alias("fairness"), select.diversity_score(5 * F.col("distance")).alias("diversity"), F.lit(1.0).alias("quality"))
+    s = pairwise.nearest(a, b).select("id", select.fairness_score([(F.col("id") % 3 == 0, 1)]).alias("fairness"), select.distance_score(5 * F.col("distance")).alias("diversity"), F.lit(1.0).alias("quality"))
     return rounded(select.weighted_top(s, 20, 0.2, 0.4, 0.4), "score").select("id", "score")
 
 

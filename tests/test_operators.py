@@ -211,3 +211,9 @@ def test_workflow_reaches_the_gap_or_stalls(spark, tmp_path):
     assert again.fit_generate(df).count() == n  # what was selected is read back
     with pytest.raises(ValueError):
         w.fit_generate(df.where("y = 1"))
+
+
+def test_distance_scores_stay_apart_from_the_diversity_of_a_table(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 4.0), (3, 9.0)], "id long, d double")
+    got = df.select("id", select.distance_score(F.col("d")).alias("s")).orderBy("id").collect()
+    assert [round(r.s, 9) for r in got] == [0.2, 0.9, 1.0]
