@@ -57,6 +57,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Joined by shuffling both sides, whatever Spark makes of its size.
+
+    A table that grows with the corpus is broadcast while its compressed shuffle is small,
+    and then fills the driver many times over.
+    """
+    return df.hint("shuffle_merge")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node that each node of an edge can reach.
 
@@ -74,10 +83,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(dealt(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = checkpoint(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(dealt(least), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         mark = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         now = small

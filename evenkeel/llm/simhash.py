@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .runtime import NULL_ID, connected_components, small_batches, stored
+from .runtime import NULL_ID, connected_components, dealt, small_batches, stored
 
 SHINGLE = 4
 SEED = 42
@@ -199,7 +199,7 @@ def link_edges(distinct: DataFrame) -> DataFrame:
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     postings = distinct.repartition(parts, "fp").select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = postings.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
+    shared = postings.join(dealt(sizes), "key").withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     shared = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     # A chunk meets each chunk of its posting, itself included; with one chunk that is the posting.
@@ -215,9 +215,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = stored(rows.mapInArrow(_fingerprint, "doc long, fp long"))
     distinct = prints.groupBy("fp").agg(F.min("doc").alias("first"))
     components = connected_components(link_edges(distinct.select("fp", F.col("fp").alias("rep"))))
-    classes = distinct.join(components, distinct["fp"] == components["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
+    classes = distinct.join(dealt(components), distinct["fp"] == components["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
     names = classes.groupBy("class").agg(F.min("first").alias("component"))
-    out = prints.join(classes.join(names, "class").select("fp", "component"), "fp")
+    out = prints.join(dealt(classes.join(dealt(names), "class").select("fp", "component")), "fp")
     return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
@@ -233,5 +233,5 @@ def leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prints = stored(rows.mapInArrow(_fingerprint, "doc long, tag long, fp long"))
     distinct = prints.groupBy("fp").agg(F.min(F.struct("doc", "tag")).alias("first"))
     components = connected_components(link_edges(distinct.select("fp", F.col("fp").alias("rep"))))
-    classes = distinct.join(components, distinct["fp"] == components["node"], "left").select("first", F.coalesce("component", "fp").alias("component"))
+    classes = distinct.join(dealt(components), distinct["fp"] == components["node"], "left").select("first", F.coalesce("component", "fp").alias("component"))
     return classes.groupBy("component").agg(F.min("first").alias("first")).select("first.doc", "first.tag")

@@ -108,3 +108,21 @@ def test_substring_dedup_of_words_alike_to_a_weak_hash(spark):
 
 def test_simhash_of_nothing(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_growing_tables_are_not_broadcast(spark, monkeypatch):
+    """Neither the rounds of the components nor the joins around them leave a table to the driver, however small."""
+    from evenkeel.llm import runtime, simhash
+
+    plans, cut = [], runtime.checkpoint
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(runtime, "checkpoint", seen)
+    docs = spark.createDataFrame([(i, "one two three four five six" if i % 2 else f"a b c {i}") for i in range(12)], "doc_id long, text string")
+    for out in (simhash.near_duplicates(docs), simhash.leaders(docs), runtime.connected_components(spark.range(9).selectExpr("id a", "id + 1 b"))):
+        assert out.count()
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
