@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fingerprint
 from . import pairwise
+from .quantiles import finite
 
 
 def exact(df: DataFrame, known: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
@@ -34,13 +35,22 @@ def keep_new(df: DataFrame, known: DataFrame, columns: Sequence[str], key: str)
 
 def far_from(df: DataFrame, known: DataFrame, columns: Sequence[str], bound: float) -> DataFrame:
     """Rows with nothing known closer than the bound (both sides already scaled; id column ``id``)."""
-    close = pairwise.near(df, known, columns, bound).select("id").distinct()
-    return df.join(close, "id", "left_anti")
+    # Equal vectors are as close to the same rows: one of each is compared, and names the others.
+    one = pairwise.first_of_each(df, columns)
+    close = pairwise.touching(one, pairwise.first_of_each(known, columns), columns, bound).select(*columns)
+    return df.join(close.hint("shuffle_merge"), list(columns), "left_anti").select(*df.columns)
 
 
 def spread_out(df: DataFrame, columns: Sequence[str], bound: float) -> DataFrame:
-    """In the order of ``id``, drop each row closer than the bound to an earlier kept one."""
-    return pairwise.greedy(df, pairwise.near(df, df, columns, bound).where("id != other"))
+    """In the order of ``id``, drop each row closer than the bound to an earlier kept one; rows that lack a number are close to none.
+
+    Only the first of equal vectors can stay: what drops it drops the others, or else it does.
+    """
+    if bound <= 0:
+        return df
+    kept = pairwise.spaced(pairwise.first_of_each(df, columns), columns, bound)
+    loose = reduce(lambda a, b: a | b, [finite(F.col(c)).isNull() for c in columns])
+    return df.where(loose).unionByName(df.where(~loose).join(kept.hint("shuffle_merge"), "id", "left_semi").select(*df.columns))
 
 
 def anti_similar(df: DataFrame, known: DataFrame, columns: Sequence[str], bound: float = 0.1) -> DataFrame:

@@ -10,13 +10,17 @@ given, :func:`near` turns it into an equi-join on grid cells instead.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import finite
+
 ROWS = 1024
 
 
@@ -148,6 +152,79 @@ def near(left: DataFrame, right: DataFrame, columns: Sequence[str], bound: float
     return a.join(b, [f"k{i}" for i in range(len(keys))]).where(gap < bound * bound).select("id", "other")
 
 
+def first_of_each(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(id, columns): the smallest id of each different vector of finite numbers."""
+    own = df.select("id", *[finite(F.col(c)).alias(c) for c in columns]).dropna(subset=list(columns))
+    return own.groupBy(*columns).agg(F.min("id").alias("id")).select("id", *columns)
+
+
+def _cells(df: DataFrame, columns: Sequence[str], bound: float, grid: int) -> DataFrame:
+    """With the cell ``k0``, ``k1``, ... of each row, ``bound`` wide in the first ``grid`` columns."""
+    return df.withColumns({f"k{i}": F.floor(F.col(c) / bound) for i, c in enumerate(columns[:grid])})
+
+
+def _around(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row once for its cell and for each cell next to it."""
+    moves = F.array(*[F.struct(*[F.lit(m).alias(f"m{i}") for i, m in enumerate(step)]) for step in product((-1, 0, 1), repeat=len(keys))])
+    return df.withColumn("__m", F.explode(moves)).withColumns({k: F.col(k) + F.col(f"__m.m{i}") for i, k in enumerate(keys)}).drop("__m")
+
+
+def touching(left: DataFrame, right: DataFrame, columns: Sequence[str], bound: float, grid: int = 2) -> DataFrame:
+    """The columns of ``left``, which has (id, columns), where some row of ``right`` is closer than the bound.
+
+    A semi-join on the cells of :func:`near`: a row's search ends at its first hit and no pair is emitted.
+    """
+    columns = list(columns)
+    keys = [f"k{i}" for i in range(len(columns[:grid]))]
+    a = _around(_cells(left, columns, bound, grid), keys).select("id", *[F.col(c).alias(f"a_{c}") for c in columns], *[F.col(k).alias(f"a_{k}") for k in keys])
+    b = _cells(right.select(*columns).distinct(), columns, bound, grid)
+    gap = sum(((F.col(f"a_{c}") - F.col(c)) ** 2 for c in columns), F.lit(0.0))
+    meet = reduce(lambda x, y: x & y, [F.col(f"a_{k}") == F.col(k) for k in keys]) & (gap < bound * bound)
+    return a.join(b.hint("shuffle_merge"), meet, "left_semi").select("id", *[F.col(f"a_{c}").alias(c) for c in columns]).distinct()
+
+
+def spaced(df: DataFrame, columns: Sequence[str], bound: float, grid: int = 2, local: int = 1 << 17) -> DataFrame:
+    """(id): keep-first among different vectors: in the order of ``id``, without those closer than the bound to an earlier kept one.
+
+    ``df`` has (id, columns), ids and vectors all different.  A round keeps the rows that are the
+    first of what is undecided in their cell and all cells next to it, which nothing earlier
+    can drop, and drops what is close to them; a cell holds few kept rows, so no round sees
+    all pairs.  The last ``local`` rows are decided one after the other in one task.
+    """
+    from ..functions.reliable import checkpoint
+
+    columns = list(columns)
+    keys = [f"k{i}" for i in range(len(columns[:grid]))]
+    kind = dict(df.dtypes)["id"]
+    left = checkpoint(_cells(df.select("id", *columns), columns, bound, grid))
+    kept = None
+    while left.count() > local:
+        first = left.groupBy(*keys).agg(F.min("id").alias("first"))
+        least = _around(first, keys).groupBy(*keys).agg(F.min("first").alias("least"))
+        new = checkpoint(left.join(least.hint("shuffle_merge"), keys).where(F.col("id") == F.col("least")).select(*left.columns))
+        kept = new.select("id") if kept is None else kept.unionByName(new.select("id"))
+        gone = _around(new.select(*[F.col(c).alias(f"b_{c}") for c in columns], *keys), keys).withColumnsRenamed({k: f"b_{k}" for k in keys})
+        gap = sum(((F.col(c) - F.col(f"b_{c}")) ** 2 for c in columns), F.lit(0.0))
+        meet = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"b_{k}") for k in keys]) & (gap < bound * bound)
+        left = checkpoint(left.join(gone.hint("shuffle_merge"), meet, "left_anti"))
+
+    def rest(table: pa.Table) -> pa.Table:
+        ids = table.column("id").combine_chunks()
+        at = pa.compute.sort_indices(ids).to_numpy()
+        v = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
+        cells = np.stack([table.column(k).to_numpy() for k in keys], axis=1).tolist()
+        steps, held, out = list(product((-1, 0, 1), repeat=len(keys))), {}, []
+        for i, x in zip(at.tolist(), v[at].tolist()):
+            near_by = (y for step in steps for y in held.get(tuple(c + m for c, m in zip(cells[i], step)), ()))
+            if not any(sum(((a - b) ** 2 for a, b in zip(x, y)), 0.0) < bound * bound for y in near_by):
+                held.setdefault(tuple(cells[i]), []).append(x)
+                out.append(i)
+        return pa.table({"id": ids.take(pa.array(out, pa.int64()))})
+
+    last = left.groupBy().applyInArrow(rest, f"id {kind}")  # ``local`` rows at most
+    return last if kept is None else kept.unionByName(last)
+
+
 def greedy(df: DataFrame, pairs: DataFrame, order: str = "id", max_rounds: int = 1000) -> DataFrame:
     """Keep-first: the rows of ``df`` left when each kept row drops the later rows it pairs with.
 

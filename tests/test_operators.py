@@ -217,3 +217,35 @@ def test_distance_scores_stay_apart_from_the_diversity_of_a_table(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 4.0), (3, 9.0)], "id long, d double")
     got = df.select("id", select.distance_score(F.col("d")).alias("s")).orderBy("id").collect()
     assert [round(r.s, 9) for r in got] == [0.2, 0.9, 1.0]
+
+
+def test_copies_and_crowded_cells_make_no_pairs(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    points = [(rnd.random(), rnd.random()) for _ in range(120)]
+    rows = [(f"{rnd.random():.12f}", *p) for p in points for _ in range(20)] + [("n1", None, 0.5), ("n2", float("nan"), 0.5), ("n3", float("inf"), 0.5), ("n4", float("inf"), 0.5)]
+    known = [(f"k{i}", rnd.random(), rnd.random()) for i in range(9)] * 3
+    near = lambda a, b: math.dist(a[1:], b[1:]) < 0.1
+    a, b = (spark.createDataFrame(x, "id string, x double, y double") for x in (rows, known))
+
+    def never(*args, **kwargs):
+        raise AssertionError("pairs were made")
+
+    monkeypatch.setattr(pairwise, "near", never)
+    got = lambda df: sorted(r.id for r in df.collect())
+    loose = ["n1", "n2", "n3", "n4"]
+    assert got(dedup.spread_out(a, ["x", "y"], 0.1)) == sorted(_first(rows[:-4], near) + loose)
+    apart = [r for r in rows[:-4] if not any(near(r, k) for k in known)]
+    assert got(dedup.far_from(a, b, ["x", "y"], 0.1)) == sorted([r[0] for r in apart] + loose)
+    assert got(dedup.anti_similar(a, b, ["x", "y"], 0.1)) == sorted(_first(apart, near) + loose)
+    for local in (0, 5):
+        assert got(pairwise.spaced(pairwise.first_of_each(a, ["x", "y"]), ["x", "y"], 0.1, local=local)) == sorted(_first(rows[:-4], near))
+
+
+def _first(rows, near):
+    kept = []
+    for r in sorted(rows):
+        if not any(near(r, k) for k in kept):
+            kept.append(r)
+    return [r[0] for r in kept]
