@@ -1,15 +1,16 @@
 """Pairwise operators in blocks: neighbours, mean distances, Gower, bounded near-duplicates, skylines.
 
-Both sides are dealt into blocks of about ``ROWS`` rows by a hash of their id; every
-pair of blocks is one group, computed with numpy and reduced to a few numbers per row
-before anything is shuffled again.  Nothing is broadcast and no pair is emitted.  The
+Both sides are dealt into blocks of about ``ROWS`` rows by a hash of their id and written
+once; every pair of blocks is computed with numpy where it is read and reduced to a few
+numbers per row before anything is shuffled.  Nothing is broadcast and no pair is emitted.  The
 work is the product of both sides, as the exact answer needs; where a distance bound is
 given, :func:`near` turns it into an equi-join on grid cells instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import product
 
@@ -55,23 +56,53 @@ def distances(metric: str, a: np.ndarray, b: np.ndarray, categories: int = 0) ->
     return np.sqrt(out) if metric == "euclidean" else out / max(1, a.shape[1])
 
 
-def blocks(left: DataFrame, right: DataFrame, each: Callable, schema: str, rows: int = ROWS) -> DataFrame:
-    """``each(ids_left, matrix_left, ids_right, matrix_right)`` for every pair of blocks of (id, v) frames."""
-    nl, nr = (max(1, -(-x.count() // rows)) for x in (left, right))
-    deal = lambda df, side, own, n, other, m: df.select(
-        F.lit(side).alias("side"), "id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
-    )
-    both = deal(left, 0, "lb", nl, "rb", nr).unionByName(deal(right, 1, "rb", nr, "lb", nl))
+#: Bytes that Spark hands to a Python worker at once: a pair of blocks is one row.
+BATCH_BYTES = 32 << 20
 
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        a, b = (table.take(pa.array(np.flatnonzero(side == s))) for s in (0, 1))
-        if not len(a) or not len(b):
-            return pa.table({n: pa.array([], t) for n, t in _arrow(schema)})
-        found = each(a.column("id").to_numpy(), _matrix(a.column("v")), b.column("id").to_numpy(), _matrix(b.column("v")))
-        return pa.table({n: pa.array(x, t) for (n, t), x in zip(_arrow(schema), found)})
 
-    return both.groupBy("lb", "rb").applyInArrow(run, schema)
+def _packed(df: DataFrame, rows: int, parts: int) -> DataFrame:
+    """One row per block of about ``rows`` rows: (b, ids, v), the vectors in one value; written once."""
+    from ..functions.reliable import checkpoint
+
+    n, kind = max(1, -(-df.count() // rows)), dict(df.dtypes)["id"]
+    own = df.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids = table.column("id").combine_chunks()
+        return pa.table({"b": table.column("b")[:1], "ids": pa.array([ids.to_pylist()], pa.list_(ids.type)), "v": pa.array([_matrix(table.column("v")).tobytes()], pa.binary())})
+
+    return checkpoint(own.groupBy("b").applyInArrow(pack, f"b int, ids array<{kind}>, v binary").repartition(min(n, parts)))
+
+
+def blocks(left: DataFrame, right: DataFrame, each: Callable, schema: str, rows: int = ROWS, half: bool = False) -> DataFrame:
+    """``each(ids_left, matrix_left, ids_right, matrix_right)`` for every pair of blocks of (id, v) frames.
+
+    Each side is written once, a row per block, and pairs of blocks are made as they are
+    read: no copy of a row is shuffled.  ``half``: both sides are the same frame, a pair of
+    blocks is met once, and ``each`` is also told how often it counts, 1 or 2 times.
+    """
+    spark = left.sparkSession
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    parts = math.ceil(2 * math.sqrt(spark.sparkContext.defaultParallelism))  # of either side: about four tasks a core
+    a = _packed(left, rows, parts)
+    b = a if half else _packed(right, rows, parts)
+    both = a.toDF("lb", "li", "lv").crossJoin(b.toDF("rb", "ri", "rv"))  # a row per pair of blocks, computed where it is made
+    both = both.where("lb <= rb") if half else both
+    fields = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own: list = []
+                for s in "lr":
+                    ids = batch.column(f"{s}i")[i].values.to_numpy(zero_copy_only=False)
+                    own += [ids, np.frombuffer(batch.column(f"{s}v")[i].as_py(), np.float64).reshape(len(ids), -1)]
+                found = each(*own, *([1 if batch.column("lb")[i] == batch.column("rb")[i] else 2] if half else []))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for (_, t), x in zip(fields, found)], [n for n, _ in fields])
+
+    return both.mapInArrow(run, schema)
 
 
 _ARROW = {"smallint": pa.int16(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "date": pa.date32()}
@@ -131,9 +162,89 @@ def total_distance(left: DataFrame, right: DataFrame, metric: str = "euclidean",
 
 
 def mean_pairwise(df: DataFrame, metric: str = "euclidean", categories: int = 0) -> DataFrame:
-    """One row: the mean distance over all unordered pairs; null with fewer than two rows."""
+    """One row: the mean distance over all unordered pairs; null with fewer than two rows.
+
+    Gower distance is a sum over columns and needs no pairs.  For other metrics equal
+    vectors are one row with a weight, and every pair of those is met once.
+    """
+    if metric == "gower":
+        return _mean_gower(df, categories)
     n = df.count()
-    return total_distance(df, df, metric, categories).agg(F.try_divide(F.sum("total"), F.lit(float(n * (n - 1)))).alias("mean_distance"))
+
+    def each(ids, a, others, b, times):
+        parts = [(distances(metric, a[at : at + 256, :-1], b[:, :-1], categories) @ b[:, -1]) @ a[at : at + 256, -1] for at in range(0, len(ids), 256)]
+        return [[times * sum(parts)]]
+
+    one = df.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", F.array_append(F.transform("v", lambda x: x.cast("double")), F.col("n").cast("double")).alias("v"))
+    return blocks(one, one, each, "total double", half=True).agg(F.try_divide(F.sum("total"), F.lit(float(n * (n - 1)))).alias("mean_distance"))
+
+
+def _mean_gower(df: DataFrame, categories: int) -> DataFrame:
+    """The mean Gower distance from counted values: the differences of a column add up from each value's place in its order.
+
+    A number that is missing, NaN or infinite is a gap, which counts 1 against any other row.
+    """
+    from ..functions.reliable import checkpoint
+
+    n = df.count()
+    long = df.select(F.posexplode(F.transform("v", finite)).alias("at", "x"), F.size("v").alias("size"))
+    counts = long.groupBy("at", "size", "x").agg(F.count("*").cast("double").alias("c"))
+    # Range partitions hold values in order, so a value's place is the rows of the partitions before and of its own.
+    counts = checkpoint(counts.repartitionByRange("at", "x").withColumn("p", F.spark_partition_id()))
+    known = counts.where("x IS NOT NULL")
+    earlier = Window.partitionBy("at").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row per column and partition
+    starts = known.groupBy("at", "p").agg(F.sum("c").alias("m")).select("at", "p", F.coalesce(F.sum("m").over(earlier), F.lit(0.0)).alias("before"), F.sum("m").over(Window.partitionBy("at")).alias("all"))
+    inside = F.coalesce(F.sum("c").over(Window.partitionBy("at", "p").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = known.withColumn("inside", inside).join(F.broadcast(starts), ["at", "p"])
+    below = F.col("before") + F.col("inside")
+    pairs, total = F.lit(float(n) * (n - 1)), F.first("all")
+    numeric = pairs - total * (total - 1) + 2 * F.sum(F.col("x") * F.col("c") * (2 * below + F.col("c") - F.col("all")))
+    unequal = pairs - F.sum(F.col("c") * (F.col("c") - 1))
+    size = F.first("size")
+    column = placed.groupBy("at").agg(F.when(F.col("at") >= size - categories, unequal).otherwise(numeric).alias("total"))
+    blank = counts.groupBy("at").agg(F.count("x").alias("k")).where("k = 0").select("at", pairs.alias("total"))  # columns of gaps only
+    size = counts.agg(F.max("size").alias("size"))
+    out = column.unionByName(blank).agg(F.sum("total").alias("total")).crossJoin(size)  # one row each
+    return out.select(F.try_divide(F.col("total"), F.col("size") * pairs).alias("mean_distance"))
+
+
+def least_distance(df: DataFrame, columns: Sequence[str], rows: int = ROWS) -> DataFrame:
+    """One row: the smallest Euclidean distance of two rows of (id, columns); null if no two rows have all numbers.
+
+    The least distance inside blocks of ``rows`` rows bounds the answer; what is closer lies in
+    neighbouring cells of that width.
+    """
+    columns, spark = list(columns), df.sparkSession
+    own = df.select("id", *[finite(F.col(c)).alias(c) for c in columns]).dropna(subset=columns)
+    one = own.groupBy(*columns).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    found = one.agg(F.count("*").alias("k"), F.max("n").alias("n")).first()
+    answer = lambda x: spark.createDataFrame([(x,)], "min_distance double")
+    if found.k == 0 or (found.k == 1 and found.n == 1):
+        return answer(None)
+    if found.n > 1:
+        return answer(0.0)
+
+    def least(table: pa.Table) -> pa.Table:
+        v = np.stack([table.column(c).to_numpy() for c in columns], axis=1)
+        best = np.inf
+        for at in range(0, len(v), 256):
+            d = distances("euclidean", v[at : at + 256], v)
+            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+            best = min(best, d.min())
+        return pa.table({"d": [float(best)]})
+
+    n = -(-found.k // rows)
+    bound = one.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).applyInArrow(least, "d double").agg(F.min("d")).first()[0]
+    if n == 1 or not bound:
+        return answer(bound)
+    if not math.isfinite(bound):  # every block holds one row
+        return least_distance(df, columns, 2 * rows)
+    a = _cells(one, columns, bound, 2)
+    keys = [f"k{i}" for i in range(len(columns[:2]))]
+    b = _around(a.select(F.col("id").alias("other"), *[F.col(c).alias(f"b_{c}") for c in columns], *keys), keys)
+    gap = sum(((F.col(c) - F.col(f"b_{c}")) ** 2 for c in columns), F.lit(0.0))
+    closer = a.join(b.hint("shuffle_merge"), keys).where("id != other").agg(F.min(F.sqrt(gap)).alias("d"))
+    return closer.select(F.least(F.col("d"), F.lit(float(bound))).alias("min_distance"))
 
 
 def near(left: DataFrame, right: DataFrame, columns: Sequence[str], bound: float, grid: int = 2) -> DataFrame:

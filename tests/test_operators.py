@@ -249,3 +249,24 @@ def _first(rows, near):
         if not any(near(r, k) for k in kept):
             kept.append(r)
     return [r[0] for r in kept]
+
+
+@pytest.mark.parametrize("rows", [1024, 16])
+def test_mean_and_least_distances_by_brute_force(spark, rows):
+    import random
+
+    rnd = random.Random(6)
+    points = [(rnd.random(), float(rnd.randrange(4))) for _ in range(90)]
+    frame = lambda x: spark.createDataFrame([(i, list(p)) for i, p in enumerate(x)], "id long, v array<double>")
+    flat = lambda x: spark.createDataFrame([(i, *p) for i, p in enumerate(x)], "id long, x double, y double")
+    pairs = [(p, q) for i, p in enumerate(points + points[:7]) for q in (points + points[:7])[:i]]
+    assert pairwise.mean_pairwise(frame(points + points[:7])).first()[0] == pytest.approx(sum(math.dist(*x) for x in pairs) / len(pairs))
+    gaps = [(None, 1.0), (0.4, float("nan")), (float("nan"), None), *points]
+    bad = lambda x: x is None or math.isnan(x)
+    gower = lambda p, q: ((1 if bad(p[0]) or bad(q[0]) else abs(p[0] - q[0])) + (1 if bad(p[1]) or bad(q[1]) else p[1] != q[1])) / 2
+    pairs = [(p, q) for i, p in enumerate(gaps) for q in gaps[:i]]
+    assert pairwise.mean_pairwise(frame(gaps), "gower", categories=1).first()[0] == pytest.approx(sum(gower(*x) for x in pairs) / len(pairs))
+    least = min(math.dist(p, q) for i, p in enumerate(points) for q in points[:i])
+    assert pairwise.least_distance(flat(points), ["x", "y"], rows).first()[0] == pytest.approx(least)
+    assert pairwise.least_distance(flat(points + points[:1]), ["x", "y"], rows).first()[0] == 0.0
+    assert pairwise.least_distance(flat(points[:1] + [(None, 1.0)]), ["x", "y"], rows).first()[0] is None
