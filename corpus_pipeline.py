@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import byte_bpe, language_id, mixing, simhash, substring_dedup
-from evenkeel.llm.runtime import shared_dir
+from evenkeel.llm.runtime import dealt, shared_dir
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # The row travels as a struct, so no name of the input can clash with the keys.
     own = docs.select(*simhash.row_keys(docs), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     # The join leaves the rows partitioned and sorted by this key, so dropping repeats needs no further shuffle.
-    return own.join(simhash.leaders(docs), ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"]).select("row.*")
+    return own.join(dealt(simhash.leaders(docs)), ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"]).select("row.*")
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

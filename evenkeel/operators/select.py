@@ -151,7 +151,8 @@ def diversity_score(df: DataFrame, key: str, numeric: Sequence[str], text: Seque
     unit = [(F.col(c) - F.col(f"{c}__mean")) / (F.when(F.col(f"{c}__sd0") > 0, F.col(f"{c}__sd0")).otherwise(F.lit(1.0)) + 1e-8) for c in numeric]
     rows = with_moments(filled, stats).select(F.col(key).alias("id"), F.array(*unit).alias("v"))
     mean = pairwise.mean_pairwise(rows)
-    least = pairwise.nearest(rows, rows, exclude_self=True).agg(F.min(F.when(F.col("distance") < float("inf"), F.col("distance"))).alias("min_distance"))
+    names = [f"x{i}" for i in range(len(numeric))]
+    least = pairwise.least_distance(rows.select("id", *[F.col("v")[i].alias(x) for i, x in enumerate(names)]), names)
     groups = df.groupBy(*numeric, *text).agg(F.count("*").alias("n"))
     again = groups.agg(F.coalesce(F.try_divide(F.sum(F.col("n") - 1), F.sum("n")) * 100, F.lit(0.0)).alias("duplicate_percent"))
     return diversity_summary(df, numeric, text).crossJoin(mean).crossJoin(least).crossJoin(again)  # one row each
