@@ -209,13 +209,29 @@ def copula(df: DataFrame, numeric: Sequence[str], n: int, knots: int = 201, seed
     return df.sparkSession.range(n).mapInPandas(run, "id long, " + ", ".join(f"{c} double" for c in numeric))
 
 
-def prune_redundant(df: DataFrame, keep: int, ahead: int = 4096) -> DataFrame:
+def _reach(first: np.ndarray, size: float, now: np.ndarray, bound: float) -> float:
+    """The largest product with ``now`` of any vector of length 1 at most whose product with ``first``, ``size`` long, is at most ``bound``."""
+    if bound == -math.inf:
+        return bound
+    if size <= 0:
+        return float(np.linalg.norm(now))
+    along = float(now @ first) / size
+    across = float(np.linalg.norm(now - first * (along / size)))
+    most = max(-1.0, min(1.0, bound / size))
+    if along <= most * math.hypot(along, across):  # the vector in the direction of ``now`` itself is allowed
+        return math.hypot(along, across)
+    return most * along + math.sqrt(1 - most * most) * across
+
+
+def prune_redundant(df: DataFrame, keep: int, ahead: int = 16384) -> DataFrame:
     """(id): ``keep`` rows of (id, v) after dropping, one by one, the row most similar to the others on average; ties: the smallest id.
 
     A row's similarity to all others is its unit vector times the sum of all unit vectors,
     so a pass over the rows needs no pairs.  Each pass brings the ``ahead`` rows with the
-    largest sums and the largest sum of the rest; a drop changes a sum by at most 1, so
-    drops are taken from those rows as long as none of the rest can have overtaken them.
+    largest sums and the largest sum of the rest, and drops are taken from those rows as
+    long as none of the rest can have overtaken them.  What the rest can reach is bounded by
+    Cauchy and Schwarz: of a row only its part along the sum of all, at most that of the
+    largest, and the length of its remainder are known, and so are those of what was dropped.
     Any number of rows goes; the more alike they are, the more passes it takes.
     """
     kind = dict(df.dtypes)["id"]
@@ -231,9 +247,10 @@ def prune_redundant(df: DataFrame, keep: int, ahead: int = 4096) -> DataFrame:
         bound = top[ahead].score if len(top) > ahead else -math.inf
         top = sorted(top[:ahead], key=lambda r: r.id)
         u, score, alive, taken = np.array([r.u for r in top]), np.array([r.score for r in top]), np.ones(len(top), bool), []
+        first, size = whole, float(np.linalg.norm(whole))
         while left > keep and alive.any():
             i = int(np.argmax(np.where(alive, np.round(score, 9), -np.inf)))
-            if taken and score[i] <= bound + len(taken):
+            if taken and score[i] <= _reach(first, size, whole, bound) + 1e-8:
                 break
             alive[i] = False
             taken.append(top[i].id)

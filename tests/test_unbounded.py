@@ -181,3 +181,32 @@ def test_regions_by_hand(spark):
     spread = sorted(got, key=lambda r: r.density)
     assert spread[0].density < spread[1].density and all(0 < r.density < 1 for r in got)
     assert models.diversity_targets(models.regions(df, 2), 10).count() >= 1
+
+
+def test_prune_takes_few_passes_over_rows_alike(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    v = np.array([1.0, 0.5, 0.0, 0.0, 0.2]) + rnd.normal(size=(400, 5)) * 0.4
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    alive = list(range(400))
+    while len(alive) > 12:
+        sums = np.round(unit[alive] @ unit[alive].sum(axis=0), 9)
+        del alive[int(np.argmax(sums))]
+    passes, cut = [], propose.checkpoint
+    monkeypatch.setattr(propose, "checkpoint", lambda df: passes.append(1) or cut(df))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    assert sorted(r.id for r in propose.prune_redundant(df, 12, 200).collect()) == alive
+    assert len(passes) <= 15
+
+
+def test_reach_of_the_rows_not_brought_is_sound_and_close():
+    rnd = np.random.default_rng(9)
+    for _ in range(50):
+        rows = rnd.normal(size=(300, 4)) * 0.4 + 1
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        first, scores = rows.sum(axis=0), rows @ rows.sum(axis=0)
+        order = np.argsort(-scores)
+        rest, gone = order[100:], order[:60]
+        now = first - rows[gone].sum(axis=0)
+        most = propose._reach(first, float(np.linalg.norm(first)), now, float(scores[rest].max()))
+        assert (rows[rest] @ now).max() <= most + 1e-9
+        assert most < scores[rest].max() - 30  # counting 1 for each drop would say 60 more instead
