@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -11,14 +12,19 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
-from . import evaluate, pairwise
+from ..functions.reliable import checkpoint
+from . import evaluate, pairwise, quantiles
 from .propose import _draw
 
 SEED = 42
+#: Bins of a feature of boosted trees, the library's default, and the most that its search for them is set to.
+BINS, MOST_BINS = 32, 1024
+#: Cells of a task while trees are grown.
+CELLS = 25_000
 
 
 def assemble(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
@@ -62,17 +68,60 @@ def diversity_targets(found: DataFrame, wanted: int = 100) -> DataFrame:
     return found.withColumn("n_target", F.ceil(F.coalesce(share, F.lit(0.0)) * wanted))
 
 
+def cut_points(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
+    """For each column the rising values that part its range into ``BINS`` bins at most, near equal in rows, or one for each value.
+
+    They come from all rows, by counted values; a bin ends with its cut.
+    """
+    counts = checkpoint(quantiles.value_counts(df, columns))
+    found = {r.c: r for r in quantiles.quantiles(counts, [i / BINS for i in range(1, BINS)]).collect()}  # a row per column
+    few = [c for c, r in found.items() if r.n_unique <= BINS]
+    cuts = {c: set(r.q) for c, r in found.items()} | {c: set() for c in few}
+    for r in counts.where(F.col("c").isin(few)).select("c", "x").collect():  # BINS rows per column, at most
+        cuts[r.c].add(r.x)
+    return [sorted(cuts.get(c, ())) for c in range(len(columns))]
+
+
+def bin_of(column: Column, cuts: Sequence[float], first: int = 0) -> Column:
+    """How many cuts lie below the value, found by halving."""
+    if not cuts:
+        return F.lit(float(first))
+    at = len(cuts) // 2
+    return F.when(column <= cuts[at], bin_of(column, cuts[:at], first)).otherwise(bin_of(column, cuts[at + 1 :], first + at + 1))
+
+
 def leaves(df: DataFrame, columns: Sequence[str], label: str = "y", trees: int = 10, depth: int = 5) -> DataFrame:
-    """(key columns..., tree, leaf): the leaf of every row in every tree of a boosted model."""
-    rows = assemble(df, columns)
-    model = GBTClassifier(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=SEED)
-    out = model.setLeafCol("leaves").fit(rows).transform(rows)
-    return out.select(*df.columns, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
+    """(other columns..., tree, leaf, n_rows): the leaves that the rows reach in every tree of a boosted model.
+
+    The trees see a column as ``BINS`` bins, so rows that share all bins and all columns
+    but the features are one cell, with their number as ``n_rows``: the model is fitted on
+    cells that weigh as many rows, and a cell is placed at once.  Every row counts; rows
+    without a number in some feature are left out.
+    """
+    others = [c for c in df.columns if c not in columns]
+    whole = [F.col(c).cast("double") for c in columns]
+    rows = df.where(functools.reduce(lambda x, y: x & y, [x.isNotNull() & ~F.isnan(x) for x in whole]))
+    bins = [f"__bin{i}" for i in range(len(columns))]
+    cuts = cut_points(rows, columns)
+    rows = rows.select(*others, *[bin_of(x, c).alias(b) for x, c, b in zip(whole, cuts, bins)])
+    cells = assemble(checkpoint(rows.groupBy(*others, *bins).agg(F.count("*").alias("n_rows"))), bins)
+    fitted = assemble(cells.groupBy(label, *bins).agg(F.sum("n_rows").cast("double").alias("weight")), bins)
+    n = fitted.count()
+    # The library looks for the bins in maxBins ** 2 cells: this many, so that it finds them all, up to a million cells.
+    most = min(MOST_BINS, max(BINS, math.isqrt(n) + 1))
+    # It runs a job for each level of each tree, and few cells take less than the start of a task does.
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, n // CELLS + 1)
+    model = GBTClassifier(labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=SEED, maxBins=most)
+    out = model.setLeafCol("leaves").fit(fitted.repartition(parts, *bins)).transform(cells)
+    return out.select(*others, "n_rows", F.posexplode(vector_to_array("leaves")).alias("tree", "leaf")).select(*others, "tree", "leaf", "n_rows")
 
 
 def leaf_fairness(placed: DataFrame, group: str) -> DataFrame:
-    """(tree, leaf, n, fairness): 1 / (1 + sum over groups of |share overall - share in the leaf|)."""
-    own = placed.groupBy("tree", "leaf", F.col(group).alias("g")).agg(F.count("*").alias("m"))
+    """(tree, leaf, n, fairness): 1 / (1 + sum over groups of |share overall - share in the leaf|).
+
+    A row of ``placed`` stands for as many as its column ``n_rows`` says, if it has one.
+    """
+    own = placed.groupBy("tree", "leaf", F.col(group).alias("g")).agg((F.sum("n_rows") if "n_rows" in placed.columns else F.count("*")).alias("m"))
     whole = own.groupBy("tree", "g").agg(F.sum("m").alias("t"))
     whole = whole.withColumn("p", F.col("t") / F.sum("t").over(Window.partitionBy("tree")))  # one row per tree and group
     sizes = own.groupBy("tree", "leaf").agg(F.sum("m").alias("n"))

@@ -19,7 +19,7 @@ def ml_regions(spark, sf):
 
 @query("ml_leaf_fairness")
 def ml_leaf_fairness(spark, sf):
-    t = V.items(spark, sf).withColumn("g", (F.col("discount") > 0.05).cast("int")).select("row_id", "y", "g", *N)
+    t = V.items(spark, sf).withColumn("g", (F.col("discount") > 0.05).cast("int")).select("y", "g", *N)
     return models.leaf_fairness(models.leaves(t, N, trees=100, depth=5), "g")
 
 
