@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import stored
+from .runtime import dealt, stored
 
 BLOCK_TOKENS = 1024
 MAX_EPOCHS = 3
@@ -164,7 +164,7 @@ def pieces(base: DataFrame, goals: DataFrame) -> DataFrame:
     low = F.greatest(F.col("block") * BLOCK_TOKENS, F.col("a"))
     high = F.least((F.col("block") + 1) * BLOCK_TOKENS, F.col("a") + F.col("size"), F.col("quota_words"))
     docs = docs.withColumn("from_word", low - F.col("a")).withColumn("to_word", high - F.col("a")).where("to_word > from_word")
-    return docs.join(schedule(base, goals), ["k", "block"]).select("doc_id", "source", "bucket", "rn", "slot", "epoch", "from_word", "to_word")
+    return docs.join(dealt(schedule(base, goals)), ["k", "block"]).select("doc_id", "source", "bucket", "rn", "slot", "epoch", "from_word", "to_word")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     taken = pieces(base, goals).groupBy("source", "bucket", "rn").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"))
     taken = taken.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("rn").alias("r"), "taken", "first_slot")
     goal = goals.select(F.col("source").alias("gs"), "source_size", "target")
-    out = base.join(taken, base["source"].eqNullSafe(taken["s"]) & (base["bucket"] == taken["b"]) & (base["rn"] == taken["r"]), "left")
+    out = base.join(dealt(taken), base["source"].eqNullSafe(taken["s"]) & (base["bucket"] == taken["b"]) & (base["rn"] == taken["r"]), "left")
     out = out.join(goal, out["source"].eqNullSafe(goal["gs"]))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
@@ -195,7 +195,7 @@ def mix(docs: DataFrame) -> DataFrame:
     goals = stored(targets(base))
     spans = pieces(base, goals).groupBy("source", "bucket", "rn", "epoch").agg(F.min("from_word").alias("from"), F.max("to_word").alias("to"), F.min("slot").alias("slot"))
     spans = spans.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("rn").alias("r"), "epoch", "from", "to", "slot")
-    spans = base.join(spans, base["source"].eqNullSafe(F.col("s")) & (base["bucket"] == F.col("b")) & (base["rn"] == F.col("r")))
+    spans = base.join(dealt(spans), base["source"].eqNullSafe(F.col("s")) & (base["bucket"] == F.col("b")) & (base["rn"] == F.col("r")))
     one = Window.partitionBy("source", "h", "tag", "epoch").orderBy("rn")
     # Written, so that the join with the texts is a plan of its own and the schedule's stages end before it.
     spans = stored(spans.select("source", "h", "tag", "size", F.row_number().over(one).alias("t"), "epoch", "from", "to", "slot"))
@@ -204,7 +204,7 @@ def mix(docs: DataFrame) -> DataFrame:
     twins = base.groupBy("source", "h", "tag").count().where("count > 1").limit(1).count() > 0
     number = F.row_number().over(Window.partitionBy("own_source", "own_h", "own_tag").orderBy("own_h")) if twins else F.lit(1)
     own = own.withColumn("own_t", number)
-    out = own.join(spans, F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_h") == F.col("h")) & (F.col("own_tag") == F.col("tag")) & (F.col("own_t") == F.col("t")))
+    out = own.join(dealt(spans), F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_h") == F.col("h")) & (F.col("own_tag") == F.col("tag")) & (F.col("own_t") == F.col("t")))
     flat = F.trim(F.regexp_replace("row.text", r"[\x20\x09-\x0D]+", " "))
     words = F.slice(F.split(flat, " "), (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int"))
     text = F.when(F.col("to") - F.col("from") == F.col("size"), F.col("row.text")).otherwise(F.array_join(words, " "))

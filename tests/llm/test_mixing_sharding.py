@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -131,3 +132,14 @@ def test_weighted_shards(spark):
     assert all(abs(n[i] / 3000 - w / 8) < 0.04 for i, w in enumerate([1, 1, 2, 4]))
     moved = [r for r in sharding.assign(docs, 4, [1.0, 1.0, 2.0, 4.0], 2.0).collect() if r.grown_shard != r.shard]
     assert moved and all(r.grown_shard == 4 for r in moved)
+
+
+def test_tables_of_the_mix_that_grow_are_not_broadcast(spark):
+    """Schedule, pieces and spans are joined by shuffling both sides, however small; sources and sums may be broadcast."""
+    base = mixing.stored(mixing.sized(documents(spark)))
+    goals = mixing.stored(mixing.targets(base))
+    for out in (mixing.pieces(base, goals), mixing.mix_digest(documents(spark)), mixing.mix(documents(spark))):
+        assert out.count()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        sides = [x for x in plan.splitlines() if "BroadcastHashJoin" in x]
+        assert "SortMergeJoin" in plan and not any(re.search(r"block#|slot#|\brn#|own_h#", x) for x in sides)
